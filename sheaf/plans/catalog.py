@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..operators import anomaly, clean, insights, quality, rollups, rules, statements, trends
-from ..sources.fixture import ledger_dirty_view, ledger_view, read_table
+from ..sources.fixture import ledger, ledger_dirty, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,7 +78,7 @@ def _score(df):
 
 
 def queries() -> dict[str, Query]:
-    L, D = ledger_view, ledger_dirty_view
+    L, D = ledger, ledger_dirty
     q: dict[str, Query] = {}
     # statements
     for name in ("financial_summary", "summary_kpis", "profit_and_loss", "balance_sheet", "gst_position",
