@@ -118,4 +118,8 @@ def queries() -> dict[str, Query]:
     q["compliance_insights"] = _on(L, _insights)
     q["compliance_score"] = _on(L, _score)
     q["health_alerts"] = _on(L, insights.health_alerts)
+    # sources/sinks, streaming, ML
+    from . import ml_queries
+    for k, fn in ml_queries.queries().items():
+        q[k] = (lambda f: lambda spark, sf_dir: present(f(spark, sf_dir)))(fn)
     return q

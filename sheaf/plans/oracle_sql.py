@@ -601,8 +601,37 @@ UNION ALL SELECT Company_ID, 3, 'cash_vs_gst', 'critical', 'Cash Crunch vs GST L
     return q
 
 
+def ml_io_sql() -> dict[str, str]:
+    """Oracles for the round-trip / streaming queries (they must equal the batch results) and the
+    deterministic feature tables."""
+    q = {}
+    q["read_ledgers"] = with_ledger(f"SELECT {PRESENT_COLS} FROM ledger")
+    q["stream_clean_ledger"] = quality_sql()["clean_ledger"]
+    q["stream_rule_hits"] = rules_sql()["rule_hits"]
+    q["term_document_frequency"] = with_ledger("""
+WITH d AS (SELECT COALESCE(TRIM(regexp_replace(lower(COALESCE(Description, 'unknown transaction')), '[^a-z0-9]+', ' ',
+             'g')), 'unknown') AS c FROM ledger),
+t AS (SELECT list_filter(string_split(c, ' '), lambda w: length(w) >= 2) AS toks FROM d),
+tm AS (SELECT list_concat(toks, CASE WHEN len(toks) >= 2 THEN
+         list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]) ELSE [] END) AS terms FROM t),
+tf AS (SELECT term, COUNT(*) AS tf FROM (SELECT unnest(terms) AS term FROM tm) x GROUP BY term),
+dq AS (SELECT term, COUNT(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM tm) x GROUP BY term),
+n AS (SELECT COUNT(*) AS n_docs FROM ledger),
+j AS (SELECT tf.term, tf, df, n_docs FROM tf JOIN dq ON tf.term = dq.term CROSS JOIN n WHERE df >= 2),
+r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY tf DESC, term ASC) AS rk FROM j)
+SELECT term, tf, df, n_docs, ROUND(LN(CAST(n_docs + 1 AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + 1.0, 9) AS idf,
+       CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 500""")
+    q["payment_mode_index"] = with_ledger(
+        "SELECT payment_mode, CAST(ROW_NUMBER() OVER (ORDER BY payment_mode) - 1 AS INTEGER) AS mode_index FROM"
+        " (SELECT DISTINCT COALESCE(Payment_Mode, 'Bank Transfer') AS payment_mode FROM ledger) m")
+    q["amount_scaling"] = with_ledger(
+        "SELECT ROUND(AVG(LN(1 + CAST(COALESCE(Amount, 0) AS DOUBLE))), 6) AS mean,"
+        " ROUND(STDDEV_POP(LN(1 + CAST(COALESCE(Amount, 0) AS DOUBLE))), 6) AS std, COUNT(*) AS n FROM ledger")
+    return q
+
+
 def all_sql() -> dict[str, str]:
     q: dict[str, str] = {}
-    for part in (statement_sql, quality_sql, text_sql, rules_sql, rollup_sql, trend_sql, insight_sql):
+    for part in (statement_sql, quality_sql, text_sql, rules_sql, rollup_sql, trend_sql, insight_sql, ml_io_sql):
         q.update(part())
     return q
