@@ -78,6 +78,8 @@ class IsolationForestModel:
 
 def fit(df: DataFrame, key_cols: list[str], features_col: str = "features", t: Thresholds = DEFAULT,
         n_trees: int = 100, psi: int = 256, oversample: float = 3.0) -> IsolationForestModel:
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     n = df.count()
     keys = [F.col(f"`{c}`") for c in key_cols]
     pool_rate = min(1.0, oversample * n_trees * psi / max(n, 1))
@@ -136,7 +138,9 @@ def score(model: IsolationForestModel, df: DataFrame, keep: list[str], features_
           t: Thresholds = DEFAULT) -> DataFrame:
     """Adds ``score_samples`` (-2^(-E[h]/c(psi))), ``Anomaly_Score`` (= score - offset) and
     ``Is_Anomaly_Predicted`` (score below the offset). Sets ``model.offset`` from the data."""
+    from ..session import ship_package
     spark = df.sparkSession
+    ship_package(spark)
     bc = spark.sparkContext.broadcast(model)  # node arrays: bounded by trees x (2 psi - 1)
     cpsi = float(average_path_length([model.psi])[0]) or 1.0
     base = df.select(*[F.col(f"`{c}`") for c in keep], vector_to_array(features_col).alias("_x"))
