@@ -99,10 +99,11 @@ KEYWORD_DEFAULT_ASSET_ABOVE = 500_000
 
 def keyword_category(description: Column | str, amount: Column | str) -> Column:
     """Keyword fallback class of a raw description; no match: Asset above 5 lakh, else Expense."""
-    d = F.coalesce(_c(description), F.lit(""))
+    # patterns are lower-case ASCII: lower-casing the text once replaces a case-insensitive match
+    d = F.lower(F.coalesce(_c(description), F.lit("")))
     out = None
     for pattern, label in KEYWORD_RULES:
-        cond = d.rlike("(?i)" + pattern)
+        cond = d.rlike(pattern)
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
     default = F.when(_c(amount) > KEYWORD_DEFAULT_ASSET_ABOVE, F.lit("Asset")).otherwise(F.lit("Expense"))
     return out.otherwise(default)

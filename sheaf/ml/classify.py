@@ -53,10 +53,27 @@ def fit(df: DataFrame, t: Thresholds = DEFAULT, kind: str = "logistic") -> Categ
     return CategoryModel(pipe, clf.fit(data))
 
 
-def predict_categories(model: CategoryModel, df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+def fit_on_features(features: PipelineModel, train: DataFrame, t: Thresholds = DEFAULT,
+                    kind: str = "logistic") -> CategoryModel:
+    """Fit the classifier on rows that already carry ``features`` (the fitted pipeline is kept)."""
+    data = train.filter(F.col("Category").isin(*LABELS)).select(
+        "features", category_index("Category").cast("double").alias("label"))
+    if kind == "mlp":
+        n_in = len(data.first()["features"])
+        clf = MultilayerPerceptronClassifier(layers=[n_in, 64, len(LABELS)], seed=t.seed, maxIter=100)
+    else:
+        clf = LogisticRegression(family="multinomial", maxIter=100, regParam=1e-4, standardization=True)
+    return CategoryModel(features, clf.fit(data))
+
+
+def predict_categories(model: CategoryModel, df: DataFrame, t: Thresholds = DEFAULT,
+                       features_ready: bool = False) -> DataFrame:
     """Arg-max class; when the top probability is below the threshold the keyword fallback decides.
     Confidence_pct = round(100 * p, 1) is kept unchanged by the fallback."""
-    scored = model.classifier.transform(fx.transform(model.features, df))
+    base = df if features_ready else fx.transform(model.features, df)
+    keep = [c for c in df.columns if c != "features"] if features_ready else df.columns
+    df = df.select(*keep)
+    scored = model.classifier.transform(base)
     probs = vector_to_array("probability")
     p_max = F.array_max(probs)
     idx = (F.array_position(probs, p_max) - 1).cast("int")
@@ -79,10 +96,11 @@ def prediction_counts(pred: DataFrame, by: list[str] | None = None) -> DataFrame
     return category_distribution(pred, by, cat_col="Predicted_Category")
 
 
-def evaluate(model: CategoryModel, test: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+def evaluate(model: CategoryModel, test: DataFrame, t: Thresholds = DEFAULT, features_ready: bool = False) -> DataFrame:
     """Per class precision / recall / F1 / support plus an ``__accuracy__`` row, from the
     (label, prediction) confusion counts (a 4 x 4 table)."""
-    pred = model.classifier.transform(fx.transform(model.features, test.filter(F.col("Category").isin(*LABELS))))
+    test = test.filter(F.col("Category").isin(*LABELS))
+    pred = model.classifier.transform(test if features_ready else fx.transform(model.features, test))
     pred = pred.select(category_index("Category").alias("y"), F.col("prediction").cast("int").alias("p"))
     cm = pred.groupBy("y", "p").count()
     tp = cm.filter("y = p").select(F.col("y").alias("c"), F.col("count").alias("tp"))

@@ -26,29 +26,36 @@ from ..functions.text import clean_text
 
 
 def description_terms(desc: Column) -> Column:
-    """Unigrams (tokens of 2+ characters of the cleaned text) followed by the bigrams of those tokens."""
-    toks = F.filter(F.split(clean_text(F.coalesce(desc, F.lit(DESCRIPTION_DEFAULT))), " "),
-                    lambda w: F.length(w) >= 2)
-    bigrams = F.when(F.size(toks) >= 2, F.transform(
-        F.sequence(F.lit(1), F.size(toks) - 1), lambda i: F.concat(F.element_at(toks, i), F.lit(" "),
-                                                                    F.element_at(toks, i + 1)))
-    ).otherwise(F.array().cast("array<string>"))
+    """Unigrams (tokens of 2+ characters of the cleaned text) followed by the bigrams of those tokens.
+
+    Built without lambda functions so it stays in generated code: tokens are
+    ``regexp_extract_all`` of ``[a-z0-9]{2,}``; bigrams come from one
+    ``regexp_replace`` that rewrites "a b c" as "a b,b c,c" (look-ahead keeps
+    the next token), split on ',' and the trailing single token sliced off.
+    """
+    clean = clean_text(F.coalesce(desc, F.lit(DESCRIPTION_DEFAULT)))
+    toks = F.regexp_extract_all(clean, F.lit(r"[a-z0-9]{2,}"), 0)
+    joined = F.array_join(toks, " ")
+    pairs = F.split(F.regexp_replace(joined, r"([a-z0-9]+) (?=([a-z0-9]+))", "$1 $2,"), ",")
+    bigrams = F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0)))
     return F.concat(toks, bigrams)
 
 
 def term_document_frequency(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Vocabulary table: term, corpus count, document frequency, smoothed idf, rank (top-N by count).
 
-    Both counts are one explode + aggregate (map-side combined); the window
-    only ranks the distinct terms that survive ``min_df``.
+    One explode of each document's distinct terms carrying the in-document
+    count (``size(terms) - size(array_remove(terms, term))``), then one
+    aggregate per term (map-side combined). The global top-N ranking runs
+    as a per-partition limit before a single small merge.
     """
     from pyspark.sql import Window
     docs = df.select(description_terms(F.col("Description")).alias("terms"))
-    tf = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"))
+    per_doc = docs.select("terms", F.explode(F.array_distinct("terms")).alias("term"))
+    per_doc = per_doc.select("term", (F.size("terms") - F.size(F.array_remove("terms", F.col("term")))).alias("cnt"))
+    counts = per_doc.groupBy("term").agg(F.sum("cnt").cast("long").alias("tf"), F.count(F.lit(1)).alias("df"))
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    j = tf.join(dfreq, "term").filter(F.col("df") >= t.tfidf_min_df).crossJoin(F.broadcast(n))
+    j = counts.filter(F.col("df") >= t.tfidf_min_df).crossJoin(F.broadcast(n))  # n: exactly one row
     w = Window.orderBy(F.col("tf").desc(), F.col("term").asc())
     j = j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= t.tfidf_max_features)
     idf = F.log((F.col("n_docs") + 1).cast("double") / (F.col("df") + 1).cast("double")) + 1.0

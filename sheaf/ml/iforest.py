@@ -87,12 +87,18 @@ def fit(df: DataFrame, key_cols: list[str], features_col: str = "features", t: T
     tree_rate = min(1.0, oversample * psi / pool_size)
     scale = 2 ** 31
     pool = df.filter(F.pmod(F.xxhash64(*keys, F.lit(t.seed)), F.lit(scale)) < int(pool_rate * scale))
-    pool = pool.select(*keys, features_col).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    h = F.xxhash64(*keys, F.col("tree"), F.lit(t.seed + 1))
-    pool = pool.withColumn("_h", h).filter(F.pmod(F.col("_h"), F.lit(scale)) < int(tree_rate * scale))
-    pool = pool.withColumn("_rn", F.row_number().over(Window.partitionBy("tree").orderBy("_h", *keys)))
-    sample = pool.filter(F.col("_rn") <= psi).select("tree", vector_to_array(features_col).alias("x"))
+    # the pool is bounded (about oversample x trees x psi rows); keep it so the row ids stay fixed
+    pool = pool.select(*keys, features_col).withColumn("_rid", F.monotonically_increasing_id()).persist()
+    # tree membership is decided on (row id, keys) only; vectors join back after the cut to psi rows
+    member = pool.select("_rid", *keys).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    member = member.withColumn("_h", F.xxhash64(*keys, F.col("_rid"), F.col("tree"), F.lit(t.seed + 1)))
+    member = member.filter(F.pmod(F.col("_h"), F.lit(scale)) < int(tree_rate * scale))
+    member = member.withColumn("_rn", F.row_number().over(Window.partitionBy("tree").orderBy("_h", "_rid")))
+    member = member.filter(F.col("_rn") <= psi).select("tree", "_rid")
+    sample = member.join(pool.select("_rid", features_col), "_rid").select(
+        "tree", vector_to_array(features_col).alias("x"))
     nodes = sample.groupBy("tree").applyInPandas(_grow(t.seed, psi), NODE_SCHEMA).toPandas()
+    pool.unpersist()
     return _pack(nodes, min(psi, max(n, 1)))
 
 

@@ -24,11 +24,31 @@ def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
     return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
 
 
+def feature_model(spark: SparkSession, sf_dir: str):
+    """Feature pipeline fitted on the whole ledger (vocabulary, idf, modes, scaling)."""
+    k = _key(spark, sf_dir, "feature_model")
+    if k not in _MODELS:
+        _MODELS[k] = fx.feature_pipeline(fx.fit_feature_spec(ledger(spark, sf_dir)))
+    return _MODELS[k]
+
+
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows with their sparse ``features`` vector, written once to the shared folder:
+    training, evaluation, prediction and the isolation forest all read it."""
+    k = _key(spark, sf_dir, "feature_table")
+    if k not in _MODELS:
+        out = fx.transform(feature_model(spark, sf_dir), ledger(spark, sf_dir))
+        path = scratch_path(spark, "features")
+        out.write.mode("overwrite").parquet(path)
+        _MODELS[k] = path
+    return spark.read.parquet(_MODELS[k])
+
+
 def category_model(spark: SparkSession, sf_dir: str) -> classify.CategoryModel:
     k = _key(spark, sf_dir, "category_model")
     if k not in _MODELS:
-        train, _ = classify.split_train_test(ledger(spark, sf_dir))
-        _MODELS[k] = classify.fit(train)
+        train, _ = classify.split_train_test(feature_table(spark, sf_dir), key_cols=KEYS)
+        _MODELS[k] = classify.fit_on_features(feature_model(spark, sf_dir), train)
     return _MODELS[k]
 
 
@@ -46,40 +66,41 @@ def amount_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = ledger(spark, sf_dir)
-    pipe = fx.feature_pipeline(fx.fit_feature_spec(led))
-    out = fx.transform(pipe, led)
-    return out.select("Company_ID", "Category", F.size(vector_to_array_nz("features")).alias("nonzero"),
-                      "amount_scaled", "mode_index", "month", "is_weekend")
+    """Per row: number of non-zero TF-IDF terms and the four numeric features."""
+    out = fx.transform(feature_model(spark, sf_dir), ledger(spark, sf_dir))
+    return out.select("Company_ID", "Category", nonzero_terms("tfidf"), "amount_scaled", "mode_index", "month",
+                      "is_weekend")
 
 
-def vector_to_array_nz(col: str):
+def nonzero_terms(col: str):
     from pyspark.ml.functions import vector_to_array
-    return F.filter(vector_to_array(col), lambda v: v != 0)
+    return F.size(F.array_remove(vector_to_array(col), 0.0)).alias("nonzero")
 
 
 def classifier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = category_model(spark, sf_dir)
-    _, test = classify.split_train_test(ledger(spark, sf_dir))
-    return classify.evaluate(model, test)
+    _, test = classify.split_train_test(feature_table(spark, sf_dir), key_cols=KEYS)
+    return classify.evaluate(model, test, features_ready=True)
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.predict_categories(category_model(spark, sf_dir), feature_table(spark, sf_dir),
+                                       features_ready=True)
 
 
 def predict_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = category_model(spark, sf_dir)
-    pred = classify.predict_categories(model, ledger(spark, sf_dir))
+    pred = _predicted(spark, sf_dir)
     return pred.select("Company_ID", F.date_format("Date", "yyyy-MM-dd").alias("Date"), "Description",
                        F.col("Amount").cast("double").alias("Amount"), "Category", "Predicted_Category",
                        "Confidence_pct", "used_fallback")
 
 
 def prediction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = category_model(spark, sf_dir)
-    return classify.prediction_counts(classify.predict_categories(model, ledger(spark, sf_dir)))
+    return classify.prediction_counts(_predicted(spark, sf_dir))
 
 
 def fallback_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = category_model(spark, sf_dir)
-    return classify.fallback_rate(classify.predict_categories(model, ledger(spark, sf_dir)))
+    return classify.fallback_rate(_predicted(spark, sf_dir))
 
 
 KEYS = ["Company_ID", "Date", "Description", "Amount", "Category", "Sub_Category", "Payment_Mode",
@@ -89,12 +110,12 @@ KEYS = ["Company_ID", "Date", "Description", "Amount", "Category", "Sub_Category
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _key(spark, sf_dir, "iforest_scored")
     if k not in _MODELS:
-        led = ledger(spark, sf_dir)
-        feats = fx.transform(category_model(spark, sf_dir).features, led)
+        feats = feature_table(spark, sf_dir)
         model = iforest.fit(feats, KEYS)
-        scored = iforest.with_decision(iforest.score(model, feats, KEYS))
+        raw = scratch_path(spark, "iforest_raw")
+        iforest.score(model, feats, KEYS).write.mode("overwrite").parquet(raw)  # score once
         path = scratch_path(spark, "iforest_scores")
-        scored.write.mode("overwrite").parquet(path)  # cut lineage: scores are read twice below
+        iforest.with_decision(spark.read.parquet(raw)).write.mode("overwrite").parquet(path)
         _MODELS[k] = path
     return spark.read.parquet(_MODELS[k])
 
