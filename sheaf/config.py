@@ -49,9 +49,10 @@ class Thresholds:
     tds_contract_limit: int = 100_000
     advance_tax_pbt: int = 40_000
     advance_tax_min: int = 10_000
-    # Engine choice, not a reference value: exact quantiles (parity) or a
-    # bounded-memory sketch for very large groups.
-    exact_quantiles: bool = True
+    # Engine choice, not a reference value: how per-group quantiles are found.
+    # 'auto' = exact; Spark's percentile map when the largest group is small,
+    # radix selection (exact, bounded memory) otherwise; 'sketch' = approximate.
+    quantile_method: str = "auto"
     approx_accuracy: int = 100_000
 
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from .common import drop_null_keys, join_small, resolve_by
-
-PAISE = "CAST(Amount * 100 AS DOUBLE)"
+from .quantiles import group_quantiles_paise
 
 
 def iqr_thresholds(df: DataFrame, by: list[str] | None = None, t: Thresholds = DEFAULT) -> DataFrame:
@@ -18,14 +17,7 @@ def iqr_thresholds(df: DataFrame, by: list[str] | None = None, t: Thresholds = D
     exact and the comparison ``Amount*100 > threshold_paise`` is exact too.
     """
     by = resolve_by(df, by)
-    src = drop_null_keys(df, by)
-    if t.exact_quantiles:
-        q = F.expr(f"percentile({PAISE}, array(0.25D, 0.75D))")
-    else:
-        q = F.expr(f"percentile_approx({PAISE}, array(0.25D, 0.75D), {t.approx_accuracy})")
-    aggs = [q.alias("_q"), F.expr(f"count({PAISE}) AS n_nonnull"), F.expr("count(1) AS n_rows")]
-    g = src.groupBy(*by).agg(*aggs) if by else src.agg(*aggs)
-    g = g.selectExpr(*[f"`{b}`" for b in by], "_q[0] AS q1p", "_q[1] AS q3p", "n_nonnull", "n_rows")
+    g = group_quantiles_paise(df, by, (0.25, 0.75), ("q1p", "q3p"), t.quantile_method, t.approx_accuracy)
     g = g.selectExpr("*", f"q3p + {t.iqr_factor}D * (q3p - q1p) AS threshold_paise")
     return g.selectExpr(*[f"`{b}`" for b in by], "q1p / 100.0D AS q1", "q3p / 100.0D AS q3",
                         "(q3p - q1p) / 100.0D AS iqr", "threshold_paise / 100.0D AS threshold", "threshold_paise",

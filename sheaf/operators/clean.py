@@ -8,19 +8,12 @@ from pyspark.sql import functions as F
 from ..config import DESCRIPTION_DEFAULT, PAYMENT_MODE_DEFAULT, VENDOR_DEFAULT, DEFAULT, Thresholds
 from ..functions.scalars import parse_date
 from .common import join_small, resolve_by
-
-
-def paise(c: str = "Amount"):
-    """Amount in paise as DOUBLE. Integers below 2**53 are exact, so quantile
-    interpolation (fractions 1/4, 1/2, 3/4) is exact too and engine-independent."""
-    return (F.col(c) * 100).cast("double")
+from .quantiles import group_quantiles_paise
 
 
 def group_median_amount(df: DataFrame, by: list[str], t: Thresholds = DEFAULT) -> DataFrame:
-    """Median Amount per key (nulls ignored) as DECIMAL(20,3), exact."""
-    agg = (F.percentile(paise(), 0.5) if t.exact_quantiles
-           else F.percentile_approx(paise(), 0.5, t.approx_accuracy))
-    g = df.groupBy(*by).agg(agg.alias("_med_paise")) if by else df.agg(agg.alias("_med_paise"))
+    """Median Amount per key (nulls ignored) as DECIMAL(20,3), exact (half-paise medians are kept)."""
+    g = group_quantiles_paise(df, by, (0.5,), ("_med_paise",), t.quantile_method, t.approx_accuracy)
     return g.select(*by, (F.col("_med_paise").cast("decimal(20,1)") / 100).cast("decimal(20,3)").alias("_median"))
 
 

@@ -42,26 +42,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b.cast("double"))
 
 
-def group_quantiles(df: DataFrame, by: list[str], col: str, qs: tuple[float, ...], names: tuple[str, ...],
-                    exact: bool = True, accuracy: int = 100_000, extra_aggs: list[Column] | None = None) -> DataFrame:
-    """Per-group quantiles of ``col`` (nulls ignored), linear interpolation like pandas.
-
-    ``exact=True`` uses Spark's exact ``percentile`` (partial aggregation of a
-    value->count map, merged per group); ``exact=False`` uses the mergeable
-    ``percentile_approx`` sketch whose memory does not grow with the group.
-    """
-    x = F.col(col).cast("double")
-    if exact:
-        arr = F.percentile(x, F.array(*[F.lit(q) for q in qs]))
-    else:
-        arr = F.percentile_approx(x, [float(q) for q in qs], accuracy)
-    aggs = [arr.alias("_q"), F.count(x).alias("n_nonnull"), F.count(F.lit(1)).alias("n_rows")]
-    aggs += extra_aggs or []
-    g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    return g.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)],
-                    *[c for c in g.columns if c not in by and c != "_q"])
-
-
 def join_small(big: DataFrame, small: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Join a per-group result (one row per key) back onto rows.
 
