@@ -31,7 +31,12 @@ def read_ledgers(spark: SparkSession, path: str, exclude: str = "clean") -> Data
     df = (spark.read.schema(LEDGER_CSV_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
           .option("pathGlobFilter", "*.csv").csv(path))
     if exclude:
-        df = df.filter(~F.col("_metadata.file_name").contains(exclude))
+        # a file named *clean*, or a Spark dataset folder named *clean* (its part files), is skipped;
+        # the folder given as ``path`` itself is never tested
+        root = path.rstrip("/").split("/")[-1]
+        parent = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        skip = F.col("_metadata.file_name").contains(exclude) | (parent.contains(exclude) & (parent != F.lit(root)))
+        df = df.filter(~skip)
     return _normalise(df)
 
 
