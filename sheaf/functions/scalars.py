@@ -52,3 +52,13 @@ def valid_category(c: Column | str) -> Column:
     """True for the four classes; null counts as not valid (like pandas ``isin``)."""
     col = F.col(c) if isinstance(c, str) else c
     return F.coalesce(col.isin(*LABELS), F.lit(False))
+
+
+def gst_amount(amount: Column | str, pct: Column | str, exempt: Column | str) -> Column:
+    """GST on an amount: 0 for an exempt sub-category or a 0 % slab, else round(amount * pct / 100, 2)."""
+    a = F.col(amount) if isinstance(amount, str) else amount
+    p = F.col(pct) if isinstance(pct, str) else pct
+    e = F.col(exempt) if isinstance(exempt, str) else exempt
+    g = F.round(a * p.cast("decimal(4,0)") * F.lit(0.01).cast("decimal(3,2)"), 2).cast("decimal(18,2)")
+    return F.when(F.coalesce(e, F.lit(0)) == 1, F.lit(0).cast("decimal(18,2)")).when(p == 0, F.lit(0).cast(
+        "decimal(18,2)")).otherwise(g)

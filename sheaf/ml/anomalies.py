@@ -21,3 +21,15 @@ def anomaly_summary(scored: DataFrame, by: list[str] | None = None, t: Threshold
     aggs = [F.count_if(stat).alias("statistical_count"), F.count_if(ml).alias("ml_count"),
             F.count_if(stat | ml).alias("total_unique"), F.count(F.lit(1)).alias("rows")]
     return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+
+
+def predicted_anomaly_rows(scored: DataFrame, by: list[str] | None = None, n: int = 100) -> DataFrame:
+    """The first n forest-flagged rows per key, most anomalous first (a report list; the cap is the feature)."""
+    from pyspark.sql import Window
+
+    by = resolve_by(scored, by)
+    flagged = scored.filter(F.col("Is_Anomaly_Predicted"))
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(
+        F.col("Anomaly_Score").asc(), F.col("Amount").desc(), F.col("Date").asc_nulls_last(),
+        F.col("Description").asc_nulls_last())
+    return flagged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -123,3 +123,8 @@ def confusion_matrix(model: CategoryModel, test: DataFrame) -> DataFrame:
     pred = model.classifier.transform(fx.transform(model.features, test.filter(F.col("Category").isin(*LABELS))))
     return pred.groupBy(category_index("Category").alias("label"), F.col("prediction").cast("int")
                         .alias("prediction")).count()
+
+
+def low_confidence_rows(pred: DataFrame, below: float = 60.0) -> DataFrame:
+    """Predictions whose confidence is under ``below`` percent (for review)."""
+    return pred.filter(F.col("Confidence_pct") < below)

@@ -147,7 +147,8 @@ def insights_by_severity(insights: DataFrame) -> DataFrame:
     """Tax findings grouped critical -> warning -> info (sorted output)."""
     rank = F.when(F.col("level") == "critical", 0).when(F.col("level") == "warning", 1).otherwise(2)
     by = [c for c in ("Company_ID",) if c in insights.columns]
-    return insights.filter(F.col("title").startswith("[TAX COMPLIANCE]")).orderBy(*by, rank, "seq")
+    tax = insights.filter(F.col("title").startswith("[TAX COMPLIANCE]")).withColumn("severity_rank", rank)
+    return tax.orderBy(*by, "severity_rank", "seq")
 
 
 def health_alerts(df: DataFrame, by: list[str] | None = None, cat_col: str = "Category") -> DataFrame:

@@ -156,3 +156,35 @@ def dataset_overview(df: DataFrame, by: list[str] | None = None, cat_col: str =
                                                                                   "Liability")]
     g = src.groupBy(*by).agg(*aggs) if by else src.agg(*aggs)
     return g.select(*by, "rows", F.lit(len(df.columns)).alias("columns"), *[c for c in g.columns if c.startswith("n_")])
+
+
+def gst_consistency(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Recompute GST from Amount, slab and the chart of accounts' exemption (broadcast 70-row dimension)
+    and count rows whose stored GST_Amount differs, per key and slab."""
+    from ..functions.scalars import gst_amount
+    from ..sources.coa import coa_df
+
+    by = resolve_by(df, by)
+    coa = coa_df(df.sparkSession).select(F.col("coa_sub_category").alias("Sub_Category"),
+                                         F.col("coa_gst_exempt").alias("_exempt"))
+    j = drop_null_keys(df, by).join(coa, on="Sub_Category", how="left")
+    exp = gst_amount("Amount", "GST_Percentage", "_exempt")
+    j = j.withColumn("_exp", exp)
+    return j.groupBy(*by, F.col("GST_Percentage").alias("slab")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.coalesce(F.col("_exp") == F.col("GST_Amount"), F.lit(False))).alias("mismatches"),
+        F.sum("_exp").cast("double").alias("gst_expected"), F.sum("GST_Amount").cast("double").alias("gst_stored"))
+
+
+def preview(df: DataFrame, by: list[str] | None = None, n: int = 500,
+            drop: tuple[str, ...] = ("Description_clean", "Month", "Is_Weekend", "Payment_Mode_enc",
+                                     "Category_enc", "Log_Amount", "Amount_scaled", "features")) -> DataFrame:
+    """First n rows per key in (date, then all columns) order, feature columns removed.
+    The row cap is the operator itself (a preview); Spark plans it as a per-partition top-k."""
+    from pyspark.sql import Window
+
+    by = resolve_by(df, by)
+    keep = [c for c in df.columns if c not in drop]
+    order = [F.col(c).asc_nulls_last() for c in keep if c not in by]
+    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
+    return df.select(*keep).withColumn("row_no", F.row_number().over(w)).filter(F.col("row_no") <= n)

@@ -73,6 +73,10 @@ def _insights(df):
     return insights.compliance_insights(df)
 
 
+def _tax_insights(df):
+    return insights.insights_by_severity(insights.compliance_insights(df))
+
+
 def _score(df):
     return insights.compliance_score(insights.compliance_insights(df))
 
@@ -94,6 +98,8 @@ def queries() -> dict[str, Query]:
     q["unknown_categories"] = _on(D, quality.unknown_categories)
     q["preview_metrics"] = _on(D, quality.preview_metrics)
     q["dataset_overview"] = _on(L, quality.dataset_overview)
+    q["gst_consistency"] = _on(L, quality.gst_consistency)
+    q["preview"] = _on(D, quality.preview)
     # scalar functions
     q["ledger_text"] = _on(L, ledger_text)
     q["ledger_features"] = _on(L, ledger_features)
@@ -118,6 +124,7 @@ def queries() -> dict[str, Query]:
     q["compliance_insights"] = _on(L, _insights)
     q["compliance_score"] = _on(L, _score)
     q["health_alerts"] = _on(L, insights.health_alerts)
+    q["tax_insights_by_severity"] = _on(L, _tax_insights)
     # sources/sinks, streaming, ML
     from . import ml_queries
     for k, fn in ml_queries.queries().items():

@@ -131,6 +131,19 @@ def anomaly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomalies.anomaly_summary(_scored(spark, sf_dir))
 
 
+def predicted_anomaly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = anomalies.predicted_anomaly_rows(_scored(spark, sf_dir))
+    return r.select("Company_ID", "rank", F.date_format("Date", "yyyy-MM-dd").alias("Date"), "Description",
+                    F.col("Amount").cast("double").alias("Amount"), "Category", "Anomaly_Score")
+
+
+def low_confidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = classify.low_confidence_rows(_predicted(spark, sf_dir))
+    return r.select("Company_ID", F.date_format("Date", "yyyy-MM-dd").alias("Date"), "Description",
+                    F.col("Amount").cast("double").alias("Amount"), "Category", "Predicted_Category",
+                    "Confidence_pct", "used_fallback")
+
+
 def read_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip: write the ledger as one CSV folder per company, read every CSV back."""
     k = _key(spark, sf_dir, "ledger_csv")
@@ -181,5 +194,7 @@ def queries() -> dict:
         "fallback_rate": fallback_rate,
         "isolation_forest": isolation_forest,
         "anomaly_summary": anomaly_summary,
+        "predicted_anomaly_rows": predicted_anomaly_rows,
+        "low_confidence_rows": low_confidence_rows,
     }
 

@@ -630,8 +630,34 @@ SELECT term, tf, df, n_docs, ROUND(LN(CAST(n_docs + 1 AS DOUBLE) / CAST(df + 1 A
     return q
 
 
+def extra_sql() -> dict[str, str]:
+    from ..sources.coa import coa_rows
+    vals = ", ".join("('%s', %d)" % (sub.replace("'", "''"), ex) for _, _, sub, _, ex in coa_rows())
+    q = {}
+    q["gst_consistency"] = with_ledger(f"""
+WITH coa2 AS (SELECT * FROM (VALUES {vals}) AS t(sub, exempt)),
+x AS (SELECT l.*, CASE WHEN COALESCE(c.exempt, 0) = 1 THEN CAST(0 AS DECIMAL(18,2))
+                       WHEN GST_Percentage = 0 THEN CAST(0 AS DECIMAL(18,2))
+                       ELSE CAST(ROUND(Amount * CAST(GST_Percentage AS DECIMAL(4,0)) * CAST(0.01 AS DECIMAL(3,2)), 2)
+                                 AS DECIMAL(18,2)) END AS exp
+      FROM ledger l LEFT JOIN coa2 c ON l.Sub_Category = c.sub WHERE l.Company_ID IS NOT NULL)
+SELECT Company_ID, GST_Percentage AS slab, COUNT(*) AS rows,
+       COUNT_IF(NOT COALESCE(exp = GST_Amount, FALSE)) AS mismatches,
+       CAST(SUM(exp) AS DOUBLE) AS gst_expected, CAST(SUM(GST_Amount) AS DOUBLE) AS gst_stored
+FROM x GROUP BY 1, 2""")
+    order = ", ".join(f"{c} ASC NULLS LAST" for c in LEDGER_COLUMNS if c != "Company_ID")
+    q["preview"] = with_ledger(
+        f"SELECT {PRESENT_COLS}, CAST(rn AS INTEGER) AS row_no FROM (SELECT *, ROW_NUMBER() OVER"
+        f" (PARTITION BY Company_ID ORDER BY {order}) AS rn FROM ledger_dirty) p WHERE rn <= 500", dirty=True)
+    ins = insight_sql()["compliance_insights"]
+    q["tax_insights_by_severity"] = (
+        "SELECT *, CASE level WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS severity_rank FROM ("
+        + ins + ") i WHERE title LIKE '[TAX COMPLIANCE]%'")
+    return q
+
+
 def all_sql() -> dict[str, str]:
     q: dict[str, str] = {}
-    for part in (statement_sql, quality_sql, text_sql, rules_sql, rollup_sql, trend_sql, insight_sql, ml_io_sql):
+    for part in (statement_sql, quality_sql, text_sql, rules_sql, rollup_sql, trend_sql, insight_sql, ml_io_sql, extra_sql):
         q.update(part())
     return q
