@@ -39,6 +39,7 @@ class Thresholds:
     tfidf_min_df: int = 2
     chunk_size: int = 10_000
     test_fraction: float = 0.20
+    train_iterations: int = 30  # the reference's epoch cap, used as the optimiser's iteration cap
     contamination: float = 0.05
     seed: int = 42
     # Large-amount cut-offs of the tax checks (rupees)

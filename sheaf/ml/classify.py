@@ -47,9 +47,10 @@ def fit(df: DataFrame, t: Thresholds = DEFAULT, kind: str = "logistic") -> Categ
     data = fx.transform(pipe, labelled).select("features", "label")
     if kind == "mlp":
         n_in = len(spec.vocabulary) + 4
-        clf = MultilayerPerceptronClassifier(layers=[n_in, 64, len(LABELS)], seed=t.seed, maxIter=100)
+        clf = MultilayerPerceptronClassifier(layers=[n_in, 64, len(LABELS)], seed=t.seed, maxIter=t.train_iterations)
     else:
-        clf = LogisticRegression(family="multinomial", maxIter=100, regParam=1e-4, standardization=True)
+        clf = LogisticRegression(family="multinomial", maxIter=t.train_iterations, regParam=1e-4,
+                                 standardization=True)
     return CategoryModel(pipe, clf.fit(data))
 
 
@@ -60,9 +61,9 @@ def fit_on_features(features: PipelineModel, train: DataFrame, t: Thresholds = D
         "features", category_index("Category").cast("double").alias("label"))
     if kind == "mlp":
         n_in = len(data.first()["features"])
-        clf = MultilayerPerceptronClassifier(layers=[n_in, 64, len(LABELS)], seed=t.seed, maxIter=100)
+        clf = MultilayerPerceptronClassifier(layers=[n_in, 64, len(LABELS)], seed=t.seed, maxIter=t.train_iterations)
     else:
-        clf = LogisticRegression(family="multinomial", maxIter=100, regParam=1e-4, standardization=True)
+        clf = LogisticRegression(family="multinomial", maxIter=t.train_iterations, regParam=1e-4, standardization=True)
     return CategoryModel(features, clf.fit(data))
 
 

@@ -96,7 +96,7 @@ def fit(df: DataFrame, key_cols: list[str], features_col: str = "features", t: T
     member = member.withColumn("_rn", F.row_number().over(Window.partitionBy("tree").orderBy("_h", "_rid")))
     member = member.filter(F.col("_rn") <= psi).select("tree", "_rid")
     sample = member.join(pool.select("_rid", features_col), "_rid").select(
-        "tree", vector_to_array(features_col).alias("x"))
+        "tree", vector_to_array(features_col, "float32").alias("x"))  # float32 like the usual forest
     nodes = sample.groupBy("tree").applyInPandas(_grow(t.seed, psi), NODE_SCHEMA).toPandas()
     pool.unpersist()
     return _pack(nodes, min(psi, max(n, 1)))
@@ -147,15 +147,24 @@ def score(model: IsolationForestModel, df: DataFrame, keep: list[str], features_
     from ..session import ship_package
     spark = df.sparkSession
     ship_package(spark)
-    bc = spark.sparkContext.broadcast(model)  # node arrays: bounded by trees x (2 psi - 1)
     cpsi = float(average_path_length([model.psi])[0]) or 1.0
-    base = df.select(*[F.col(f"`{c}`") for c in keep], vector_to_array(features_col).alias("_x"))
+    # only the dimensions some tree splits on travel to Python (float32): a node of <= psi rows is
+    # constant on most sparse text dimensions, so far fewer than all dimensions are ever used
+    used = np.unique(model.feature[model.feature >= 0])
+    remap = np.full(max(int(model.feature.max()) + 1, 1), 0, dtype=np.int32)
+    remap[used] = np.arange(len(used), dtype=np.int32)
+    model = IsolationForestModel(np.where(model.feature >= 0, remap[np.maximum(model.feature, 0)], -1),
+                                 model.threshold, model.left, model.right, model.leaf_path, model.psi)
+    bc = spark.sparkContext.broadcast(model)
+    arr = vector_to_array(features_col, "float32")
+    base = df.select(*[F.col(f"`{c}`") for c in keep], F.array(*[arr[int(i)] for i in used]).alias("_x")
+                     if len(used) else F.array(F.lit(0.0).cast("float")).alias("_x"))
     out_schema = base.drop("_x").schema.add("score_samples", "double")
 
     def run(batches):
         m = bc.value
         for pdf in batches:
-            x = np.stack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, 1))
+            x = np.stack(pdf["_x"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
             s = -np.power(2.0, -_path_lengths(m, x) / cpsi) if len(pdf) else np.zeros(0)
             yield pdf.drop(columns=["_x"]).assign(score_samples=s)
 

@@ -67,7 +67,7 @@ def amount_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per row: number of non-zero TF-IDF terms and the four numeric features."""
-    out = fx.transform(feature_model(spark, sf_dir), ledger(spark, sf_dir))
+    out = feature_table(spark, sf_dir)
     return out.select("Company_ID", "Category", nonzero_terms("tfidf"), "amount_scaled", "mode_index", "month",
                       "is_weekend")
 
