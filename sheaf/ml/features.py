@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, DESCRIPTION_DEFAULT, PAYMENT_MODE_DEFAULT, Thresholds
 from ..functions.scalars import is_weekend, month_or_one
 from ..functions.text import clean_text
+from ..operators.common import attach_row
 
 
 def description_terms(desc: Column) -> Column:
@@ -55,7 +56,7 @@ def term_document_frequency(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame
     per_doc = per_doc.select("term", (F.size("terms") - F.size(F.array_remove("terms", F.col("term")))).alias("cnt"))
     counts = per_doc.groupBy("term").agg(F.sum("cnt").cast("long").alias("tf"), F.count(F.lit(1)).alias("df"))
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    j = counts.filter(F.col("df") >= t.tfidf_min_df).crossJoin(F.broadcast(n))  # n: exactly one row
+    j = attach_row(counts.filter(F.col("df") >= t.tfidf_min_df), n)  # n: one global count
     w = Window.orderBy(F.col("tf").desc(), F.col("term").asc())
     j = j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= t.tfidf_max_features)
     idf = F.log((F.col("n_docs") + 1).cast("double") / (F.col("df") + 1).cast("double")) + 1.0

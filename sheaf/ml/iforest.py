@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
+from ..operators.common import attach_row
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size int, depth int")
 EULER = 0.5772156649015329
@@ -142,23 +143,15 @@ def _path_lengths(m: IsolationForestModel, x: np.ndarray) -> np.ndarray:
 
 def score(model: IsolationForestModel, df: DataFrame, keep: list[str], features_col: str = "features",
           t: Thresholds = DEFAULT) -> DataFrame:
-    """Adds ``score_samples`` (-2^(-E[h]/c(psi))), ``Anomaly_Score`` (= score - offset) and
-    ``Is_Anomaly_Predicted`` (score below the offset). Sets ``model.offset`` from the data."""
+    """Adds ``score_samples`` = -2^(-E[h(x)]/c(psi)) (higher is more normal); ``with_decision``
+    then turns it into ``Anomaly_Score`` and ``Is_Anomaly_Predicted``."""
     from ..session import ship_package
     spark = df.sparkSession
     ship_package(spark)
     cpsi = float(average_path_length([model.psi])[0]) or 1.0
-    # only the dimensions some tree splits on travel to Python (float32): a node of <= psi rows is
-    # constant on most sparse text dimensions, so far fewer than all dimensions are ever used
-    used = np.unique(model.feature[model.feature >= 0])
-    remap = np.full(max(int(model.feature.max()) + 1, 1), 0, dtype=np.int32)
-    remap[used] = np.arange(len(used), dtype=np.int32)
-    model = IsolationForestModel(np.where(model.feature >= 0, remap[np.maximum(model.feature, 0)], -1),
-                                 model.threshold, model.left, model.right, model.leaf_path, model.psi)
+    # the dense float32 array travels once per row; numpy indexes the split dimensions
     bc = spark.sparkContext.broadcast(model)
-    arr = vector_to_array(features_col, "float32")
-    base = df.select(*[F.col(f"`{c}`") for c in keep], F.array(*[arr[int(i)] for i in used]).alias("_x")
-                     if len(used) else F.array(F.lit(0.0).cast("float")).alias("_x"))
+    base = df.select(*[F.col(f"`{c}`") for c in keep], vector_to_array(features_col, "float32").alias("_x"))
     out_schema = base.drop("_x").schema.add("score_samples", "double")
 
     def run(batches):
@@ -175,7 +168,7 @@ def score(model: IsolationForestModel, df: DataFrame, keep: list[str], features_
 def with_decision(scored: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Offset = contamination quantile of the scores; decision = score - offset; anomaly when below 0."""
     off = scored.agg(F.percentile_approx("score_samples", t.contamination, 100_000).alias("offset"))
-    s = scored.crossJoin(F.broadcast(off))  # one row
+    s = attach_row(scored, off)  # the cut-off is one scalar
     return s.select(*[c for c in scored.columns if c != "score_samples"],
                     (F.col("score_samples") - F.col("offset")).alias("Anomaly_Score"),
                     (F.col("score_samples") - F.col("offset") < 0).alias("Is_Anomaly_Predicted"))

@@ -49,7 +49,7 @@ def statistical_anomalies(df: DataFrame, by: list[str] | None = None, t: Thresho
     o = rows.filter((F.col("Amount") * 100).cast("double") > F.col("threshold_paise"))
     aggs = [F.count(F.lit(1)).alias("count"), F.sum("Amount").alias("_tot"), F.max("Amount").alias("_max")]
     o = o.groupBy(*by).agg(*aggs) if by else o.agg(*aggs)
-    r = join_small(thr, o, by, "left") if by else thr.crossJoin(o)
+    r = join_small(thr, o, by, "left")
     avail = F.col("n_nonnull") >= t.min_rows_for_anomaly
     return r.select(
         *by, avail.alias("available"), F.when(avail, F.col("q1")).alias("q1"), F.when(avail, F.col("q3")).alias("q3"),

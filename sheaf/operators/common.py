@@ -42,15 +42,26 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b.cast("double"))
 
 
+def attach_row(big: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row result (a global statistic) to every row as typed literals.
+
+    The single row is collected - a scalar result, not data - so no join or
+    cross product is planned. With no row, the columns are null.
+    """
+    r = one_row.first()
+    cols = [F.lit(r[f.name] if r is not None else None).cast(f.dataType).alias(f.name) for f in one_row.schema.fields]
+    return big.select("*", *cols)
+
+
 def join_small(big: DataFrame, small: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Join a per-group result (one row per key) back onto rows.
 
-    With ``by=[]`` the small side is a single row: a cross join of one row is
-    a broadcast with a proven size of 1. Otherwise it is an equi-join on the
-    keys; the planner/AQE broadcasts it only when its measured size allows.
+    With ``by=[]`` the small side is one global row, attached as literals.
+    Otherwise it is an equi-join on the keys; AQE broadcasts it only when its
+    measured size allows, else it sort-merges with skew splitting.
     """
     if not by:
-        return big.crossJoin(F.broadcast(small))
+        return attach_row(big, small)
     return big.join(small, on=by, how=how)
 
 

@@ -62,7 +62,7 @@ def outlier_stats(df: DataFrame, by: list[str], t: Thresholds = DEFAULT) -> Data
     o = rows.filter((F.col("Amount") * 100).cast("double") > F.col("threshold_paise"))
     aggs = [F.count(F.lit(1)).alias("out_n"), F.max("Amount").alias("out_max")]
     o = o.groupBy(*by).agg(*aggs) if by else o.agg(*aggs)
-    return join_small(thr, o, by, "left") if by else thr.crossJoin(o)
+    return join_small(thr, o, by, "left")
 
 
 def compliance_insights(df: DataFrame, by: list[str] | None = None, cat_col: str = "Category",
@@ -72,10 +72,7 @@ def compliance_insights(df: DataFrame, by: list[str] | None = None, cat_col: str
     s = summary_aggregate(df, by, cat_col)
     x = tax_check_aggregate(df, by, cat_col, t)
     o = outlier_stats(df, by, t)
-    if by:
-        k = s.join(x, on=by).join(o, on=by, how="left")
-    else:
-        k = s.crossJoin(x).crossJoin(o)
+    k = join_small(join_small(s, x, by), o, by, "left")
 
     ti, te, net, pm = F.col("total_income"), F.col("total_expense"), F.col("net_profit_loss"), F.col(
         "profit_margin_pct")
@@ -156,7 +153,7 @@ def health_alerts(df: DataFrame, by: list[str] | None = None, cat_col: str = "Ca
     by = resolve_by(df, by)
     s = summary_aggregate(df, by, cat_col)
     y = yoy_comparison(df, by, "Category").select(*by, "available", "revenue_growth_pct", "expense_growth_pct")
-    k = s.join(y, on=by, how="left") if by else s.crossJoin(y)
+    k = join_small(s, y, by, "left")
     rg = F.coalesce(F.col("revenue_growth_pct"), F.lit(0.0))
     eg = F.coalesce(F.col("expense_growth_pct"), F.lit(0.0))
     te = F.col("total_expense")

@@ -75,7 +75,7 @@ def quality_report(df: DataFrame, by: list[str] | None = None, cat_col: str = "C
     by = resolve_by(df, by)
     checks = _row_checks(df, by, cat_col)
     dups = duplicate_counts(df, by)
-    r = join_small(checks, dups, by, how="left") if by else checks.crossJoin(dups)
+    r = join_small(checks, dups, by, how="left")
     ncols = len(df.columns)
     penalty = ("((((CAST(missing_cells AS DOUBLE) * 0.5D) + CAST(coalesce(duplicates, 0) AS DOUBLE) * 1.0D)"
                " + CAST(negatives AS DOUBLE) * 0.5D) + CAST(zeros AS DOUBLE) * 0.2D) + CAST(unknown AS DOUBLE) * 1.0D")
@@ -125,8 +125,7 @@ def quality_issues(df: DataFrame, by: list[str] | None = None, cat_col: str = "C
                            & ((F.col("Amount") * 100).cast("double") > F.col("threshold_paise")))
     outl = outl.groupBy(*by).agg(F.count(F.lit(1)).alias("outliers")) if by else outl.agg(
         F.count(F.lit(1)).alias("outliers"))
-    r = join_small(join_small(checks, dups, by, "left"), outl, by, "left") if by else \
-        checks.crossJoin(dups).crossJoin(outl)
+    r = join_small(join_small(checks, dups, by, "left"), outl, by, "left")
     issue = lambda cond, typ, sev, n: F.when(cond, F.struct(F.lit(typ).alias("issue_type"),
                                                              F.lit(sev).alias("severity"),
                                                              n.cast("bigint").alias("n")))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_null_keys
+from .common import drop_null_keys, join_small
 
 DIGIT_BITS = 16
 MAP_MAX_ROWS = 5_000_000
@@ -113,6 +113,4 @@ def group_quantiles_paise(df: DataFrame, by: list[str], qs, names, method: str =
         else:
             stats = stats.withColumn("bits", F.length(F.bin(F.col("mx") - F.col("mn"))).cast("int"))
             q = _radix(v, stats, by, qs, names)
-    if by:
-        return base.join(q, on=by, how="left")
-    return base.crossJoin(q)
+    return join_small(base, q, by, "left")

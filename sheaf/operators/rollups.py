@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_null_keys, dsum, money, resolve_by
+from .common import attach_row, drop_null_keys, dsum, money, resolve_by
 
 
 def _w(by):
@@ -51,7 +51,7 @@ def top_expense_heads(df: DataFrame, by: list[str] | None = None, cat_col: str =
     g = drop_null_keys(exp, ["Sub_Category"]).groupBy(*by, "Sub_Category").agg(dsum(F.col("Amount")).alias("_a"))
     w = _w(by).orderBy(F.col("_a").desc(), F.col("Sub_Category").asc())
     g = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    g = g.join(te, on=by, how="inner") if by else g.crossJoin(te)
+    g = g.join(te, on=by, how="inner") if by else attach_row(g, te)
     note = F.element_at(F.array(*[F.lit(x) for x in RANK_NOTES]), F.col("rank"))
     return g.select(*by, "rank", F.col("Sub_Category").alias("sub_category"), money("_a").alias("amount"),
                     F.when(F.col("_te") > 0, F.col("_a").cast("double") / F.col("_te").cast("double") * 100)
