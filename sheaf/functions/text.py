@@ -97,13 +97,28 @@ KEYWORD_DEFAULT_ASSET_ABOVE = 500_000
 # -------------------------------------------------------------------------------
 
 
+_REGEX_META = set(".^$*+?()[]{}\\")
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """``re.search(pattern, text)``; a pattern made only of literal alternatives becomes an OR of
+    substring tests (byte search in generated code), anything else stays a regex."""
+    if any(ch in _REGEX_META for ch in pattern):
+        return text.rlike(pattern)
+    out = None
+    for word in pattern.split("|"):
+        c = text.contains(word)
+        out = c if out is None else out | c
+    return out
+
+
 def keyword_category(description: Column | str, amount: Column | str) -> Column:
     """Keyword fallback class of a raw description; no match: Asset above 5 lakh, else Expense."""
     # patterns are lower-case ASCII: lower-casing the text once replaces a case-insensitive match
     d = F.lower(F.coalesce(_c(description), F.lit("")))
     out = None
     for pattern, label in KEYWORD_RULES:
-        cond = d.rlike(pattern)
+        cond = _matches(d, pattern)
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
     default = F.when(_c(amount) > KEYWORD_DEFAULT_ASSET_ABOVE, F.lit("Asset")).otherwise(F.lit("Expense"))
     return out.otherwise(default)
