@@ -165,6 +165,18 @@ def score(model: IsolationForestModel, df: DataFrame, keep: list[str], features_
     return scored
 
 
+def offset(scored: DataFrame, t: Thresholds = DEFAULT) -> float:
+    """The contamination quantile of the training scores (bounded-memory sketch), as one scalar."""
+    return float(scored.agg(F.percentile_approx("score_samples", t.contamination, 100_000)).first()[0])
+
+
+def apply_offset(scored: DataFrame, off: float) -> DataFrame:
+    """decision = score - offset; a row is an anomaly when its decision is below 0."""
+    d = F.col("score_samples") - F.lit(off)
+    return scored.select(*[c for c in scored.columns if c != "score_samples"], d.alias("Anomaly_Score"),
+                         (d < 0).alias("Is_Anomaly_Predicted"))
+
+
 def with_decision(scored: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Offset = contamination quantile of the scores; decision = score - offset; anomaly when below 0."""
     off = scored.agg(F.percentile_approx("score_samples", t.contamination, 100_000).alias("offset"))

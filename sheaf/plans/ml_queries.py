@@ -108,16 +108,16 @@ KEYS = ["Company_ID", "Date", "Description", "Amount", "Category", "Sub_Category
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forest scores written once; the cut-off (one scalar) is kept and applied when the scores are read."""
     k = _key(spark, sf_dir, "iforest_scored")
     if k not in _MODELS:
         feats = feature_table(spark, sf_dir)
         model = iforest.fit(feats, KEYS)
         raw = scratch_path(spark, "iforest_raw")
         iforest.score(model, feats, KEYS).write.mode("overwrite").parquet(raw)  # score once
-        path = scratch_path(spark, "iforest_scores")
-        iforest.with_decision(spark.read.parquet(raw)).write.mode("overwrite").parquet(path)
-        _MODELS[k] = path
-    return spark.read.parquet(_MODELS[k])
+        _MODELS[k] = (raw, iforest.offset(spark.read.parquet(raw)))
+    raw, off = _MODELS[k]
+    return iforest.apply_offset(spark.read.parquet(raw), off)
 
 
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
