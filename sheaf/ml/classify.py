@@ -129,3 +129,22 @@ def confusion_matrix(model: CategoryModel, test: DataFrame) -> DataFrame:
 def low_confidence_rows(pred: DataFrame, below: float = 60.0) -> DataFrame:
     """Predictions whose confidence is under ``below`` percent (for review)."""
     return pred.filter(F.col("Confidence_pct") < below)
+
+
+def save_category_model(model: CategoryModel, path: str) -> None:
+    """Persist features + classifier as one standard ``PipelineModel`` (Spark ML persistence)."""
+    PipelineModel(stages=[*model.features.stages, model.classifier]).write().overwrite().save(path)
+
+
+def load_category_model(path: str) -> CategoryModel | None:
+    """Load a saved model; None when the folder holds none (like the reference's missing artifacts)."""
+    from ..sources.io import load_model
+    pm = load_model(path)
+    if pm is None:
+        return None
+    return CategoryModel(PipelineModel(stages=pm.stages[:-1]), pm.stages[-1])
+
+
+def metrics_table(evaluation: DataFrame) -> DataFrame:
+    """The evaluation rows shaped for ``write_metrics`` (one JSON object per class plus accuracy)."""
+    return evaluation.select("label", "precision", "recall", "f1", "support")

@@ -83,6 +83,16 @@ def classifier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.evaluate(model, test, features_ready=True)
 
 
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = category_model(spark, sf_dir)
+    _, test = classify.split_train_test(feature_table(spark, sf_dir), key_cols=KEYS)
+    pred = model.classifier.transform(test.filter(F.col("Category").isin("Expense", "Income", "Asset",
+                                                                         "Liability")))
+    from ..functions.scalars import category_index
+    return pred.groupBy(category_index("Category").alias("label"), F.col("prediction").cast("int")
+                        .alias("prediction")).count()
+
+
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.predict_categories(category_model(spark, sf_dir), feature_table(spark, sf_dir),
                                        features_ready=True)
@@ -189,6 +199,7 @@ def queries() -> dict:
         "amount_scaling": amount_scaling,
         "feature_matrix": feature_matrix,
         "classifier_evaluation": classifier_evaluation,
+        "confusion_matrix": confusion_matrix,
         "predict_categories": predict_categories,
         "prediction_counts": prediction_counts,
         "fallback_rate": fallback_rate,

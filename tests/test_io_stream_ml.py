@@ -107,3 +107,20 @@ def test_classifier_and_forest_properties(spark, sf_small):
     scored = iforest.with_decision(iforest.score(m, feats, keys))
     rate = scored.filter("Is_Anomaly_Predicted").count() / n
     assert 0.03 < rate < 0.07
+
+
+def test_save_load_model_and_metrics(spark, sf_small, tmp_path):
+    led = ledger(spark, sf_small)
+    train, test = classify.split_train_test(led)
+    model = classify.fit(train)
+    path = str(tmp_path / "model")
+    classify.save_category_model(model, path)
+    back = classify.load_category_model(path)
+    a = _rows(classify.predict_categories(model, test).select("Predicted_Category", "Confidence_pct"))
+    b = _rows(classify.predict_categories(back, test).select("Predicted_Category", "Confidence_pct"))
+    assert a == b
+    assert classify.load_category_model(str(tmp_path / "nothing")) is None
+    out = str(tmp_path / "metrics")
+    io.write_metrics(classify.metrics_table(classify.evaluate(model, test)), out)
+    lines = [json.loads(x) for f in os.listdir(out) if f.endswith(".json") for x in open(os.path.join(out, f))]
+    assert {x["label"] for x in lines} >= {"Expense", "Income", "Asset", "Liability", "__accuracy__"}
