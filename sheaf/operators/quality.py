@@ -85,10 +85,11 @@ def quality_report(df: DataFrame, by: list[str] | None = None, cat_col: str = "C
         f"round(CAST(missing_cells AS DOUBLE) / CAST(rows * {ncols} AS DOUBLE) * 100.0D, 2) AS missing_pct",
         f"100.0D - CAST(missing_cells AS DOUBLE) / CAST(rows * {ncols} AS DOUBLE) * 100.0D AS completeness_pct",
         "CAST(coalesce(duplicates, 0) AS BIGINT) AS duplicates", "negatives", "zeros", "unknown",
-        "CAST(greatest(0, 100 - CAST(floor(penalty) AS INT)) AS INT) AS quality_score",
-        "CAST(greatest(0, 100 - CAST(floor(penalty * 1000.0D / CAST(rows AS DOUBLE)) AS INT)) AS INT) AS score_per_1k",
-        "CASE WHEN greatest(0, 100 - CAST(floor(penalty) AS INT)) >= 80 THEN 'high'"
-        " WHEN greatest(0, 100 - CAST(floor(penalty) AS INT)) >= 60 THEN 'moderate' ELSE 'poor' END AS quality_band",
+        # the absolute penalty grows with the table: keep it BIGINT (an INT cast would overflow under ANSI)
+        "CAST(greatest(0, 100 - CAST(floor(penalty) AS BIGINT)) AS INT) AS quality_score",
+        "CAST(greatest(0, 100 - CAST(floor(penalty * 1000.0D / CAST(rows AS DOUBLE)) AS BIGINT)) AS INT) AS score_per_1k",
+        "CASE WHEN greatest(0, 100 - CAST(floor(penalty) AS BIGINT)) >= 80 THEN 'high'"
+        " WHEN greatest(0, 100 - CAST(floor(penalty) AS BIGINT)) >= 60 THEN 'moderate' ELSE 'poor' END AS quality_band",
     )
 
 

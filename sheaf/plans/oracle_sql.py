@@ -230,14 +230,14 @@ r AS (SELECT chk.*, COALESCE(dup.duplicates, 0) AS dups,
         ((((CAST(missing_cells AS DOUBLE) * 0.5) + CAST(COALESCE(dup.duplicates, 0) AS DOUBLE) * 1.0)
           + CAST(negatives AS DOUBLE) * 0.5) + CAST(zeros AS DOUBLE) * 0.2) + CAST(unknown AS DOUBLE) * 1.0 AS penalty
       FROM chk LEFT JOIN dup ON chk.Company_ID = dup.Company_ID)"""
-    score = "GREATEST(0, 100 - CAST(FLOOR(penalty) AS INTEGER))"
+    score = "GREATEST(0, 100 - CAST(FLOOR(penalty) AS BIGINT))"
     q["quality_report"] = with_ledger(f"""WITH {checks}
 SELECT Company_ID, rows, {ncols} AS columns, missing_cells,
        ROUND(CAST(missing_cells AS DOUBLE) / CAST(rows * {ncols} AS DOUBLE) * 100.0, 2) AS missing_pct,
        100.0 - CAST(missing_cells AS DOUBLE) / CAST(rows * {ncols} AS DOUBLE) * 100.0 AS completeness_pct,
        CAST(dups AS BIGINT) AS duplicates, negatives, zeros, unknown,
        CAST({score} AS INTEGER) AS quality_score,
-       CAST(GREATEST(0, 100 - CAST(FLOOR(penalty * 1000.0 / CAST(rows AS DOUBLE)) AS INTEGER)) AS INTEGER) AS score_per_1k,
+       CAST(GREATEST(0, 100 - CAST(FLOOR(penalty * 1000.0 / CAST(rows AS DOUBLE)) AS BIGINT)) AS INTEGER) AS score_per_1k,
        CASE WHEN {score} >= 80 THEN 'high' WHEN {score} >= 60 THEN 'moderate' ELSE 'poor' END AS quality_band
 FROM r""", dirty=True)
     q["quality_issues"] = with_ledger(f"""WITH {checks},
