@@ -31,6 +31,15 @@ def _dec(v: str):
     return F.lit(Decimal(v))
 
 
+def _utc_date(dtype, c):
+    """Calendar date of a stored timestamp, whatever the session time zone: a zone-free timestamp casts
+    directly; a zoned one (parquet read without NTZ inference) is taken as UTC via epoch microseconds."""
+    from pyspark.sql.types import TimestampType
+    if isinstance(dtype, TimestampType):
+        return F.date_from_unix_date(F.floor(F.unix_micros(c) / F.lit(86_400_000_000)).cast("int"))
+    return c.cast("date")
+
+
 def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``ledger`` view (FIXTURES.md section 3) as DataFrame operations.
 
@@ -81,7 +90,7 @@ def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = j.withColumn("gst_pct", gst_pct)
     return j.select(
         F.concat(F.lit("COMP_"), F.lpad((F.col("c_nationkey") + 1).cast("string"), 3, "0")).alias("Company_ID"),
-        F.col("l_shipdate").cast("date").alias("Date"),
+        _utc_date(li.schema["l_shipdate"].dataType, F.col("l_shipdate")).alias("Date"),
         F.when(F.col("l_partkey") % 83 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.col("coa_sub_category"), F.lit(" - "), F.col("p_name"), F.lit("!"))).alias("Description"),
         F.col("amt2").alias("Amount"),
