@@ -38,6 +38,10 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _key(spark, sf_dir, "feature_table")
     if k not in _MODELS:
         out = fx.transform(feature_model(spark, sf_dir), ledger(spark, sf_dir))
+        # keep what training, prediction, the forest and the feature report read; the text vector is
+        # kept only as its non-zero count (the full vector is inside ``features``)
+        out = out.select(*KEYS, "features", nonzero_terms("tfidf"), "amount_scaled", "mode_index", "month",
+                         "is_weekend")
         path = scratch_path(spark, "features")
         out.write.mode("overwrite").parquet(path)
         _MODELS[k] = path
@@ -68,8 +72,7 @@ def amount_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per row: number of non-zero TF-IDF terms and the four numeric features."""
     out = feature_table(spark, sf_dir)
-    return out.select("Company_ID", "Category", nonzero_terms("tfidf"), "amount_scaled", "mode_index", "month",
-                      "is_weekend")
+    return out.select("Company_ID", "Category", "nonzero", "amount_scaled", "mode_index", "month", "is_weekend")
 
 
 def nonzero_terms(col: str):
