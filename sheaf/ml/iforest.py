@@ -184,3 +184,11 @@ def with_decision(scored: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return s.select(*[c for c in scored.columns if c != "score_samples"],
                     (F.col("score_samples") - F.col("offset")).alias("Anomaly_Score"),
                     (F.col("score_samples") - F.col("offset") < 0).alias("Is_Anomaly_Predicted"))
+
+
+def amount_only_features(df: DataFrame, out_col: str = "features") -> DataFrame:
+    """The fallback feature vector when no feature pipeline is available: [log1p(Amount or 0)]."""
+    from pyspark.ml.feature import VectorAssembler
+    la = F.log1p(F.coalesce(F.col("Amount"), F.lit(0)).cast("double"))
+    return VectorAssembler(inputCols=["_log_amount"], outputCol=out_col).transform(
+        df.withColumn("_log_amount", la)).drop("_log_amount")

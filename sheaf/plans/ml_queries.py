@@ -133,6 +133,19 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iforest.apply_offset(spark.read.parquet(raw), off)
 
 
+def isolation_forest_amount_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Amount-only fallback detector: a forest on log1p(Amount) alone, over the whole ledger."""
+    feats = iforest.amount_only_features(ledger(spark, sf_dir).select(*KEYS))
+    model = iforest.fit(feats, KEYS)
+    raw = scratch_path(spark, "iforest_amount_raw")
+    iforest.score(model, feats, KEYS).write.mode("overwrite").parquet(raw)
+    scored = spark.read.parquet(raw)
+    s = iforest.apply_offset(scored, iforest.offset(scored))
+    return s.select("Company_ID", F.date_format("Date", "yyyy-MM-dd").alias("Date"),
+                    F.col("Amount").cast("double").alias("Amount"), "Category", "Anomaly_Score",
+                    "Is_Anomaly_Predicted")
+
+
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir)
     return s.select("Company_ID", F.date_format("Date", "yyyy-MM-dd").alias("Date"),
@@ -207,6 +220,7 @@ def queries() -> dict:
         "prediction_counts": prediction_counts,
         "fallback_rate": fallback_rate,
         "isolation_forest": isolation_forest,
+        "isolation_forest_amount_only": isolation_forest_amount_only,
         "anomaly_summary": anomaly_summary,
         "predicted_anomaly_rows": predicted_anomaly_rows,
         "low_confidence_rows": low_confidence_rows,
