@@ -116,7 +116,7 @@ def compliance_insights(df: DataFrame, by: list[str] | None = None, cat_col: str
         _f((tl > 0) & (ta > 0) & (lev > 2.0), 120, "leverage", "warning", "High Financial Leverage", ta - tl, lev),
         _f((tl > 0) & (ta > 0) & ~(lev > 2.0), 120, "leverage", "info", "Balance Sheet Position", ta - tl, lev),
     )
-    main = k.select(*by, F.explode(F.filter(findings, lambda z: z.isNotNull())).alias("f")).select(*by, "f.*")
+    main = k.select(*by, F.explode(F.array_compact(findings)).alias("f")).select(*by, "f.*")
     heads = top_expense_heads(df, by, cat_col, n=t.top_n_expense).select(
         *by, (F.lit(40) + F.col("rank")).cast("int").alias("seq"), F.lit("major_head").alias("code"),
         F.lit("info").alias("level"), F.concat(F.lit("Major Expenditure Head: "), F.col("sub_category")).alias("title"),
@@ -166,4 +166,4 @@ def health_alerts(df: DataFrame, by: list[str] | None = None, cat_col: str = "Ca
            F.col("finance_costs"), fc * 100),
         _f((gp > 0) & (cash < gp), 3, "cash_vs_gst", "critical", "Cash Crunch vs GST Liability", gp - cash),
     )
-    return k.select(*by, F.explode(F.filter(arr, lambda z: z.isNotNull())).alias("f")).select(*by, "f.*")
+    return k.select(*by, F.explode(F.array_compact(arr)).alias("f")).select(*by, "f.*")

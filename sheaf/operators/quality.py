@@ -140,7 +140,7 @@ def quality_issues(df: DataFrame, by: list[str] | None = None, cat_col: str = "C
         issue(out_n > 0, "Statistical Outliers (Large Transactions)", "warning", out_n),
         issue(F.col("unknown") > 0, "Unrecognised Category Values", "critical", F.col("unknown")),
     )
-    found = F.filter(arr, lambda x: x.isNotNull())
+    found = F.array_compact(arr)
     none = F.array(F.struct(F.lit("No Issues Detected").alias("issue_type"), F.lit("info").alias("severity"),
                             F.lit(0).cast("bigint").alias("n")))
     r = r.select(*by, F.when(F.size(found) > 0, found).otherwise(none).alias("_i"))

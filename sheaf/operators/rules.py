@@ -79,5 +79,5 @@ def rule_hits(df: DataFrame, rules: list[Rule] | None = None, cat_col: str = "Ca
                                                                   F.lit(r.severity).alias("severity"),
                                                                   F.lit(r.section).alias("section")))
                      for r in rules])
-    return (df.select(*keep, F.filter(hits, lambda x: x.isNotNull()).alias("_h"))
+    return (df.select(*keep, F.array_compact(hits).alias("_h"))
             .select(*keep, F.explode("_h").alias("_r")).select(*keep, "_r.*"))

@@ -374,6 +374,6 @@ def recommendations(df: DataFrame, by: list[str] | None = None, cat_col: str = "
         (F.col("long_term_borrowings") > F.col("shareholders_funds") * 2, "Debt Restructuring"),
     ]
     arr = F.array(*[F.when(c, F.lit(title)) for c, title in items])
-    g = g.select(*by, F.filter(arr, lambda x: x.isNotNull()).alias("_r"))
+    g = g.select(*by, F.array_compact(arr).alias("_r"))
     return g.select(*by, F.posexplode("_r").alias("pos", "title")).select(
         *by, (F.col("pos") + 1).alias("rec_no"), "title")
