@@ -92,7 +92,9 @@ def fit(df: DataFrame, key_cols: list[str], features_col: str = "features", t: T
     pool = pool.select(*keys, features_col).withColumn("_rid", F.monotonically_increasing_id()).persist()
     # tree membership is decided on (row id, keys) only; vectors join back after the cut to psi rows
     member = pool.select("_rid", *keys).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    member = member.withColumn("_h", F.xxhash64(*keys, F.col("_rid"), F.col("tree"), F.lit(t.seed + 1)))
+    # membership depends on row content only (not on partitioning), so a fixed seed gives the same forest
+    # for any partition count; identical rows are interchangeable
+    member = member.withColumn("_h", F.xxhash64(*keys, F.col("tree"), F.lit(t.seed + 1)))
     member = member.filter(F.pmod(F.col("_h"), F.lit(scale)) < int(tree_rate * scale))
     member = member.withColumn("_rn", F.row_number().over(Window.partitionBy("tree").orderBy("_h", "_rid")))
     member = member.filter(F.col("_rn") <= psi).select("tree", "_rid")

@@ -124,3 +124,29 @@ def test_save_load_model_and_metrics(spark, sf_small, tmp_path):
     io.write_metrics(classify.metrics_table(classify.evaluate(model, test)), out)
     lines = [json.loads(x) for f in os.listdir(out) if f.endswith(".json") for x in open(os.path.join(out, f))]
     assert {x["label"] for x in lines} >= {"Expense", "Income", "Asset", "Liability", "__accuracy__"}
+
+
+def test_forest_is_the_same_for_any_partition_count(spark, sf_small):
+    import numpy as np
+    led = ledger(spark, sf_small)
+    feats = iforest.amount_only_features(led)
+    keys = ["Company_ID", "Date", "Description", "Amount", "Category", "Sub_Category", "Payment_Mode"]
+    a = iforest.fit(feats.repartition(3), keys, n_trees=20)
+    b = iforest.fit(feats.repartition(7), keys, n_trees=20)
+    assert np.array_equal(a.feature, b.feature) and np.allclose(a.threshold, b.threshold)
+    assert np.allclose(a.leaf_path, b.leaf_path)
+
+
+def test_spend_hierarchy_parents_equal_children(spark, sf_small):
+    from pyspark.sql import functions as F
+    from sheaf.operators import rollups
+    h = rollups.spend_hierarchy(ledger(spark, sf_small))
+    kids = (h.filter("level > 1").groupBy("Company_ID", "parent").agg(F.sum("amount").alias("k"))
+            .withColumnRenamed("parent", "id"))
+    j = h.filter("level < 3").join(kids, ["Company_ID", "id"])
+    bad = j.filter(F.abs(F.col("amount") - F.col("k")) > 1e-6).count()
+    assert bad == 0 and j.count() == h.filter("level < 3").count()
+    leaves = h.filter("level = 3")
+    assert leaves.filter("gst_ratio < 0 OR gst_ratio > 1").count() == 0
+    assert abs(leaves.groupBy("Company_ID").agg(F.sum("pct").alias("p")).agg(F.max(F.abs(F.col("p") - 100)))
+               .first()[0]) < 0.5
