@@ -32,6 +32,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_CHECKPOINT_SET: set[str] = set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -42,7 +45,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="sheaf-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    app = spark.sparkContext.applicationId
+    if app not in _CHECKPOINT_SET:  # DataFrame.checkpoint() needs it on the context; set it once
+        spark.sparkContext.setCheckpointDir(path)
+        _CHECKPOINT_SET.add(app)
     return path
 
 
