@@ -44,3 +44,13 @@ def test_global_score_and_anomaly_summary(spark, sf_small):
     flagged = led.withColumn("Is_Anomaly_Predicted", F.col("Amount") > 1_000_000)
     a = anomalies.anomaly_summary(flagged, by=[]).first()
     assert max(a["statistical_count"], a["ml_count"]) <= a["total_unique"] <= a["statistical_count"] + a["ml_count"]
+
+
+def test_end_to_end_analysis(spark, sf_small):
+    from sheaf.plans.analysis import analyze_ledger
+    res = analyze_ledger(spark, ledger_dirty(spark, sf_small))
+    assert res["financial_summary"].count() == res["clean_ledger"].select("Company_ID").distinct().count()
+    for name, df in res.items():
+        assert df.limit(1).count() >= 0, name
+    s = res["compliance_score"].collect()
+    assert all(0 <= r["compliance_score"] <= 100 for r in s)
