@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fiscal_year_label, fiscal_year_start
+from ..functions.scalars import fiscal_year_start
 from .common import drop_null_keys, dsum, money, resolve_by
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..ml import anomalies, classify, iforest
 from ..ml import features as fx
-from ..operators.rules import rule_hits
 from ..session import scratch_path
 from ..sources import io
 from ..sources.fixture import _MATERIALIZED, ledger, ledger_dirty
