@@ -71,7 +71,8 @@ def amount_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per row: number of non-zero TF-IDF terms and the four numeric features."""
     out = feature_table(spark, sf_dir)
-    return out.select("Company_ID", "Category", "nonzero", "amount_scaled", "mode_index", "month", "is_weekend")
+    return out.select("Company_ID", "Category", "nonzero", F.round("amount_scaled", 6).alias("amount_scaled"),
+                      "mode_index", "month", "is_weekend")
 
 
 def nonzero_terms(col: str):

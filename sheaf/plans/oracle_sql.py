@@ -621,6 +621,33 @@ j AS (SELECT tf.term, tf, df, n_docs FROM tf JOIN dq ON tf.term = dq.term CROSS
 r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY tf DESC, term ASC) AS rk FROM j)
 SELECT term, tf, df, n_docs, ROUND(LN(CAST(n_docs + 1 AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + 1.0, 9) AS idf,
        CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 500""")
+    q["feature_matrix"] = with_ledger(f"""
+WITH d AS (SELECT COALESCE(TRIM(regexp_replace(lower(COALESCE(Description, 'unknown transaction')), '[^a-z0-9]+', ' ',
+             'g')), 'unknown') AS c FROM ledger),
+t AS (SELECT list_filter(string_split(c, ' '), lambda w: length(w) >= 2) AS toks FROM d),
+tm AS (SELECT list_concat(toks, CASE WHEN len(toks) >= 2 THEN
+         list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]) ELSE [] END) AS terms FROM t),
+tf AS (SELECT term, COUNT(*) AS tf FROM (SELECT unnest(terms) AS term FROM tm) x GROUP BY term),
+dq AS (SELECT term, COUNT(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM tm) x GROUP BY term),
+r AS (SELECT tf.term, ROW_NUMBER() OVER (ORDER BY tf DESC, tf.term ASC) AS rk FROM tf JOIN dq ON tf.term = dq.term
+      WHERE df >= 2),
+vocab AS (SELECT list(term) AS v FROM r WHERE rk <= 500),
+modes AS (SELECT payment_mode, ROW_NUMBER() OVER (ORDER BY payment_mode) - 1 AS mode_index FROM
+          (SELECT DISTINCT COALESCE(Payment_Mode, 'Bank Transfer') AS payment_mode FROM ledger) m),
+st AS (SELECT AVG(LN(1 + CAST(COALESCE(Amount, 0) AS DOUBLE))) AS mean,
+              STDDEV_POP(LN(1 + CAST(COALESCE(Amount, 0) AS DOUBLE))) AS std FROM ledger),
+rows_ AS (SELECT l.*, list_concat(toks, CASE WHEN len(toks) >= 2 THEN
+            list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]) ELSE [] END) AS terms
+          FROM (SELECT *, list_filter(string_split(COALESCE(TRIM(regexp_replace(lower(COALESCE(Description,
+                  'unknown transaction')), '[^a-z0-9]+', ' ', 'g')), 'unknown'), ' '), lambda w: length(w) >= 2) AS toks
+                FROM ledger) l)
+SELECT Company_ID, Category,
+       CAST(len(list_intersect(list_distinct(terms), (SELECT v FROM vocab))) AS INTEGER) AS nonzero,
+       ROUND((LN(1 + CAST(COALESCE(Amount, 0) AS DOUBLE)) - st.mean) / st.std, 6) AS amount_scaled,
+       CAST(modes.mode_index AS DOUBLE) AS mode_index,
+       CAST(COALESCE(month(Date), 1) AS DOUBLE) AS month,
+       CAST(COALESCE(isodow(Date) IN (6, 7), FALSE) AS DOUBLE) AS is_weekend
+FROM rows_ CROSS JOIN st JOIN modes ON COALESCE(rows_.Payment_Mode, 'Bank Transfer') = modes.payment_mode""")
     q["payment_mode_index"] = with_ledger(
         "SELECT payment_mode, CAST(ROW_NUMBER() OVER (ORDER BY payment_mode) - 1 AS INTEGER) AS mode_index FROM"
         " (SELECT DISTINCT COALESCE(Payment_Mode, 'Bank Transfer') AS payment_mode FROM ledger) m")
