@@ -152,12 +152,16 @@ def score(model: IsolationForestModel, df: DataFrame, keep: list[str], features_
     ship_package(spark)
     cpsi = float(average_path_length([model.psi])[0]) or 1.0
     # the dense float32 array travels once per row; numpy indexes the split dimensions
-    bc = spark.sparkContext.broadcast(model)
+    try:
+        bc = spark.sparkContext.broadcast(model)  # node arrays: bounded by trees x (2 psi - 1)
+        get_model = lambda: bc.value
+    except Exception:  # noqa: BLE001 - remote session: the small arrays travel inside the function
+        get_model = lambda: model
     base = df.select(*[F.col(f"`{c}`") for c in keep], vector_to_array(features_col, "float32").alias("_x"))
     out_schema = base.drop("_x").schema.add("score_samples", "double")
 
     def run(batches):
-        m = bc.value
+        m = get_model()
         for pdf in batches:
             x = np.stack(pdf["_x"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
             s = -np.power(2.0, -_path_lengths(m, x) / cpsi) if len(pdf) else np.zeros(0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..ml import anomalies, classify, iforest
 from ..ml import features as fx
-from ..session import scratch_path
+from ..session import app_id, scratch_path
 from ..sources import io
 from ..sources.fixture import _MATERIALIZED, ledger, ledger_dirty
 from ..streaming import stream
@@ -20,7 +20,7 @@ _MODELS: dict[tuple, object] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
+    return (app_id(spark), sf_dir.rstrip("/"), what)
 
 
 def feature_model(spark: SparkSession, sf_dir: str):
@@ -200,7 +200,7 @@ def stream_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _materialized_path(spark: SparkSession, sf_dir: str) -> str:
     ledger(spark, sf_dir)
     for k, v in _MATERIALIZED.items():
-        if k[0] == spark.sparkContext.applicationId and k[1] == sf_dir.rstrip("/") and not k[2]:
+        if k[0] == app_id(spark) and k[1] == sf_dir.rstrip("/") and not k[2]:
             return v
     raise RuntimeError("ledger table not materialized")
 

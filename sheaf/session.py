@@ -35,6 +35,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 _CHECKPOINT_SET: set[str] = set()
 
 
+def app_id(spark: SparkSession) -> str:
+    """The application id (classic sessions), or the session's configured id (remote sessions)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - a remote session has no local SparkContext
+        return spark.conf.get("spark.app.id", None) or f"session-{id(spark)}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -45,9 +53,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="sheaf-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     if app not in _CHECKPOINT_SET:  # DataFrame.checkpoint() needs it on the context; set it once
-        spark.sparkContext.setCheckpointDir(path)
+        try:
+            spark.sparkContext.setCheckpointDir(path)
+        except Exception:  # noqa: BLE001 - remote sessions take it from the server configuration
+            pass
         _CHECKPOINT_SET.add(app)
     return path
 
@@ -70,7 +81,10 @@ def ship_package(spark: SparkSession) -> None:
     """
     import zipfile
 
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: the package must be installed on the cluster
+        return
     if sc.applicationId in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))

@@ -152,9 +152,9 @@ def ledger_table(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataF
     executor re-reads files instead of re-running the joins - and every
     query then scans the table like a user's ledger.
     """
-    from ..session import scratch_path
+    from ..session import app_id, scratch_path
 
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), dirty, _source_stamp(sf_dir))
+    key = (app_id(spark), sf_dir.rstrip("/"), dirty, _source_stamp(sf_dir))
     path = _MATERIALIZED.get(key)
     if path is None:
         view = ledger_dirty_view(spark, sf_dir) if dirty else ledger_view(spark, sf_dir)
