@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DESCRIPTION_DEFAULT, PAYMENT_MODE_DEFAULT, VENDOR_DEFAULT, DEFAULT, Thresholds
 from ..functions.scalars import parse_date
 from .common import join_small, resolve_by
-from .quantiles import group_quantiles_paise
+from .quantiles import choose_method, group_quantiles_paise
 
 
 def group_median_amount(df: DataFrame, by: list[str], t: Thresholds = DEFAULT) -> DataFrame:
@@ -57,6 +59,9 @@ def parse_dates(df: DataFrame) -> DataFrame:
 def clean_ledger(df: DataFrame, by: list[str] | None = None, t: Thresholds = DEFAULT) -> DataFrame:
     """The cleaning chain in the reference order; the median sees negative amounts."""
     by = resolve_by(df, by)
+    # decide the quantile method on the raw input (a one-column scan) rather than on the deduplicated
+    # frame, so the full-row dedupe is not run once more just to size the groups
+    t = replace(t, quantile_method=choose_method(df, by, t.quantile_method))
     out = drop_duplicates(df)
     out = impute_amount_median(out, by, t)
     out = drop_negative_amounts(out)

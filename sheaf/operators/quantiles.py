@@ -87,6 +87,17 @@ def _radix(v: DataFrame, stats: DataFrame, by, qs, names) -> DataFrame:
     return out.select(*by, *cols)
 
 
+def choose_method(df: DataFrame, by: list[str], method: str = "auto") -> str:
+    """Resolve 'auto' from ``df`` - any superset of the rows that will be summarised (its largest
+    group bounds theirs), so a cheap scan of the raw input can decide for a derived frame."""
+    if method != "auto":
+        return method
+    src = drop_null_keys(df, by).select(*_keys(by))
+    sizes = src.groupBy(*by).count() if by else src.agg(F.count(F.lit(1)).alias("count"))
+    largest = sizes.agg(F.max("count")).first()[0] or 0
+    return "map" if largest <= MAP_MAX_ROWS else "radix"
+
+
 def group_quantiles_paise(df: DataFrame, by: list[str], qs, names, method: str = "auto",
                           accuracy: int = 100_000) -> DataFrame:
     """Per key: the given quantiles of Amount in paise (DOUBLE) plus ``n_nonnull`` and ``n_rows``.

@@ -23,8 +23,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
-        # clean shuffle files / broadcasts of finished queries sooner in long sessions (bench, tests)
-        .config("spark.cleaner.periodicGC.interval", "2min")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
