@@ -6,7 +6,8 @@ tree ``t`` when a second hash falls under a rate, and every tree keeps its
 the pool size does not grow with the data. Trees are grown per group with
 ``applyInPandas`` (numpy), and only the node arrays (<= trees x (2 psi - 1)
 rows) come to the driver. Scoring broadcasts those arrays and runs a
-vectorised traversal per Arrow batch with ``mapInPandas``. The cut-off is the
+vectorised traversal per Arrow batch with ``mapInArrow`` (the fixed-length
+feature arrays are read as one flat buffer per batch). The cut-off is the
 ``contamination`` quantile of the training scores (``percentile_approx``).
 """
 
@@ -159,16 +160,21 @@ def score(model: IsolationForestModel, df: DataFrame, keep: list[str], features_
         get_model = lambda: model
     base = df.select(*[F.col(f"`{c}`") for c in keep], vector_to_array(features_col, "float32").alias("_x"))
     out_schema = base.drop("_x").schema.add("score_samples", "double")
+    names = [f.name for f in out_schema.fields]
 
     def run(batches):
+        import pyarrow as pa
         m = get_model()
-        for pdf in batches:
-            x = np.stack(pdf["_x"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
-            s = -np.power(2.0, -_path_lengths(m, x) / cpsi) if len(pdf) else np.zeros(0)
-            yield pdf.drop(columns=["_x"]).assign(score_samples=s)
-
-    scored = base.mapInPandas(run, out_schema)
-    return scored
+        for rb in batches:
+            n = rb.num_rows
+            xs = rb.column(rb.schema.get_field_index("_x"))
+            flat = xs.flatten().to_numpy(zero_copy_only=False)  # fixed-length rows: one flat buffer
+            x = flat.reshape(n, -1).astype(np.float64) if n else np.zeros((0, 1))
+            s = -np.power(2.0, -_path_lengths(m, x) / cpsi) if n else np.zeros(0)
+            cols = [rb.column(rb.schema.get_field_index(c)) for c in names[:-1]] + [pa.array(s, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return base.mapInArrow(run, out_schema)
 
 
 def offset(scored: DataFrame, t: Thresholds = DEFAULT) -> float:
