@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import bounded_broadcast, table, written
+from .store import arrow_batches, bounded_broadcast, table, written
 from .words import mix64, ragged, sequence_hash, slices, text_bytes, words
 
 SKETCH = 64
@@ -80,7 +80,7 @@ def _sketcher(width: int, size: int):
 
 def shingle_sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     """Per row: doc_id, n_shingles, set_id (16-byte digest of the set) and its minwise tokens."""
-    return docs.select("doc_id", "text").mapInArrow(
+    return arrow_batches(docs).select("doc_id", "text").mapInArrow(
         _sketcher(width, SKETCH), "doc_id long, n_shingles long, set_id binary, sketch array<int>")
 
 
@@ -110,7 +110,7 @@ def _confirmed(spark, docs, reps, pairs, width, percent):
     near = written(spark, _sieved(pairs, reps, percent), "neardup-pairs")
     ids = written(spark, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ids")
     texts = docs.select("doc_id", "text").where("text is not null").join(bounded_broadcast(ids), "doc_id", "left_semi")
-    full = texts.mapInArrow(_lister(width), "id long, items array<bigint>")
+    full = arrow_batches(texts).mapInArrow(_lister(width), "id long, items array<bigint>")
     # rows that repeat a doc_id: the set with the representative's size, once
     full = written(spark, full.dropDuplicates(["id", "items"]), "neardup-sets")
     a = full.select(F.col("id").alias("a"), F.col("items").alias("ia"))

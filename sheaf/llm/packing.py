@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import table, written
+from .store import arrow_batches, table, written
 from .tokens import counter
 from .words import slices, text_bytes
 
@@ -64,7 +64,7 @@ def _cutter(path: str, capacity: int, keep_ids: bool):
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Pieces of every text (null: empty) with place, length and checksum, and the ids on request."""
     schema = PIECE + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cutter(path, capacity, keep_ids), schema)
+    return arrow_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_cutter(path, capacity, keep_ids), schema)
 
 
 class _Packing:

@@ -18,6 +18,17 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_batches(df: DataFrame) -> DataFrame:
+    """Hand whole texts to Python in batches of at most 1,000 rows (Spark's default is 10,000): bounds a worker's memory.
+
+    Leaves a setting the user has made.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a written table of at most ``max_rows`` rows; a larger one joins by shuffle, with equal results."""
     return F.broadcast(df) if df.count() <= max_rows else df

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at a time (a longer text is handled alone): bounds a task's memory, never cuts a text.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd and 5 modulo 8: full multiplicative order modulo 2^64
