@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import table, written
+from .store import arrow_batches, table, written
 from .words import BYTE_VALUES, mix64, runs, slices, span_hashes, text_bytes
 
 #: Bound of the fitting sample, in labelled rows for each language.
@@ -140,10 +140,23 @@ def _text_sizes(column):
     return np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))])
 
 
+def _gathered(batches, limit=BATCH_BYTES):
+    """Batches joined up to about ``limit`` text bytes: one step of the recursion then serves many texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += int(_text_sizes(batch.column("text"))[-1])
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _predictor(model):
     def run(batches):
         labels = np.array([*model["labels"], "und"], dtype=object)
-        for batch in batches:
+        for batch in _gathered(batches):
             texts = batch.column("text")
             for i, j in slices(_text_sizes(texts), BATCH_BYTES):
                 part = texts.slice(i, j - i)
@@ -198,7 +211,7 @@ def _keeper(predict, least):
 def _counter(labels):
     def run(batches):
         code = {x: i for i, x in enumerate(labels)}
-        for batch in batches:
+        for batch in _gathered(batches):
             lang = np.array([code[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
             texts = batch.column("text")
             for i, j in slices(_text_sizes(texts), BATCH_BYTES):
@@ -217,7 +230,7 @@ def _counter(labels):
 
 def _lexicon(train: DataFrame, labels: list[str]):
     """Words of at least LEXICON_SHARE of a language's words, with their spread over the languages (corpus counts)."""
-    counts = train.select("lang", "text").mapInArrow(_counter(labels), "label int, word long, n long")
+    counts = arrow_batches(train).select("lang", "text").mapInArrow(_counter(labels), "label int, word long, n long")
     by = counts.groupBy("word").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"c{k}")
                                       for k in range(len(labels))])
     cols = [f"c{k}" for k in range(len(labels))]
@@ -331,12 +344,12 @@ def train_model(train: DataFrame) -> dict:
 
 def predict_language(docs: DataFrame, model: dict) -> DataFrame:
     """Per row: doc_id, lang_pred (`und` when the text is null or has no letter) and score, the language's share of the words."""
-    return docs.select("doc_id", "text").mapInArrow(_digest(_predictor(model)), "doc_id long, lang_pred string, score double")
+    return arrow_batches(docs).select("doc_id", "text").mapInArrow(_digest(_predictor(model)), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
     """Rows whose language is found with a share of at least ``least`` of the words; all columns stay."""
-    return docs.mapInArrow(_keeper(_predictor(model), least), docs.schema)
+    return arrow_batches(docs).mapInArrow(_keeper(_predictor(model), least), docs.schema)
 
 
 def fold(doc_id: str | Column, parts: int) -> Column:

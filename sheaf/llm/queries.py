@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .langid import op1_language_id
 from .neardup import OP10_SQL, op10_minhash_neardup
+from .packing import op5_best_fit_packing
+from .secrets import op3_secret_scans
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
+        "op3_secret_scans": op3_secret_scans,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op10_minhash_neardup": op10_minhash_neardup,
     }
 
