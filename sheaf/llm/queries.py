@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op4_decontamination
 from .langid import op1_language_id
 from .neardup import OP10_SQL, op10_minhash_neardup
 from .packing import op5_best_fit_packing
@@ -12,6 +13,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op3_secret_scans": op3_secret_scans,
+        "op4_decontamination": op4_decontamination,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op10_minhash_neardup": op10_minhash_neardup,
     }

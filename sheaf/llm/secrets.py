@@ -98,25 +98,27 @@ def _suspicious(value: Column, bits: float) -> Column:
     return ~value.rlike(ALLOWED) & (window_entropy(value) >= bits)
 
 
-def secret_spans(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, text (null: empty) and ``found``, its spans (start, ord, end) by start, then kind.
+def secret_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, text (null: empty), ``found``: spans (start, ord, end) by start, then kind; and ``keep``.
 
-    ``ord`` is the place in ``KINDS``; code points, end exclusive. Repeated rows are scanned each; other columns are dropped.
+    ``ord`` is the place in ``KINDS``; code points, end exclusive. Repeated rows are scanned each; columns that are not
+    in ``keep`` are dropped.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", text.alias("text"))
+    own = ["doc_id", "text", *(keep or [])]
+    out = docs.select("doc_id", text.alias("text"), *(keep or []))
     t = F.col("text")
-    out = out.select("doc_id", "text", _spans(t, ASSIGN, "assign", lambda v: F.length(v) >= 8, 2).alias("a"),
-                     _spans(t, ACCESS, "access", lambda v: F.length(v) >= 16).alias("k"),
-                     _spans(t, HEX, "hex").alias("h"),
-                     _spans(t, CANDIDATE, "entropy_base64", lambda v: _suspicious(v, BASE64_BITS)).alias("b"),
+    out = out.select(*own, _spans(t, ASSIGN, "assign", lambda v: F.length(v) >= 8, 2).alias("__a"),
+                     _spans(t, ACCESS, "access", lambda v: F.length(v) >= 16).alias("__k"),
+                     _spans(t, HEX, "hex").alias("__h"),
+                     _spans(t, CANDIDATE, "entropy_base64", lambda v: _suspicious(v, BASE64_BITS)).alias("__b"),
                      _spans(t, HEX_RUN, "entropy_hex", lambda v: v.rlike("[0-9]") & v.rlike("[A-Fa-f]")
-                            & _suspicious(v, HEX_BITS)).alias("x"))
-    base = F.concat("a", "k", "h")
+                            & _suspicious(v, HEX_BITS)).alias("__x"))
     apart = lambda seen: (lambda e: ~F.exists(seen, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    out = out.withColumn("base", base).withColumn("x", F.filter("x", apart(F.col("base"))))
-    out = out.withColumn("b", F.filter("b", apart(F.concat("base", "x"))))
-    return out.select("doc_id", "text", F.array_sort(F.concat("base", "x", "b")).alias("found"))
+    out = out.withColumn("__base", F.concat("__a", "__k", "__h"))
+    out = out.withColumn("__x", F.filter("__x", apart(F.col("__base"))))
+    out = out.withColumn("__b", F.filter("__b", apart(F.concat("__base", "__x"))))
+    return out.select(*own, F.array_sort(F.concat("__base", "__x", "__b")).alias("found"))
 
 
 def _written_out(spans: Column) -> Column:
