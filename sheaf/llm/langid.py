@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .crf import posteriors
 from .store import arrow_batches, table, written
 from .words import BYTE_VALUES, mix64, runs, slices, span_hashes, text_bytes
 
@@ -99,43 +100,6 @@ def _emissions(model, buf, starts, ends):
     return total / np.sqrt(np.maximum(count, 1))[:, None] + _lexicon_rows(model, hashes) @ model["mixing"]
 
 
-def _posteriors(emission, at, start, step, pairs=None):
-    """Forward-backward over many sequences at once; sequence i is emission[at[i]:at[i + 1]]. Returns the marginals.
-
-    ``pairs``, if given, gets the expected number of each transition added.
-    """
-    length = np.diff(at)
-    order = np.argsort(-length, kind="stable")
-    first, length = at[:-1][order], length[order]
-    p = np.exp(emission - emission.max(axis=1, keepdims=True)) if len(emission) else emission
-    forward = np.empty_like(p)
-    steps = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(steps), side="left")  # sequences longer than t
-    prior = np.broadcast_to(start, (len(first), len(start)))
-    for t in range(steps):
-        w = first[:active[t]] + t
-        a = prior[:active[t]] * p[w]
-        a /= a.sum(axis=1, keepdims=True)
-        forward[w] = a
-        prior = a @ step
-    backward = np.ones((len(first), len(start)), dtype=p.dtype)
-    out = forward
-    back = step.T
-    for t in range(steps - 1, -1, -1):
-        n = active[t]
-        w = first[:n] + t
-        b = backward[:n]
-        m = out[w] * b
-        out[w] = m / m.sum(axis=1, keepdims=True)
-        b = p[w] * b
-        if pairs is not None and t:
-            both = out[w - 1][:, :, None] * step * b[:, None, :]
-            pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        b = b @ back
-        backward[:n] = b / b.sum(axis=1, keepdims=True)
-    return out
-
-
 def _text_sizes(column):
     return np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))])
 
@@ -166,7 +130,7 @@ def _predictor(model):
                 emission = np.concatenate([np.zeros((0, len(labels) - 1), np.float32)] + [
                     _emissions(model, buf[lo:hi], starts[a:b] - lo, ends[a:b] - lo)
                     for a, b, lo, hi in _word_slices(starts, ends)])
-                post = _posteriors(emission, bounds, model["start"], model["step"])
+                post = posteriors(emission, bounds, model["start"], model["step"])
                 words = np.diff(bounds)
                 share = np.zeros((j - i, len(labels) - 1))
                 some = np.flatnonzero(words)
@@ -294,7 +258,7 @@ def _fit(model, texts: list[str], langs: list[int]):
                 e[:, c] = np.bincount(who, model["weights"][f, c], len(words)) * scale[words]
             e += lexicon[words] @ model["mixing"]
             soft = np.zeros((k, k))
-            post = _posteriors(e, pos, np.full(k, 1 / k), np.exp(trans), soft)
+            post = posteriors(e, pos, np.full(k, 1 / k), np.exp(trans), soft)
             gold = np.zeros_like(post)
             gold[np.arange(len(words)), label[words]] = 1
             d = gold - post
