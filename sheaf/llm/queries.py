@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat_formatting
 from .decontam import op4_decontamination
 from .langid import op1_language_id
+from .licenses import op6_license_scans
+from .lm import op8_lm_scoring
 from .neardup import OP10_SQL, op10_minhash_neardup
 from .packing import op5_best_fit_packing
+from .quality import op7_quality_rules
 from .secrets import op3_secret_scans
+from .urls import op2_url_filters
 
 
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op2_url_filters": op2_url_filters,
         "op3_secret_scans": op3_secret_scans,
         "op4_decontamination": op4_decontamination,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_license_scans": op6_license_scans,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_lm_scoring": op8_lm_scoring,
+        "op9_chat_formatting": op9_chat_formatting,
         "op10_minhash_neardup": op10_minhash_neardup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_chat_formatting": OP9_SQL,
         "op10_minhash_neardup": OP10_SQL,
     }
