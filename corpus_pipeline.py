@@ -54,14 +54,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All documents stay; secrets in their texts are masked, and n_chars follows the new text."""
     kept = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id"), F.col("text"))
     out = secret_spans(kept, keep=["__row"])
-    text = F.when(F.col("__row.text").isNull(), F.lit(None)).otherwise(redacted(F.col("text"), F.col("found")))
+    # a name of its own: inside lambdas a select's new column would hide the old one of the same name
+    out = out.withColumn("__new", redacted(F.col("text"), F.col("found")))
     cols = []
     for f in docs.schema.fields:
         old = F.col("__row")[f.name]
         if f.name == "text":
-            old = text
+            old = F.when(old.isNotNull(), F.col("__new"))
         elif f.name == "n_chars":
-            old = F.when(F.size("found") > 0, F.length(text).cast(f.dataType)).otherwise(old)
+            old = F.when(F.size("found") > 0, F.length("__new").cast(f.dataType)).otherwise(old)
         cols.append(old.alias(f.name))
     return out.select(*cols)
 

@@ -122,6 +122,9 @@ def _predictor(model):
         labels = np.array([*model["labels"], "und"], dtype=object)
         for batch in _gathered(batches):
             texts = batch.column("text")
+            if not model["labels"]:
+                yield batch, pa.array(["und"] * len(batch), pa.string()), pa.array(np.zeros(len(batch)))
+                continue
             for i, j in slices(_text_sizes(texts), BATCH_BYTES):
                 part = texts.slice(i, j - i)
                 buf, at = _spaced(part)
@@ -136,13 +139,12 @@ def _predictor(model):
                 some = np.flatnonzero(words)
                 if len(some):
                     share[some] = np.add.reduceat(post, bounds[:-1][some], axis=0) / words[some][:, None]
-                best = share.argmax(axis=1) if share.shape[1] else np.zeros(j - i, int)
-                score = np.minimum(share.max(axis=1), 1.0) if share.shape[1] else np.zeros(j - i)
+                best, score = share.argmax(axis=1), np.minimum(share.max(axis=1), 1.0)
                 none = words == 0
                 plain = np.concatenate([[0], np.cumsum(_LETTER[buf] & (buf < 128))])
                 for k in np.flatnonzero(~none & (plain[at[1:]] == plain[at[:-1]])):  # no ASCII letter: any other letter?
                     none[k] = not any(c.isalpha() for c in part[int(k)].as_py())
-                best = np.where(none | (not share.shape[1]), len(labels) - 1, best)
+                best = np.where(none, len(labels) - 1, best)
                 yield batch.slice(i, j - i), pa.array(labels[best], pa.string()), pa.array(np.where(none, 0.0, score), pa.float64())
     return run
 
