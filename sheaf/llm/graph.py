@@ -18,10 +18,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     now = written(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                   .where("u > v").distinct(), "components")
     while True:
-        # a star forest: no parent is itself a child, and each child has one parent
-        parents = now.select(F.col("v").alias("u")).distinct()
-        unsettled = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
-        if unsettled.where("n > 1").isEmpty() and now.join(parents, "u", "left_semi").isEmpty():
+        # settled when it is a star forest: each child has one parent, and no parent is itself a child
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+            now.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        ends = ends.groupBy("x").agg(F.sum("child").alias("children"), F.max("parent").alias("parent"))
+        if ends.where("children > 1 or (children = 1 and parent = 1)").isEmpty():
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -165,8 +165,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, per
     links = _confirmed(spark, docs, reps, stars.distinct(), width, percent)
     labels = written(spark, components(spark, links), "neardup-labels")
 
+    # every level's members and pairs are written: no plan spans the levels
     mixed = written(spark, _mixed(_labelled(nodes, labels)), "neardup-mixed")
-    pairs = _cross_pairs(mixed, small)
+    pairs = written(spark, _cross_pairs(mixed, small), "neardup-level")
     for _ in range(depth):
         large = mixed.where(F.col("n") > small).select("key", "rep", "component")
         if large.isEmpty():
@@ -176,7 +177,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, per
         child = F.array(*[F.xxhash64(F.lit(k), F.col("key"), s, F.col("sketch")[s]) for k, s in enumerate(spot)])
         deeper = large.join(reps.select("rep", "sketch"), "rep").select(F.explode(child).alias("key"), "rep", "component")
         mixed = written(spark, _mixed(deeper), "neardup-mixed")
-        pairs = pairs.unionByName(_cross_pairs(mixed, small))
+        pairs = pairs.unionByName(written(spark, _cross_pairs(mixed, small), "neardup-level"))
     more = _confirmed(spark, docs, reps, pairs.distinct().join(stars.distinct(), ["a", "b"], "left_anti"), width, percent)
     if not more.isEmpty():
         # contract: edges between components, then the merged components' smallest member
