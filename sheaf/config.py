@@ -37,7 +37,6 @@ class Thresholds:
     warning_weight: int = 3
     tfidf_max_features: int = 500
     tfidf_min_df: int = 2
-    chunk_size: int = 10_000
     test_fraction: float = 0.20
     train_iterations: int = 30  # the reference's epoch cap, used as the optimiser's iteration cap
     contamination: float = 0.05
@@ -51,9 +50,8 @@ class Thresholds:
     advance_tax_pbt: int = 40_000
     advance_tax_min: int = 10_000
     # Engine choice, not a reference value: how per-group quantiles are found.
-    # 'auto' = exact; Spark's percentile map when the largest group is small,
-    # radix selection (exact, bounded memory) otherwise; 'sketch' = approximate.
-    quantile_method: str = "auto"
+    # 'radix' = exact selection with bounded memory; 'sketch' = approximate.
+    quantile_method: str = "radix"
     approx_accuracy: int = 100_000
 
 

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..config import LABELS
 
 
+#: Date formats in the order they are tried: ISO first, then day before month, then month names.
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d-MMM-yyyy", "d MMMM yyyy",
+                "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd", "M/d/yyyy")
+
+
 def parse_date(c: Column | str) -> Column:
-    """Text or date to DATE; text that does not parse becomes null (ANSI-safe)."""
+    """Text or date to DATE by the first format that fits; text that fits none becomes null (ANSI-safe)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.try_to_date(col.cast("string"), "yyyy-MM-dd"), F.try_to_date(col.cast("string")))
+    text = F.trim(col.cast("string"))
+    return F.coalesce(*[F.try_to_date(text, f) for f in DATE_FORMATS], F.try_to_date(text))
 
 
 def month_or_one(d: Column) -> Column:

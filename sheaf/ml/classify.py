@@ -71,6 +71,8 @@ def predict_categories(model: CategoryModel, df: DataFrame, t: Thresholds = DEFA
                        features_ready: bool = False) -> DataFrame:
     """Arg-max class; when the top probability is below the threshold the keyword fallback decides.
     Confidence_pct = round(100 * p, 1) is kept unchanged by the fallback."""
+    if not features_ready:
+        df = fx.impute_for_inference(df)
     base = df if features_ready else fx.transform(model.features, df)
     keep = [c for c in df.columns if c != "features"] if features_ready else df.columns
     df = df.select(*keep)
@@ -122,8 +124,16 @@ def evaluate(model: CategoryModel, test: DataFrame, t: Thresholds = DEFAULT, fea
 
 def confusion_matrix(model: CategoryModel, test: DataFrame) -> DataFrame:
     pred = model.classifier.transform(fx.transform(model.features, test.filter(F.col("Category").isin(*LABELS))))
-    return pred.groupBy(category_index("Category").alias("label"), F.col("prediction").cast("int")
-                        .alias("prediction")).count()
+    return full_matrix(pred.select(category_index("Category").alias("label"), F.col("prediction").cast("int")
+                                   .alias("prediction")))
+
+
+def full_matrix(pairs: DataFrame) -> DataFrame:
+    """(label, prediction, count) with all 16 cells, zeros included; one aggregation of the pairs."""
+    cells = [F.count_if((F.col("label") == i) & (F.col("prediction") == j)).alias(f"c{i}{j}")
+             for i in range(len(LABELS)) for j in range(len(LABELS))]
+    rows = ", ".join(f"{i}, {j}, c{i}{j}" for i in range(len(LABELS)) for j in range(len(LABELS)))
+    return pairs.agg(*cells).selectExpr(f"stack({len(LABELS) ** 2}, {rows}) AS (label, prediction, count)")
 
 
 def low_confidence_rows(pred: DataFrame, below: float = 60.0) -> DataFrame:

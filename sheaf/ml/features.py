@@ -10,7 +10,6 @@ L2-normalised TF-IDF; vectors stay sparse.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -45,20 +44,20 @@ def description_terms(desc: Column) -> Column:
 def term_document_frequency(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Vocabulary table: term, corpus count, document frequency, smoothed idf, rank (top-N by count).
 
-    One explode of each document's distinct terms carrying the in-document
-    count (``size(terms) - size(array_remove(terms, term))``), then one
-    aggregate per term (map-side combined). The global top-N ranking runs
-    as a per-partition limit before a single small merge.
+    All terms explode as (term, 1, 0) and each document's distinct ones as
+    (term, 0, 1), linear in the text; one aggregate per term (map-side
+    combined) sums both. The top N is a distributed limit.
     """
     from pyspark.sql import Window
     docs = df.select(description_terms(F.col("Description")).alias("terms"))
-    per_doc = docs.select("terms", F.explode(F.array_distinct("terms")).alias("term"))
-    per_doc = per_doc.select("term", (F.size("terms") - F.size(F.array_remove("terms", F.col("term")))).alias("cnt"))
-    counts = per_doc.groupBy("term").agg(F.sum("cnt").cast("long").alias("tf"), F.count(F.lit(1)).alias("df"))
+    each = docs.select(F.explode("terms").alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")).unionByName(
+        docs.select(F.explode(F.array_distinct("terms")).alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    counts = each.groupBy("term").agg(F.sum("tf").cast("long").alias("tf"), F.sum("df").cast("long").alias("df"))
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
     j = attach_row(counts.filter(F.col("df") >= t.tfidf_min_df), n)  # n: one global count
-    w = Window.orderBy(F.col("tf").desc(), F.col("term").asc())
-    j = j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= t.tfidf_max_features)
+    order = [F.col("tf").desc(), F.col("term").asc()]
+    j = j.orderBy(*order).limit(t.tfidf_max_features)  # a distributed top-k at any size; only its rows are ranked
+    j = j.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     idf = F.log((F.col("n_docs") + 1).cast("double") / (F.col("df") + 1).cast("double")) + 1.0
     return j.select("term", "tf", "df", "n_docs", F.round(idf, 9).alias("idf"), "rank")
 
@@ -70,9 +69,25 @@ def payment_mode_index(df: DataFrame) -> DataFrame:
     return m.withColumn("mode_index", (F.row_number().over(Window.orderBy("payment_mode")) - 1).cast("int"))
 
 
+def log_amount(amount: Column) -> Column:
+    """log1p of the amount; a null or negative amount counts as 0 (log1p has no value from -1 down)."""
+    return F.log1p(F.greatest(F.coalesce(amount, F.lit(0)).cast("double"), F.lit(0.0)))
+
+
+def impute_for_inference(df: DataFrame) -> DataFrame:
+    """A raw ledger made ready for a fitted pipeline: absent columns are null, a null Amount is the ledger's median."""
+    from ..operators.clean import group_median_amount
+    absent = {"Amount": "decimal(18,2)", "Date": "date", "Description": "string", "Payment_Mode": "string"}
+    df = df.withColumns({c: F.lit(None).cast(k) for c, k in absent.items() if c not in df.columns})
+    if df.filter(F.col("Amount").isNull()).isEmpty():
+        return df
+    median = group_median_amount(df, []).first()[0]
+    return df.withColumn("Amount", F.coalesce(F.col("Amount"), F.lit(median).cast(df.schema["Amount"].dataType)))
+
+
 def amount_scaling(df: DataFrame) -> DataFrame:
-    """Mean and population standard deviation of log1p(Amount) (null amount -> 0)."""
-    la = F.log1p(F.coalesce(F.col("Amount"), F.lit(0)).cast("double"))
+    """Mean and population standard deviation of log1p(Amount) (null and negative amounts -> 0)."""
+    la = log_amount(F.col("Amount"))
     return df.agg(F.avg(la).alias("mean"), F.stddev_pop(la).alias("std"), F.count(F.lit(1)).alias("n"))
 
 
@@ -99,7 +114,7 @@ def feature_pipeline(spec: FeatureSpec) -> PipelineModel:
     """A fitted PipelineModel producing ``features`` (tfidf || amount_scaled || mode || month || weekend)."""
     prep = SQLTransformer(statement=(
         "SELECT *, coalesce(Payment_Mode, '" + PAYMENT_MODE_DEFAULT + "') AS _mode, "
-        f"(log1p(CAST(coalesce(Amount, 0) AS DOUBLE)) - {spec.mean!r}D) / {spec.std!r}D AS amount_scaled "
+        f"(log1p(greatest(CAST(coalesce(Amount, 0) AS DOUBLE), 0D)) - {spec.mean!r}D) / {spec.std!r}D AS amount_scaled "
         "FROM __THIS__"))
     cv = CountVectorizerModel.from_vocabulary(spec.vocabulary or ["__none__"], inputCol="_terms", outputCol="_tf")
     idf = ElementwiseProduct(scalingVec=Vectors.dense(spec.idf or [1.0]), inputCol="_tf", outputCol="_tfidf_raw")
@@ -124,7 +139,3 @@ def with_inputs(df: DataFrame) -> DataFrame:
 def transform(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
     out = pipeline.transform(with_inputs(df))
     return out.drop("_terms", "_tf", "_tfidf_raw", "_mode", "_mode_idx")
-
-
-def smoothed_idf(n_docs: int, df: int) -> float:
-    return math.log((1 + n_docs) / (1 + df)) + 1.0

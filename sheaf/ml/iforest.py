@@ -80,29 +80,31 @@ class IsolationForestModel:
 
 def fit(df: DataFrame, key_cols: list[str], features_col: str = "features", t: Thresholds = DEFAULT,
         n_trees: int = 100, psi: int = 256, oversample: float = 3.0) -> IsolationForestModel:
-    from ..session import ship_package
+    from ..session import ship_package, written
     ship_package(df.sparkSession)
     n = df.count()
     keys = [F.col(f"`{c}`") for c in key_cols]
+    # psi rows per tree, the method's own subsample, in two Bernoulli steps over every row: into the pool, then into
+    # trees. Equal rows are counted first and drawn copy by copy, so a row repeated a billion times weighs what it
+    # should and the pool keeps its expected size. Both draws hash row content and copy number only: a fixed seed
+    # gives the same forest for any partition count.
     pool_rate = min(1.0, oversample * n_trees * psi / max(n, 1))
-    pool_size = max(1.0, n * pool_rate)
-    tree_rate = min(1.0, oversample * psi / pool_size)
+    tree_rate = min(1.0, oversample * psi / max(1.0, n * pool_rate))
     scale = 2 ** 31
-    pool = df.filter(F.pmod(F.xxhash64(*keys, F.lit(t.seed)), F.lit(scale)) < int(pool_rate * scale))
-    # the pool is bounded (about oversample x trees x psi rows); keep it so the row ids stay fixed
-    pool = pool.select(*keys, features_col).withColumn("_rid", F.monotonically_increasing_id()).persist()
-    # tree membership is decided on (row id, keys) only; vectors join back after the cut to psi rows
-    member = pool.select("_rid", *keys).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    # membership depends on row content only (not on partitioning), so a fixed seed gives the same forest
-    # for any partition count; identical rows are interchangeable
-    member = member.withColumn("_h", F.xxhash64(*keys, F.col("tree"), F.lit(t.seed + 1)))
+    content = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(features_col).alias(features_col))
+    pool = content.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    pool = pool.filter(F.pmod(F.xxhash64(*keys, "_copy", F.lit(t.seed)), F.lit(scale)) < int(pool_rate * scale))
+    pool = written(df.sparkSession, pool.select(*keys, "_copy", features_col)
+                   .withColumn("_rid", F.xxhash64(*keys, "_copy")), "iforest-pool")
+    # tree membership is decided on ids only; vectors join back after the cut to psi rows
+    member = pool.select("_rid", *keys, "_copy").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    member = member.withColumn("_h", F.xxhash64(*keys, "_copy", F.col("tree"), F.lit(t.seed + 1)))
     member = member.filter(F.pmod(F.col("_h"), F.lit(scale)) < int(tree_rate * scale))
     member = member.withColumn("_rn", F.row_number().over(Window.partitionBy("tree").orderBy("_h", "_rid")))
     member = member.filter(F.col("_rn") <= psi).select("tree", "_rid")
     sample = member.join(pool.select("_rid", features_col), "_rid").select(
         "tree", vector_to_array(features_col, "float32").alias("x"))  # float32 like the usual forest
     nodes = sample.groupBy("tree").applyInPandas(_grow(t.seed, psi), NODE_SCHEMA).toPandas()
-    pool.unpersist()
     return _pack(nodes, min(psi, max(n, 1)))
 
 
@@ -201,6 +203,6 @@ def with_decision(scored: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
 def amount_only_features(df: DataFrame, out_col: str = "features") -> DataFrame:
     """The fallback feature vector when no feature pipeline is available: [log1p(Amount or 0)]."""
     from pyspark.ml.feature import VectorAssembler
-    la = F.log1p(F.coalesce(F.col("Amount"), F.lit(0)).cast("double"))
+    from .features import log_amount
     return VectorAssembler(inputCols=["_log_amount"], outputCol=out_col).transform(
-        df.withColumn("_log_amount", la)).drop("_log_amount")
+        df.withColumn("_log_amount", log_amount(F.col("Amount")))).drop("_log_amount")

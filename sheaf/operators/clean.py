@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DESCRIPTION_DEFAULT, PAYMENT_MODE_DEFAULT, VENDOR_DEFAULT, DEFAULT, Thresholds
 from ..functions.scalars import parse_date
+from ..schema import MONEY
+from ..session import written
 from .common import join_small, resolve_by
-from .quantiles import choose_method, group_quantiles_paise
+from .quantiles import group_quantiles_paise
 
 
 def group_median_amount(df: DataFrame, by: list[str], t: Thresholds = DEFAULT) -> DataFrame:
-    """Median Amount per key (nulls ignored) as DECIMAL(20,3), exact (half-paise medians are kept)."""
+    """Median Amount per key (nulls ignored), to the paisa (a half-paisa median rounds up)."""
     g = group_quantiles_paise(df, by, (0.5,), ("_med_paise",), t.quantile_method, t.approx_accuracy)
-    return g.select(*by, (F.col("_med_paise").cast("decimal(20,1)") / 100).cast("decimal(20,3)").alias("_median"))
+    return g.select(*by, (F.col("_med_paise").cast("decimal(20,1)") / 100).cast(MONEY).alias("_median"))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -59,10 +59,8 @@ def parse_dates(df: DataFrame) -> DataFrame:
 def clean_ledger(df: DataFrame, by: list[str] | None = None, t: Thresholds = DEFAULT) -> DataFrame:
     """The cleaning chain in the reference order; the median sees negative amounts."""
     by = resolve_by(df, by)
-    # decide the quantile method on the raw input (a one-column scan) rather than on the deduplicated
-    # frame, so the full-row dedupe is not run once more just to size the groups
-    t = replace(t, quantile_method=choose_method(df, by, t.quantile_method))
-    out = drop_duplicates(df)
+    # written once: the median and the rows both read it, the full-row shuffle is not repeated
+    out = written(df.sparkSession, drop_duplicates(df), "deduplicated")
     out = impute_amount_median(out, by, t)
     out = drop_negative_amounts(out)
     out = fill_text_defaults(out)

@@ -70,7 +70,7 @@ def compliance_insights(df: DataFrame, by: list[str] | None = None, cat_col: str
     """One finding row per check that fires: (key, seq, code, level, title, amount, value, n)."""
     by = resolve_by(df, by)
     s = summary_aggregate(df, by, cat_col)
-    x = tax_check_aggregate(df, by, cat_col, t)
+    x = tax_check_aggregate(df, by, "Category", t)  # row-level checks and top heads read the booked class
     o = outlier_stats(df, by, t)
     k = join_small(join_small(s, x, by), o, by, "left")
 
@@ -117,7 +117,7 @@ def compliance_insights(df: DataFrame, by: list[str] | None = None, cat_col: str
         _f((tl > 0) & (ta > 0) & ~(lev > 2.0), 120, "leverage", "info", "Balance Sheet Position", ta - tl, lev),
     )
     main = k.select(*by, F.explode(F.array_compact(findings)).alias("f")).select(*by, "f.*")
-    heads = top_expense_heads(df, by, cat_col, n=t.top_n_expense).select(
+    heads = top_expense_heads(df, by, "Category", n=t.top_n_expense).select(
         *by, (F.lit(40) + F.col("rank")).cast("int").alias("seq"), F.lit("major_head").alias("code"),
         F.lit("info").alias("level"), F.concat(F.lit("Major Expenditure Head: "), F.col("sub_category")).alias("title"),
         F.col("amount").cast("double").alias("amount"), F.col("pct_of_expense").alias("value"),
@@ -140,10 +140,10 @@ def compliance_score(insights: DataFrame, by: list[str] | None = None, t: Thresh
                     F.when(sc >= 75, "green").when(sc >= 50, "amber").otherwise("red").alias("score_band"))
 
 
-def insights_by_severity(insights: DataFrame) -> DataFrame:
+def insights_by_severity(insights: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Tax findings grouped critical -> warning -> info (sorted output)."""
     rank = F.when(F.col("level") == "critical", 0).when(F.col("level") == "warning", 1).otherwise(2)
-    by = [c for c in ("Company_ID",) if c in insights.columns]
+    by = resolve_by(insights, by)
     tax = insights.filter(F.col("title").startswith("[TAX COMPLIANCE]")).withColumn("severity_rank", rank)
     return tax.orderBy(*by, "severity_rank", "seq")
 

@@ -22,7 +22,7 @@ def _q(c: str) -> str:
 def null_profile(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Null count of every column per key (long form), with rows and completeness %."""
     by = resolve_by(df, by)
-    src = drop_null_keys(df, by)
+    src = df  # a missing key is a finding here: rows with a null key are their own group
     cols = list(df.columns)
     aggs = [F.expr(f"count_if({_q(c)} IS NULL) AS `n__{i}`") for i, c in enumerate(cols)]
     aggs.append(F.expr("count(1) AS rows"))
@@ -30,7 +30,8 @@ def null_profile(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     items = ", ".join(f"'{c}', `n__{i}`" for i, c in enumerate(cols))
     long = g.selectExpr(*[_q(b) for b in by], "rows", f"stack({len(cols)}, {items}) AS (column_name, null_count)")
     return long.selectExpr(*[_q(b) for b in by], "column_name", "null_count", "rows",
-                           "100.0D - CAST(null_count AS DOUBLE) / CAST(rows AS DOUBLE) * 100.0D AS completeness_pct")
+                           "100.0D - coalesce(try_divide(CAST(null_count AS DOUBLE), CAST(rows AS DOUBLE)), 0.0D) * 100.0D "
+                           "AS completeness_pct")
 
 
 def duplicate_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:

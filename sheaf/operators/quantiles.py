@@ -1,18 +1,19 @@
 """Exact per-group quantiles of integer-valued amounts (paise), with memory bounded per task.
 
-Spark's exact ``percentile`` keeps a value -> count map per group, so one
-company with billions of distinct amounts would hold them all in one task.
-``radix`` instead selects the order statistics digit by digit: each round is
+Order statistics are selected digit by digit (radix selection): each round is
 a grouped count of at most 2**16 buckets per group (map-side combined), a
 cumulative sum over those buckets finds the bucket holding each wanted rank,
 and the next round only counts rows inside the chosen buckets. A few rounds
-(range of values / 16 bits) give the exact values; nothing larger than the
-bucket histogram is ever gathered. Interpolation then follows the linear
-rule (position = q * (n - 1)), exact for integer inputs at q = 1/4, 1/2, 3/4.
+(range of values / 16 bits) give the exact values at every input size; nothing
+larger than the bucket histogram is ever gathered. Interpolation then follows
+the linear rule (position = q * (n - 1)), exact for integer inputs at
+q = 1/4, 1/2, 3/4.
 
-``auto`` looks at the largest group first (one count) and keeps the
-single-pass ``percentile`` when that group is small enough that its map is
-bounded anyway; ``sketch`` uses the mergeable ``percentile_approx``.
+The per-key tables (statistics, and the state of each round) are written to the
+shared folder, so the planner knows their size: ledger rows meet them by a
+broadcast while they are small, and are not shuffled on the company key.
+
+``sketch`` is the explicit approximate choice (mergeable ``percentile_approx``).
 """
 
 from __future__ import annotations
@@ -20,22 +21,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import drop_null_keys, join_small
 
 DIGIT_BITS = 16
-MAP_MAX_ROWS = 5_000_000
 
 
 def _keys(by):
     return [F.col(f"`{b}`") for b in by]
 
 
-def _percentile_map(v: DataFrame, by, qs, names) -> DataFrame:
-    arr = F.percentile(F.col("_v").cast("double"), F.array(*[F.lit(float(q)) for q in qs]))
-    g = v.groupBy(*by).agg(arr.alias("_q")) if by else v.agg(arr.alias("_q"))
-    return g.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-
-
 def _sketch(v: DataFrame, by, qs, names, accuracy: int) -> DataFrame:
     arr = F.percentile_approx(F.col("_v").cast("double"), [float(q) for q in qs], accuracy)
     g = v.groupBy(*by).agg(arr.alias("_q")) if by else v.agg(arr.alias("_q"))
@@ -54,6 +49,7 @@ def _radix(v: DataFrame, stats: DataFrame, by, qs, names) -> DataFrame:
         pos = F.lit(float(q)) * (F.col("n") - 1).cast("double")
         slot_rows.append(F.struct(F.lit(2 * i).alias("slot"), F.floor(pos).cast("long").alias("rank")))
         slot_rows.append(F.struct(F.lit(2 * i + 1).alias("slot"), F.ceil(pos).cast("long").alias("rank")))
+    spark = v.sparkSession
     state = stats.filter(F.col("n") > 0).select(*gk, "mn", "bits", F.explode(F.array(*slot_rows)).alias("s"))
     state = state.select(*gk, "mn", "bits", "s.slot", "s.rank", F.lit(0).cast("long").alias("prefix"),
                          F.col("bits").alias("shift"))
@@ -63,7 +59,7 @@ def _radix(v: DataFrame, stats: DataFrame, by, qs, names) -> DataFrame:
     rounds = max(1, -(-int(max_bits) // DIGIT_BITS))
     for _ in range(rounds):
         new_shift = F.greatest(F.col("shift") - DIGIT_BITS, F.lit(0))
-        state = state.withColumn("new_shift", new_shift)
+        state = written(spark, state.withColumn("new_shift", new_shift), "quantile-state")
         wanted = state.select(*gk, "prefix", "shift", "new_shift").distinct()
         cand = rows.join(wanted, on=gk).filter(F.expr("shiftright(_y, shift) = prefix"))
         hist = cand.groupBy(*gk, "prefix", "new_shift", F.expr("shiftright(_y, new_shift)").alias("bucket")).agg(
@@ -87,41 +83,21 @@ def _radix(v: DataFrame, stats: DataFrame, by, qs, names) -> DataFrame:
     return out.select(*by, *cols)
 
 
-def choose_method(df: DataFrame, by: list[str], method: str = "auto") -> str:
-    """Resolve 'auto' from ``df`` - any superset of the rows that will be summarised (its largest
-    group bounds theirs), so a cheap scan of the raw input can decide for a derived frame."""
-    if method != "auto":
-        return method
-    src = drop_null_keys(df, by).select(*_keys(by))
-    sizes = src.groupBy(*by).count() if by else src.agg(F.count(F.lit(1)).alias("count"))
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    return "map" if largest <= MAP_MAX_ROWS else "radix"
-
-
-def group_quantiles_paise(df: DataFrame, by: list[str], qs, names, method: str = "auto",
+def group_quantiles_paise(df: DataFrame, by: list[str], qs, names, method: str = "radix",
                           accuracy: int = 100_000) -> DataFrame:
     """Per key: the given quantiles of Amount in paise (DOUBLE) plus ``n_nonnull`` and ``n_rows``.
 
-    ``method``: 'auto' | 'map' | 'radix' | 'sketch' (see module docstring).
+    ``method``: 'radix' (exact) or 'sketch' (see module docstring). The result is a written table.
     """
+    spark = df.sparkSession
     src = drop_null_keys(df, by)
-    paise = (F.col("Amount") * 100).cast("long")
-    counts = [F.count("_v").alias("n_nonnull"), F.count(F.lit(1)).alias("n_rows")]
+    paise = F.round(F.col("Amount") * 100).cast("long")
     v = src.select(*_keys(by), paise.alias("_v"))
-    base = v.groupBy(*by).agg(*counts) if by else v.agg(*counts)
+    aggs = [F.count("_v").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.min("_v").alias("mn"), F.max("_v").alias("mx")]
+    stats = v.groupBy(*by).agg(*aggs) if by else v.agg(*aggs)
+    stats = written(spark, stats.withColumn("bits", F.length(F.bin(F.col("mx") - F.col("mn"))).cast("int")),
+                    "quantile-stats")
     v = v.filter(F.col("_v").isNotNull())
-    if method == "sketch":
-        q = _sketch(v, by, qs, names, accuracy)
-    else:
-        stats = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("mn"),
-                                   F.max("_v").alias("mx")) if by else v.agg(
-            F.count(F.lit(1)).alias("n"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
-        if method == "auto":
-            largest = stats.agg(F.max("n")).first()[0] or 0
-            method = "map" if largest <= MAP_MAX_ROWS else "radix"
-        if method == "map":
-            q = _percentile_map(v, by, qs, names)
-        else:
-            stats = stats.withColumn("bits", F.length(F.bin(F.col("mx") - F.col("mn"))).cast("int"))
-            q = _radix(v, stats, by, qs, names)
-    return join_small(base, q, by, "left")
+    q = _sketch(v, by, qs, names, accuracy) if method == "sketch" else _radix(v, stats, by, qs, names)
+    base = stats.select(*by, F.col("n").alias("n_nonnull"), "n_rows")
+    return written(spark, join_small(base, q, by, "left"), "quantiles")

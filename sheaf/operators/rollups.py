@@ -22,7 +22,7 @@ def category_totals(df: DataFrame, by: list[str] | None = None, cat_col: str = "
     g = drop_null_keys(df, by + [cat_col]).groupBy(*by, F.col(cat_col).alias("category")).agg(
         dsum(F.col("Amount")).alias("_a"))
     return g.select(*by, "category", money("_a").alias("amount"),
-                    (F.col("_a").cast("double") / F.sum(F.col("_a")).over(_w(by)).cast("double") * 100)
+                    (F.try_divide(F.col("_a").cast("double"), F.sum(F.col("_a")).over(_w(by)).cast("double")) * 100)
                     .alias("share_pct"))
 
 

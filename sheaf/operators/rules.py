@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,24 @@ def rule_match(rule: Rule, df: DataFrame, cat_col: str = "Category") -> Column:
     return F.coalesce(F.expr(_bind(rule.condition, rule_fields(df, cat_col))), F.lit(False))
 
 
+def check_rules(df: DataFrame, rules: list[Rule], cat_col: str = "Category") -> tuple[list[Rule], list[tuple[Rule, str]]]:
+    """Rules whose predicate this ledger can evaluate, and the others with their error: one bad rule never stops a scan.
+
+    Only the plan is analysed; no row is read.
+    """
+    good, bad = [], []
+    for r in rules:
+        try:
+            kind = df.select(rule_match(r, df, cat_col).alias("m")).schema["m"].dataType.simpleString()
+            if kind != "boolean":
+                raise ValueError(f"the condition is {kind}, not boolean")
+            good.append(r)
+        except Exception as error:  # noqa: BLE001 - whatever the analyser says about this rule is reported
+            bad.append((r, str(error).split("\n")[0]))
+            warnings.warn(f"compliance rule {r.rule_name!r} is skipped: {bad[-1][1]}", stacklevel=3)
+    return good, bad
+
+
 def _bind(condition: str, fields: dict[str, str]) -> str:
     """Replace bare rule field names with back-quoted ledger columns (outside string literals)."""
     import re
@@ -38,8 +58,13 @@ def _bind(condition: str, fields: dict[str, str]) -> str:
     return "".join(out)
 
 
+def _usable(df: DataFrame, rules: list[Rule] | None, cat_col: str) -> list[Rule]:
+    return check_rules(df, load_rules() if rules is None else rules, cat_col)[0]
+
+
 def _bind_words(text: str, fields: dict[str, str]) -> str:
     import re
+    text = re.sub(r"(?i)\bcast\s*\(", "try_cast(", text)  # a value that does not convert is unknown, not an error
     return re.sub(r"\b(amount|payment_mode|category|sub_category|description)\b",
                   lambda m: f"`{fields[m.group(1)]}`" if m.group(1) in fields else "NULL", text)
 
@@ -52,9 +77,12 @@ def rule_violations(df: DataFrame, rules: list[Rule] | None = None, by: list[str
     pass per rule); the result is unpivoted with ``stack`` and zero-hit rules
     dropped. ``rule_order`` keeps the severity order of the rule list.
     """
-    rules = load_rules() if rules is None else rules
+    rules = _usable(df, rules, cat_col)
     by = resolve_by(df, by)
     src = drop_null_keys(df, by)
+    if not rules:  # nothing to evaluate: an empty result of the same shape
+        return src.select(*by, F.expr("stack(1, 0, '', '', '', '', CAST(0 AS BIGINT), 0.0D) AS (rule_order, rule_name, "
+                                      "severity, section, message, count, total_amount)")).filter(F.lit(False))
     aggs = []
     for i, r in enumerate(rules):
         m = rule_match(r, df, cat_col)
@@ -72,10 +100,11 @@ def rule_violations(df: DataFrame, rules: list[Rule] | None = None, by: list[str
 def rule_hits(df: DataFrame, rules: list[Rule] | None = None, cat_col: str = "Category",
               keep: list[str] | None = None) -> DataFrame:
     """Row-level hits: one output row per (ledger row, matching rule). Stateless, so it also streams."""
-    rules = load_rules() if rules is None else rules
+    rules = _usable(df, rules, cat_col)
     keep = keep or [c for c in ("Company_ID", "Date", "Description", "Amount", "Payment_Mode", cat_col,
                                 "Sub_Category") if c in df.columns]
-    hits = F.array(*[F.when(rule_match(r, df, cat_col), F.struct(F.lit(r.rule_name).alias("rule_name"),
+    none = F.array().cast("array<struct<rule_name:string,severity:string,section:string>>")
+    hits = none if not rules else F.array(*[F.when(rule_match(r, df, cat_col), F.struct(F.lit(r.rule_name).alias("rule_name"),
                                                                   F.lit(r.severity).alias("severity"),
                                                                   F.lit(r.section).alias("section")))
                      for r in rules])

@@ -13,14 +13,14 @@ from ..ml import anomalies, classify, iforest
 from ..ml import features as fx
 from ..session import app_id, scratch_path
 from ..sources import io
-from ..sources.fixture import _MATERIALIZED, ledger, ledger_dirty
+from ..sources.fixture import _MATERIALIZED, _source_stamp, ledger, ledger_dirty
 from ..streaming import stream
 
 _MODELS: dict[tuple, object] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
-    return (app_id(spark), sf_dir.rstrip("/"), what)
+    return (app_id(spark), sf_dir.rstrip("/"), what, _source_stamp(spark, sf_dir))
 
 
 def feature_model(spark: SparkSession, sf_dir: str):
@@ -92,8 +92,8 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = model.classifier.transform(test.filter(F.col("Category").isin("Expense", "Income", "Asset",
                                                                          "Liability")))
     from ..functions.scalars import category_index
-    return pred.groupBy(category_index("Category").alias("label"), F.col("prediction").cast("int")
-                        .alias("prediction")).count()
+    return classify.full_matrix(pred.select(category_index("Category").alias("label"),
+                                            F.col("prediction").cast("int").alias("prediction")))
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:

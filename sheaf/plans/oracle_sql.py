@@ -202,8 +202,8 @@ def quality_sql() -> dict[str, str]:
     q = {}
     q["clean_ledger"] = with_ledger(f"""
 WITH dd AS (SELECT DISTINCT * FROM ledger_dirty),
-med AS (SELECT Company_ID, CAST(CAST(CAST(quantile_cont(CAST(Amount * 100 AS DOUBLE), 0.5) AS DECIMAL(20,1))
-          AS DOUBLE) / 100 AS DECIMAL(20,3)) AS m FROM dd GROUP BY Company_ID),
+med AS (SELECT Company_ID, CAST(CAST(CAST(FLOOR(quantile_cont(CAST(Amount * 100 AS DOUBLE), 0.5) + 0.5) AS BIGINT)
+          AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS m FROM dd GROUP BY Company_ID),
 f AS (SELECT dd.*, COALESCE(dd.Amount, med.m) AS amt FROM dd LEFT JOIN med ON dd.Company_ID = med.Company_ID)
 SELECT Company_ID, strftime(Date, '%Y-%m-%d') AS Date, COALESCE(Description, 'unknown transaction') AS Description,
        CAST(amt AS DOUBLE) AS Amount, Transaction_Type, Category, Sub_Category, Schedule_III_Head, GST_Percentage,

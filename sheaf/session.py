@@ -44,11 +44,14 @@ def app_id(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the launcher sets it to a shared file system; it is only
-    filled in here when unset (tests, local bench).
+    On a cluster the launcher sets it to a shared file system. Only a single-machine session
+    (master ``local`` or ``local[...]``) gets a temporary folder when it is unset; any other raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sheaf-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     app = app_id(spark)
@@ -62,9 +65,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written intermediates."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh sub-folder of the shared checkpoint folder for written intermediates, deleted when the session ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    try:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    except Exception:  # noqa: BLE001 - a remote session has no JVM handle; its server cleans up
+        pass
+    return path
+
+
+def written(spark: SparkSession, df, name: str):
+    """Write ``df`` once to the shared folder and read it back: lineage is cut and the planner knows the size."""
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()
@@ -73,9 +88,8 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``sheaf`` importable in Python workers (needed by the pandas UDF paths).
 
-    Zips the package into the shared checkpoint folder once per application
-    and registers it with ``addPyFile`` - on a cluster the same call ships
-    it to every executor.
+    Zips the package on the driver once per application and registers it with
+    ``addPyFile``, which ships it to every executor.
     """
     import zipfile
 
@@ -86,9 +100,7 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out_dir = scratch_path(spark, "pyfiles")
-    os.makedirs(out_dir, exist_ok=True)
-    zpath = os.path.join(out_dir, "sheaf.zip")
+    zpath = os.path.join(tempfile.mkdtemp(prefix="sheaf-pyfiles-"), "sheaf.zip")  # addPyFile sends it to the executors
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _, files in os.walk(pkg_dir):
             for f in files:

@@ -130,15 +130,15 @@ def ledger_dirty_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATERIALIZED: dict[tuple, str] = {}
 
 
-def _source_stamp(sf_dir: str) -> tuple:
-    import os
+def _source_stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of the source tables, through Spark's own file system (any store, not only local disks)."""
     stamp = []
     for t in ("lineitem", "orders", "customer", "part", "supplier"):
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
         try:
-            st = os.stat(p)
-            stamp.append((t, st.st_size, int(st.st_mtime)))
-        except OSError:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+            st = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+            stamp.append((t, st.getLen(), st.getModificationTime()))
+        except Exception:  # noqa: BLE001 - no such table, or a remote session without a JVM handle
             stamp.append((t, None, None))
     return tuple(stamp)
 
@@ -154,7 +154,7 @@ def ledger_table(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataF
     """
     from ..session import app_id, scratch_path
 
-    key = (app_id(spark), sf_dir.rstrip("/"), dirty, _source_stamp(sf_dir))
+    key = (app_id(spark), sf_dir.rstrip("/"), dirty, _source_stamp(spark, sf_dir))
     path = _MATERIALIZED.get(key)
     if path is None:
         view = ledger_dirty_view(spark, sf_dir) if dirty else ledger_view(spark, sf_dir)

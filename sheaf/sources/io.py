@@ -25,7 +25,7 @@ def _normalise(df: DataFrame) -> DataFrame:
     return df.select(*cols, *extra)
 
 
-def read_ledgers(spark: SparkSession, path: str, exclude: str = "clean") -> DataFrame:
+def read_ledgers(spark: SparkSession, path: str, exclude: str = "clean", keep_file: str | None = None) -> DataFrame:
     """Every ledger CSV under ``path`` (a file or a folder, company sub-folders allowed), except
     files whose name contains ``exclude``; all files are read in one scan and concatenated."""
     df = (spark.read.schema(LEDGER_CSV_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
@@ -37,9 +37,28 @@ def read_ledgers(spark: SparkSession, path: str, exclude: str = "clean") -> Data
         parent = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
         skip = F.col("_metadata.file_name").contains(exclude) | (parent.contains(exclude) & (parent != F.lit(root)))
         df = df.filter(~skip)
+    if keep_file:
+        file = df.select("*", F.col("_metadata.file_path").alias("file_path__"))
+        return _normalise(file).withColumnRenamed("file_path__", keep_file)
     return _normalise(df)
 
 
+def clean_ledger_chunks(df: DataFrame, chunk: str = "_chunk", by: list[str] | None = None) -> DataFrame:
+    """Clean each chunk by itself, all chunks in parallel: its own duplicates and its own medians.
+
+    ``chunk`` names a column that says which chunk a row belongs to; it stays in the result.
+    """
+    from ..operators.clean import clean_ledger
+    from ..operators.common import resolve_by
+    return clean_ledger(df, by=[chunk, *resolve_by(df, by)])
+
+
+def read_ledger_chunks(spark: SparkSession, path: str, exclude: str = "clean") -> DataFrame:
+    """Ledger CSVs cleaned file by file (a file is a chunk), in one parallel job; ``_chunk`` is the file's path."""
+    rows = read_ledgers(spark, path, exclude, keep_file="_chunk")
+    return clean_ledger_chunks(rows)
+
+
 def read_upload_csv(spark: SparkSession, path: str) -> DataFrame:
     """A user CSV with any subset of the ledger columns; types inferred, then normalised.
 
@@ -76,12 +95,13 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str):
-    """Load a ``PipelineModel``; None when the folder does not hold one."""
+    """Load a ``PipelineModel``; None when there is no such folder. A damaged model raises."""
     from pyspark.ml import PipelineModel
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - absent or unreadable artifact means "no model"
+    spark = SparkSession.active()
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/metadata")
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         return None
+    return PipelineModel.load(path)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:

@@ -11,8 +11,6 @@ there and stops.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean_ledger
@@ -29,7 +27,7 @@ def stream_clean_ledger(spark: SparkSession, in_path: str, out_path: str, checkp
     src = _normalise(reader.csv(in_path))
 
     def clean_batch(batch: DataFrame, batch_id: int) -> None:
-        clean_ledger(batch, by=by).write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+        clean_ledger(batch, by=by).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     q = (src.writeStream.foreachBatch(clean_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
