@@ -55,7 +55,7 @@ def _placed(df: DataFrame, width: int) -> DataFrame:
     """A row per window: id columns, place q, key and the window's words."""
     window = F.transform("keys", lambda k, i: F.struct(i.alias("q"), k.alias("key"), F.slice("words", i + 1, width).alias("own")))
     ids = [c for c in df.columns if c not in ("keys", "words")]
-    return df.select(*ids, F.explode(window).alias("w")).select(*ids, "w.q", "w.key", "w.own")
+    return df.select(*ids, F.explode_outer(window).alias("w")).select(*ids, "w.q", "w.key", "w.own").where("q is not null")
 
 
 def _item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
@@ -80,7 +80,8 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, width:
     keys = written(spark, items.select("key").distinct(), "decontam-keys")
     words = docs.select("doc_id", F.col("text")).where("text is not null and doc_id is not null").select(
         "doc_id", template_words(F.col("text")).alias("words"))
-    places = _with_windows(words, width).select("doc_id", F.explode("keys").alias("key"))
+    # outer: a plain explode lets the planner push a size test of the whole expression down, computing it over again
+    places = _with_windows(words, width).select("doc_id", F.explode_outer("keys").alias("key"))
     hits = written(spark, places.join(bounded_broadcast(keys), "key", "left_semi"), "decontam-hits")
     pairs = hits.select("doc_id", "key").distinct().join(items.select("item_id", "q", "key"), "key")
     pairs = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("q").alias("matched")).join(sizes, "item_id")

@@ -77,7 +77,8 @@ def _phrase_places(phrase: str, vocab: list[str]) -> Column:
 def rarity(places: DataFrame, vocab: list[str]) -> list[tuple[int, int]]:
     """(document frequency, documents) by vocabulary number, over all rows; at most len(vocab) rows reach the driver."""
     total = places.count()
-    rows = places.select(F.explode(F.array_distinct(F.transform("places", lambda x: x["k"]))).alias("k")).groupBy("k").count().collect()
+    rows = places.select(F.explode_outer(F.array_distinct(F.transform("places", lambda x: x["k"]))).alias("k")).where(
+        "k is not null").groupBy("k").count().collect()
     df = {r["k"]: r["count"] for r in rows}
     return [(df.get(k, 0), total) for k in range(1, len(vocab) + 1)]
 
@@ -113,7 +114,7 @@ def license_matches(places: DataFrame, templates=TEMPLATES) -> DataFrame:
     best = F.transform(F.slice(F.sort_array(F.transform(kinds, lambda k: F.struct(
         (-F.element_at(weight, k)).alias("o"), k.alias("k")))), 1, TOP), lambda s: s["k"])
     chosen = places.withColumn("best", best).where(F.size("best") > 0)
-    looked_up = (chosen.select("row", F.explode(F.filter("places", lambda x: F.array_contains("best", x["k"]))).alias("x"))
+    looked_up = (chosen.select("row", F.explode_outer(F.filter("places", lambda x: F.array_contains("best", x["k"]))).alias("x"))
                  .select("row", "x.p", "x.k").join(postings, "k"))
     voted = (looked_up.groupBy("row", "template", (F.col("p") - F.col("q")).alias("shift"))
              .agg(F.count_distinct("k").alias("n")).join(needs.select("template", "votes"), "template")
