@@ -81,11 +81,15 @@ def predict_categories(model: CategoryModel, df: DataFrame, t: Thresholds = DEFA
     p_max = F.array_max(probs)
     idx = (F.array_position(probs, p_max) - 1).cast("int")
     ml_label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), idx + 1)
+    return scored.select(*[F.col(f"`{c}`") for c in df.columns], *gated(ml_label, p_max, t))
+
+
+def gated(ml_label, p_max, t: Thresholds = DEFAULT) -> list:
+    """Predicted_Category, Confidence_pct and used_fallback from the model's class and its probability."""
     fallback = p_max < t.ml_confidence
     kw = keyword_category(F.col("Description"), F.coalesce(F.col("Amount"), F.lit(0)))
-    return scored.select(*[F.col(f"`{c}`") for c in df.columns],
-                         F.when(fallback, kw).otherwise(ml_label).alias("Predicted_Category"),
-                         F.round(p_max * 100, 1).alias("Confidence_pct"), fallback.alias("used_fallback"))
+    return [F.when(fallback, kw).otherwise(ml_label).alias("Predicted_Category"),
+            F.round(p_max * 100, 1).alias("Confidence_pct"), fallback.alias("used_fallback")]
 
 
 def fallback_rate(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -104,22 +108,40 @@ def evaluate(model: CategoryModel, test: DataFrame, t: Thresholds = DEFAULT, fea
     (label, prediction) confusion counts (a 4 x 4 table)."""
     test = test.filter(F.col("Category").isin(*LABELS))
     pred = model.classifier.transform(test if features_ready else fx.transform(model.features, test))
-    pred = pred.select(category_index("Category").alias("y"), F.col("prediction").cast("int").alias("p"))
-    cm = pred.groupBy("y", "p").count()
-    tp = cm.filter("y = p").select(F.col("y").alias("c"), F.col("count").alias("tp"))
-    sup = cm.groupBy(F.col("y").alias("c")).agg(F.sum("count").alias("support"))
-    pc = cm.groupBy(F.col("p").alias("c")).agg(F.sum("count").alias("predicted"))
-    lab = test.sparkSession.createDataFrame([(i, lab) for i, lab in enumerate(LABELS)], "c int, label string")
-    m = lab.join(sup, "c", "left").join(pc, "c", "left").join(tp, "c", "left").fillna(0)
+    return evaluate_pairs(pred.select(category_index("Category").alias("y"), F.col("prediction").cast("int").alias("p")))
+
+
+def evaluate_pairs(pairs: DataFrame, averages: bool = False) -> DataFrame:
+    """Per class precision / recall / F1 / support of (y, p) pairs plus an ``__accuracy__`` row.
+
+    One aggregation of the pairs counts every class; the rest works on its one row. ``averages`` adds the ``__macro__``
+    (plain) and ``__weighted__`` (by support) means of the classes.
+    """
+    counts = []
+    for i in range(len(LABELS)):
+        counts += [F.count_if((F.col("y") == i) & (F.col("p") == i)).alias(f"tp{i}"),
+                   F.count_if(F.col("y") == i).alias(f"support{i}"), F.count_if(F.col("p") == i).alias(f"predicted{i}")]
+    rows = ", ".join(f"'{lab}', tp{i}, support{i}, predicted{i}" for i, lab in enumerate(LABELS))
+    m = pairs.agg(*counts).selectExpr(f"stack({len(LABELS)}, {rows}) AS (label, tp, support, predicted)")
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     m = m.select("label", prec.alias("precision"), rec.alias("recall"), "support", "tp")
     m = m.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall")
                                   / (F.col("precision") + F.col("recall"))).otherwise(0.0))
-    acc = m.agg((F.sum("tp") / F.sum("support")).alias("precision"), F.sum("support").alias("support"))
-    acc = acc.select(F.lit("__accuracy__").alias("label"), "precision", F.col("precision").alias("recall"),
-                     "support", F.lit(0).cast("long").alias("tp"), F.col("precision").alias("f1"))
-    return m.unionByName(acc).drop("tp")
+    acc = m.agg(F.try_divide(F.sum("tp").cast("double"), F.sum("support").cast("double")).alias("precision"),
+                F.sum("support").alias("support"))
+    out = m.select("label", "precision", "recall", "f1", "support").unionByName(acc.select(
+        F.lit("__accuracy__").alias("label"), "precision", F.col("precision").alias("recall"),
+        F.col("precision").alias("f1"), "support"))
+    if not averages:
+        return out
+    macro = m.agg(F.lit("__macro__").alias("label"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")],
+                  F.sum("support").alias("support"))
+    total = F.sum("support")
+    weighted = m.agg(F.lit("__weighted__").alias("label"), *[F.try_divide(F.sum(F.col(c) * F.col("support")), total).alias(c)
+                                                             for c in ("precision", "recall", "f1")],
+                     total.alias("support"))
+    return out.unionByName(macro).unionByName(weighted)
 
 
 def confusion_matrix(model: CategoryModel, test: DataFrame) -> DataFrame:

@@ -8,10 +8,13 @@ Schedule III summary, one wide conditional aggregation over the ledger rows
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
+from ..functions.text import inr_format
 from .anomaly import iqr_thresholds
 from .common import drop_null_keys, dsum, join_small, resolve_by
 from .rollups import top_expense_heads
@@ -125,6 +128,39 @@ def compliance_insights(df: DataFrame, by: list[str] | None = None, cat_col: str
     return main.unionByName(heads)
 
 
+#: What a finding says, by code (and level where it matters). {amount} and {value_inr} are rupees, {value} has one decimal.
+MESSAGES = (
+    ("net_result", "info", "The period closed with a profit of {amount}, {value} % of income."),
+    ("net_result", "critical", "The period closed with a loss of {amount}."),
+    ("margin_band", None, "Of every rupee earned, {value} % is left as profit."),
+    ("expense_ratio", None, "Expenses of {amount} use up {value} % of income."),
+    ("major_head", None, "This head costs {amount}, {value} % of all expenses."),
+    ("gst_liability", None, "GST of {amount} is payable, {value} % of income."),
+    ("large_txns", None, "{n} transactions exceed {value_inr}; the largest is {amount}."),
+    ("s40a3_cash_expense", None, "{n} cash expenses over the limit, {amount} together, may not be deductible."),
+    ("s269st_cash", None, "{n} cash transactions reach the limit, {amount} together."),
+    ("s44ab_audit", None, "Turnover of {amount} needs an audit of the accounts."),
+    ("tds_26q", None, "Tax is to be deducted at source from payments of {amount}."),
+    ("s208_advance_tax", None, "An advance tax instalment of about {amount} is due."),
+    ("s17_5_blocked_itc", None, "GST credit of {amount} on blocked items cannot be taken."),
+    ("leverage", None, "Liabilities stand at {value} times the assets."),
+)
+
+
+def insight_messages(insights: DataFrame) -> DataFrame:
+    """Adds ``message``: the finding in one sentence with its amounts in Indian grouping."""
+    value = F.round("value", 1).cast("decimal(20,1)").cast("string")
+    parts = {"amount": inr_format(F.col("amount")), "value_inr": inr_format(F.col("value")), "value": value,
+             "n": F.col("n").cast("string")}
+    out = None
+    for code, level, text in MESSAGES:
+        names = re.findall(r"\{(\w+)\}", text)
+        said = F.format_string(re.sub(r"\{\w+\}", "%s", text.replace("%", "%%")), *[parts[n] for n in names])
+        hit = (F.col("code") == code) & (F.lit(True) if level is None else F.col("level") == level)
+        out = F.when(hit, said) if out is None else out.when(hit, said)
+    return insights.withColumn("message", out)
+
+
 def compliance_score(insights: DataFrame, by: list[str] | None = None, t: Thresholds = DEFAULT) -> DataFrame:
     """risk = 5 x critical + 3 x warning; score = max(0, 100 - risk); grade A..F; gauge band."""
     by = resolve_by(insights, by)
