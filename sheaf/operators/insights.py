@@ -128,7 +128,7 @@ def compliance_insights(df: DataFrame, by: list[str] | None = None, cat_col: str
     return main.unionByName(heads)
 
 
-#: What a finding says, by code (and level where it matters). {amount} and {value_inr} are rupees, {value} has one decimal.
+#: What a finding says, by code (and level where it matters). {amount} and {value_inr} are rupees (the latter whole ones), {value} has one decimal.
 MESSAGES = (
     ("net_result", "info", "The period closed with a profit of {amount}, {value} % of income."),
     ("net_result", "critical", "The period closed with a loss of {amount}."),
@@ -150,7 +150,7 @@ MESSAGES = (
 def insight_messages(insights: DataFrame) -> DataFrame:
     """Adds ``message``: the finding in one sentence with its amounts in Indian grouping."""
     value = F.round("value", 1).cast("decimal(20,1)").cast("string")
-    parts = {"amount": inr_format(F.col("amount")), "value_inr": inr_format(F.col("value")), "value": value,
+    parts = {"amount": inr_format(F.col("amount")), "value_inr": inr_format(F.floor("value")), "value": value,
              "n": F.col("n").cast("string")}
     out = None
     for code, level, text in MESSAGES:

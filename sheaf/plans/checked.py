@@ -131,7 +131,7 @@ def _totals(src: str, cat: str, key: str = "") -> str:
 def oracle_sql() -> dict[str, str]:
     gated = _gated_sql()
     one = "CAST(CAST(ROUND(value, 1) AS DECIMAL(18,1)) AS VARCHAR)"
-    amount, value = _inr_sql("CAST(amount AS DECIMAL(18,2))"), _inr_sql("CAST(value AS DECIMAL(18,2))")
+    amount, value = _inr_sql("CAST(amount AS DECIMAL(18,2))"), _inr_sql("FLOOR(value)")
     q = {}
     q["evaluation_of_given"] = with_ledger(f"""WITH {_GIVEN}, {_LAB},
 m0 AS (SELECT label, COUNT_IF(y = c AND p = c) AS tp, COUNT_IF(y = c) AS support, COUNT_IF(p = c) AS predicted
