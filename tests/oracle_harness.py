@@ -1,7 +1,7 @@
 """Run catalogued Spark queries against their DuckDB oracle SQL and compare.
 
 Comparison: column names (sorted), row count, and the multiset of rows with
-floats rounded to 6 significant decimals. Usage:
+floats rounded to 6 decimals (12 significant digits from a million up). Usage:
     python -m tests.oracle_harness [sf_dir] [key ...]
 """
 
@@ -35,7 +35,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.6g}") if abs(v) >= 1e6 else round(v, 6)
+        return float(f"{v:.12g}") if abs(v) >= 1e6 else round(v, 6)
     if hasattr(v, "item"):
         return _norm(v.item())
     try:
