@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_row, drop_null_keys, dsum, money, resolve_by
+from .common import drop_null_keys, dsum, money, resolve_by
 
 
 def _w(by):
@@ -46,12 +46,11 @@ def top_expense_heads(df: DataFrame, by: list[str] | None = None, cat_col: str =
     """Top-n expense sub-categories per key by amount (ties by name), % of total expense, rank note."""
     by = resolve_by(df, by)
     exp = drop_null_keys(df.filter(F.col(cat_col) == "Expense"), by)
-    te = exp.groupBy(*by).agg(dsum(F.col("Amount")).alias("_te")) if by else exp.agg(
-        dsum(F.col("Amount")).alias("_te"))
-    g = drop_null_keys(exp, ["Sub_Category"]).groupBy(*by, "Sub_Category").agg(dsum(F.col("Amount")).alias("_a"))
+    # one aggregate: the total is the sum of the heads' sums (rows without a head count in it, but are not listed)
+    g = exp.groupBy(*by, "Sub_Category").agg(dsum(F.col("Amount")).alias("_a"))
+    g = drop_null_keys(g.withColumn("_te", F.sum("_a").over(_w(by))), ["Sub_Category"])
     w = _w(by).orderBy(F.col("_a").desc(), F.col("Sub_Category").asc())
     g = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    g = g.join(te, on=by, how="inner") if by else attach_row(g, te)
     note = F.element_at(F.array(*[F.lit(x) for x in RANK_NOTES]), F.col("rank"))
     return g.select(*by, "rank", F.col("Sub_Category").alias("sub_category"), money("_a").alias("amount"),
                     F.when(F.col("_te") > 0, F.col("_a").cast("double") / F.col("_te").cast("double") * 100)
@@ -105,20 +104,18 @@ def network_nodes(df: DataFrame, by: list[str] | None = None, cat_col: str = "Ca
     """Node totals per class / sub-category / payment mode with a min-max scaled size."""
     by = resolve_by(df, by)
     src = drop_null_keys(df, by)
-    parts = []
-    for kind, col, lo, hi in (("category", cat_col, 12, 55), ("sub_category", "Sub_Category", 8, 36),
-                              ("payment_mode", "Payment_Mode", 8, 30)):
-        g = drop_null_keys(src, [col]).groupBy(*by, F.col(col).alias("node")).agg(dsum(F.col("Amount")).alias("a"))
-        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        mn, mx = F.min("a").over(w).cast("double"), F.max("a").over(w).cast("double")
-        size = F.when(mx == mn, F.lit((lo + hi) / 2)).otherwise(
-            F.lit(float(lo)) + F.lit(float(hi - lo)) * (F.col("a").cast("double") - mn) / (mx - mn))
-        parts.append(g.select(*by, F.lit(kind).alias("kind"), "node", money("a").alias("amount"),
-                              size.alias("size")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kinds = (("category", cat_col, 12, 55), ("sub_category", "Sub_Category", 8, 36), ("payment_mode", "Payment_Mode", 8, 30))
+    # one scan: sums per (class, sub-category, mode), whose few rows then count once for each of their three nodes
+    small = src.groupBy(*by, *[F.col(c).alias(k) for k, c, _, _ in kinds]).agg(dsum(F.col("Amount")).alias("a"))
+    node = F.explode_outer(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("node")) for k, _, _, _ in kinds]))
+    g = small.select(*by, "a", node.alias("x")).select(*by, "x.kind", "x.node", "a").filter(F.col("node").isNotNull())
+    g = g.groupBy(*by, "kind", "node").agg(dsum(F.col("a")).alias("a"))
+    w = Window.partitionBy(*by, "kind")
+    mn, mx = F.min("a").over(w).cast("double"), F.max("a").over(w).cast("double")
+    lo = F.when(F.col("kind") == "category", 12.0).otherwise(8.0)
+    hi = F.when(F.col("kind") == "category", 55.0).when(F.col("kind") == "sub_category", 36.0).otherwise(30.0)
+    size = F.when(mx == mn, (lo + hi) / 2).otherwise(lo + (hi - lo) * (F.col("a").cast("double") - mn) / (mx - mn))
+    return g.select(*by, "kind", "node", money("a").alias("amount"), size.alias("size"))
 
 
 def network_edges(df: DataFrame, by: list[str] | None = None, cat_col: str = "Category") -> DataFrame:
