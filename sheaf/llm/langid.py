@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .crf import posteriors
 from .store import arrow_batches, table, written
-from .words import BYTE_VALUES, mix64, runs, slices, span_hashes, text_bytes
+from .words import mix64, runs, slices, span_hashes, text_bytes
 
 #: Bound of the fitting sample, in labelled rows for each language.
 SAMPLE_ROWS = 200
