@@ -57,12 +57,12 @@ def _features(buf, starts, ends):
         code = code[:-1] * np.uint64(257) + x[n - 1:]
         codes[n] = code
     for n in (2, 3, 4):
-        b = (mix64(codes[n] + np.uint64(n << 48)) & mask).astype(np.int64)
+        b = (mix64(codes[n] + np.uint64(n << 48)) & mask).astype(np.uint16)
         out.append((b, starts - 1, np.maximum(starts - 1, ends - n + 2)))
     for n in (2, 3, 5):
         has = np.flatnonzero(ends - starts >= n)
         for where, salt in ((starts[has], 8), (ends[has] - n, 16)):
-            b = (mix64(codes[n][where] + np.uint64((n + salt) << 48)) & mask).astype(np.int64)
+            b = (mix64(codes[n][where] + np.uint64((n + salt) << 48)) & mask).astype(np.uint16)
             first = np.zeros(len(starts), dtype=np.int64)
             first[has] = np.arange(len(has))
             end = first.copy()
@@ -222,16 +222,14 @@ def _fit(model, texts: list[str], langs: list[int]):
     bounds = np.searchsorted(starts, at)
     label = np.repeat(np.array(langs, dtype=np.int64), np.diff(bounds))
     kinds = _features(buf, starts, ends) if len(starts) else []
-    flat, owner = [], []
-    for b, first, end in kinds:
+    word_at = np.concatenate([[0], np.cumsum(sum((np.maximum(end - first, 0) for _, first, end in kinds), np.zeros(len(starts), np.int64)))])
+    flat, filled = np.empty(word_at[-1], dtype=np.uint16), word_at[:-1].copy()
+    while kinds:  # each kind's features go to their words' places; no list of (feature, word) pairs is held
+        b, first, end = kinds.pop()
         n = np.maximum(end - first, 0)
-        spot = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        flat.append(b[spot])
-        owner.append(np.repeat(np.arange(len(first)), n))
-    flat, owner = np.concatenate(flat), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    flat, owner = flat[order], owner[order]
-    word_at = np.searchsorted(owner, np.arange(len(starts) + 1))
+        before, step_in = np.concatenate([[0], np.cumsum(n)[:-1]]), np.arange(n.sum())
+        flat[np.repeat(filled - before, n) + step_in] = b[np.repeat(first - before, n) + step_in]
+        filled += n
     scale = 1 / np.sqrt(np.maximum(np.diff(word_at), 1))
     lexicon = _lexicon_rows(model, span_hashes(buf, starts, ends))
     rng = np.random.default_rng(7)
