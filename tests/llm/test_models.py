@@ -142,6 +142,39 @@ def test_lm_base_scores_and_held_out_gain(spark, docs):
     assert len(nothing) == 5 and all(r.train_tokens == 0 and np.isfinite(r.score) for r in nothing)
 
 
+def test_lm_scores_follow_every_word_ngram(spark):
+    rng = np.random.default_rng(7)
+    vocab = [f"w{k}" for k in range(3000)]
+    lines = [" ".join(vocab[k] for k in rng.integers(0, 3000, 12)) for _ in range(300)]
+    texts = [" ".join(lines[k] for k in rng.integers(0, 300, 3)) for _ in range(200)] + ["never seen w1 w2", "", None]
+    held = [k % 5 == 0 for k in range(len(texts))]
+    two, three, one = collections.Counter(), collections.Counter(), collections.Counter()
+    seqs = [["<b>", *(t or "").split(), None] for t in texts]
+    for y in (y for y, h in zip(seqs, held) if not h):
+        one.update(y[1:])
+        two.update(zip(y, y[1:]))
+        three.update(zip(y, y[1:], y[2:]))
+    after = [collections.defaultdict(list), collections.defaultdict(list)]
+    for table, to in ((two, after[0]), (three, after[1])):
+        for g, c in table.items():
+            to[g[:-1]].append(c)
+    n = sum(one.values()) + len(one) + 1
+
+    def chance(g):
+        if len(g) == 1:
+            return (one[g[0]] + 1) / n
+        seen = after[len(g) - 2].get(g[:-1])
+        lower = chance(g[1:])
+        return ((two, three)[len(g) - 2][g] + len(seen) * lower) / (sum(seen) + len(seen)) if seen else lower
+
+    want = {k: sum(math.log10(chance(tuple(y[max(0, i - 2):i + 1]))) for i in range(1, len(y))) for k, y in enumerate(seqs)}
+    df = spark.createDataFrame([(k, t, h) for k, (t, h) in enumerate(zip(texts, held))], "doc_id long, text string, h boolean")
+    got = {r.doc_id: r for r in lm.score_texts(spark, df, F.col("h")).collect()}
+    assert {k: r.score for k, r in got.items()} == pytest.approx(want)
+    seen = [r for k, r in got.items() if held[k] and texts[k]]
+    assert sum(r.score for r in seen) > sum(r.base_score for r in seen) / 2  # lines of rare words are learned
+
+
 def automaton(seed=0, size=5, length=400):
     """An automaton over symbols 0..size-1 (the last one RARE) from one random sequence, and its kept n-grams."""
     rng = np.random.default_rng(seed)
