@@ -4,14 +4,18 @@ A document's set is its distinct word shingles (``width`` words; with fewer word
 embedded as ``SKETCH`` minwise tokens. Each of ``trees`` independent trees puts a set into the node of one minwise
 token; a node of more than ``small`` sets from more than one component branches on two further tokens chosen by the
 node's own hash, again and again. Small nodes are compared exhaustively; larger nodes link every member to the
-node's smallest member before they branch. Every candidate is confirmed on the full sets.
+node's smallest member before they branch. Large mixed nodes that hardly shrink by branching, or are left after
+``depth`` levels, hold families of texts that are all alike: every pair of such a family that is not linked yet is
+compared exactly, in blocks of its members. Every candidate is confirmed on the full sets.
 
 Recall for a pair at similarity s: it meets in a tree's first node with probability s, so eight trees find a pair at
 0.8 in small nodes with probability 1 - 0.2^8 = 0.999997. In branching nodes the pair survives a level with mean
-2 x 0.8 > 1 children (extinction 0.0625 per tree), so eight trees keep the miss rate below 1e-6 there too.
+2 x 0.8 > 1 children (extinction 0.0625 per tree), so it is missed by all eight trees with probability
+(0.2 + 0.8 x 0.0625)^8 = 1.5e-5, taking tokens as independent. A pair that meets in a family's node is never missed.
 
-Work stays linear in copies: equal sets are collapsed first, members already linked are not compared again, and a
-node never emits all pairs of its members unless it holds at most ``small`` of them.
+Work stays linear in copies: equal sets are collapsed first, and members already linked are not compared again. A
+node never emits all pairs of its members unless it holds at most ``small`` of them. A family's unlinked pairs are
+compared one by one, without a cap, but a block of them emits at most one link for each class it joins.
 """
 
 from __future__ import annotations
@@ -30,9 +34,12 @@ from .words import mix64, ragged, sequence_hash, slices, text_bytes, words
 SKETCH = 64
 TREES = 8
 SMALL = 16
-#: Branching levels below the first node. A node that is still large and mixed there has linked every member to its
-#: smallest member at each level; members have then agreed on DEPTH + 1 tokens.
+#: Branching levels below the first node. A node that is still large and mixed there is compared exactly.
 DEPTH = 6
+#: A large mixed node that keeps more than this share of its parent is compared exactly and not branched again.
+STUCK = 0.75
+#: Members and shingles of a family's chunk: two chunks are compared by one task.
+CHUNK, CHUNK_ITEMS = 500, 500_000
 #: A pair goes to the exact check when at least this share of its minwise tokens agree: 4 standard deviations
 #: (sqrt(0.8 x 0.2 / 64) = 0.05) under 0.8, so a true pair is missed there with probability 3e-5 at exactly 0.8.
 SIEVE = 0.6
@@ -121,16 +128,83 @@ def _confirmed(spark, docs, reps, pairs, width, percent):
                    .select("a", "b").distinct(), "neardup-links")
 
 
+def _compare(percent: int):
+    """Links between the members of two chunks (or of one): one for each pair of components that an exact link joins."""
+    def run(key, group):
+        chunk, ids, component = (group.column(c).to_numpy() for c in ("chunk", "rep", "component"))
+        lists = group.column("items").combine_chunks()
+        items, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        kinds, code = np.unique(items, return_inverse=True)
+        size, component, links = np.diff(at), component.copy(), []
+        mark = np.zeros(len(kinds), dtype=bool)
+        lo, hi = key[1].as_py(), key[2].as_py()
+        for a in np.flatnonzero(chunk == lo):
+            other = np.flatnonzero((chunk == hi) & (component != component[a])
+                                   & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])))
+            if not len(other):
+                continue
+            own, n = code[at[a]:at[a + 1]], size[other]
+            mark[own] = True
+            first = np.concatenate([[0], np.cumsum(n)[:-1]])
+            both = np.add.reduceat(mark[code[np.repeat(at[other] - first, n) + np.arange(n.sum())]].astype(np.int64), first)
+            mark[own] = False
+            for b in other[100 * both >= percent * (size[a] + n - both)]:
+                if component[b] != component[a]:
+                    links.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+                    component[component == component[b]] = component[a]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+    return run
+
+
+def _family_links(spark, docs, stuck, labels, width, percent):
+    """Exact links between the components of every family: nodes of ``stuck`` (key, rep, leader) that share members."""
+    families = components(spark, stuck.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    members = _labelled(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), labels)
+    stats = members.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    mixed = written(spark, stats.select("family"), "neardup-families")
+    members = written(spark, members.join(bounded_broadcast(mixed), "family"), "neardup-family")
+    if members.isEmpty():
+        return None
+    ids = members.select(F.col("rep").alias("doc_id"))
+    texts = docs.select("doc_id", "text").where("text is not null").join(bounded_broadcast(ids), "doc_id", "left_semi")
+    full = arrow_batches(texts).mapInArrow(_lister(width), "id long, items array<bigint>").where(F.size("items") > 0)
+    # rows that repeat a doc_id: every set of it, once
+    full = written(spark, full.dropDuplicates(["id", "items"]).join(members, F.col("id") == F.col("rep")).select(
+        "family", "rep", "component", "items"), "neardup-family-sets")
+    chunks = full.groupBy("family").agg(F.ceil(F.greatest(
+        F.count(F.lit(1)) / CHUNK, F.sum(F.size("items")) / CHUNK_ITEMS)).cast("int").alias("chunks"))
+    chunks = written(spark, chunks, "neardup-chunks")
+    dealt = full.join(bounded_broadcast(chunks), "family").withColumn("chunk", F.pmod(F.xxhash64("items"), F.col("chunks")).cast("int"))
+    dealt = dealt.select("family", "chunk", "rep", "component", "items", F.explode(
+        F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
+    dealt = dealt.select("family", F.least("chunk", "with").alias("x"), F.greatest("chunk", "with").alias("y"),
+                         "chunk", "rep", "component", "items")
+    # dealt out by the pair of chunks: a family's tasks must not stay together
+    links = dealt.repartition("family", "x", "y").groupBy("family", "x", "y").applyInArrow(_compare(percent), "a long, b long")
+    return written(spark, links.distinct(), "neardup-links")
+
+
+def _merged(spark, labels, links):
+    """Labels with the components of ``links`` joined: edges between components, then their smallest member."""
+    ends = _labelled(links.select(F.col("a").alias("rep"), "b"), labels).select(F.col("component").alias("ca"), "b")
+    ends = _labelled(ends.select(F.col("b").alias("rep"), "ca"), labels)
+    merged = components(spark, ends.select(F.col("ca").alias("a"), F.col("component").alias("b"))).toDF("old", "new")
+    known = labels.join(merged, labels.component == merged.old, "left").select(
+        "node", F.coalesce("new", "component").alias("component"))
+    alone = merged.select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return written(spark, known.unionByName(alone).distinct(), "neardup-labels")
+
+
 def _labelled(nodes, labels):
     return nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
 
 
 def _mixed(members):
-    """Members of nodes that hold more than one component, with the node's size and smallest member."""
-    stats = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"),
+    """Members of nodes that hold more than one component, with the sizes of node and parent and its smallest member."""
+    stats = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"), F.min("component").alias("lo"),
                                        F.max("component").alias("hi"), F.min(F.struct("rep", "component")).alias("top"))
-    return members.join(stats.where("lo < hi"), "key").select("key", "rep", "component", "n",
+    return members.drop("parent").join(stats.where("lo < hi"), "key").select("key", "rep", "component", "n", "parent",
                                                               F.col("top.rep").alias("leader"),
                                                               F.col("top.component").alias("leader_component"))
 
@@ -166,28 +240,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, per
     labels = written(spark, components(spark, links), "neardup-labels")
 
     # every level's members and pairs are written: no plan spans the levels
-    mixed = written(spark, _mixed(_labelled(nodes, labels)), "neardup-mixed")
+    mixed = written(spark, _mixed(_labelled(nodes, labels).withColumn("parent", F.lit(None).cast("long"))), "neardup-mixed")
     pairs = written(spark, _cross_pairs(mixed, small), "neardup-level")
-    for _ in range(depth):
-        large = mixed.where(F.col("n") > small).select("key", "rep", "component")
+    stuck = mixed.limit(0).select("key", "rep", "leader")
+    for level in range(depth + 1):
+        large = mixed.where(F.col("n") > small)
+        still = F.lit(True) if level == depth else F.coalesce(F.col("n") > STUCK * F.col("parent"), F.lit(False))
+        stuck = stuck.unionByName(large.where(still).select("key", "rep", "leader"))
+        large = large.where(~still).select("key", "rep", "component", F.col("n").alias("parent"))
         if large.isEmpty():
             break
         rest = SKETCH - trees
         spot = [F.pmod(F.xxhash64(F.lit(k), F.col("key")), F.lit(rest)).cast("int") + trees for k in range(2)]
         child = F.array(*[F.xxhash64(F.lit(k), F.col("key"), s, F.col("sketch")[s]) for k, s in enumerate(spot)])
-        deeper = large.join(reps.select("rep", "sketch"), "rep").select(F.explode(child).alias("key"), "rep", "component")
+        deeper = large.join(reps.select("rep", "sketch"), "rep").select(
+            F.explode(child).alias("key"), "rep", "component", "parent")
         mixed = written(spark, _mixed(deeper), "neardup-mixed")
         pairs = pairs.unionByName(written(spark, _cross_pairs(mixed, small), "neardup-level"))
     more = _confirmed(spark, docs, reps, pairs.distinct().join(stars.distinct(), ["a", "b"], "left_anti"), width, percent)
     if not more.isEmpty():
-        # contract: edges between components, then the merged components' smallest member
-        ends = _labelled(more.select(F.col("a").alias("rep"), "b"), labels).select(F.col("component").alias("ca"), "b")
-        ends = _labelled(ends.select(F.col("b").alias("rep"), "ca"), labels)
-        merged = components(spark, ends.select(F.col("ca").alias("a"), F.col("component").alias("b"))).toDF("old", "new")
-        known = labels.join(merged, labels.component == merged.old, "left").select(
-            "node", F.coalesce("new", "component").alias("component"))
-        alone = merged.select(F.col("old").alias("node"), F.col("new").alias("component"))
-        labels = written(spark, known.unionByName(alone).distinct(), "neardup-labels")
+        labels = _merged(spark, labels, more)
+    if not stuck.isEmpty():
+        rest = _family_links(spark, docs, stuck, labels, width, percent)
+        if rest is not None and not rest.isEmpty():
+            labels = _merged(spark, labels, rest)
 
     known = reps.select("set_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("set_id", F.coalesce("component", "rep").alias("set_component"))

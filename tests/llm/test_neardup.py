@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sheaf.llm.graph import components
@@ -54,6 +55,26 @@ def test_classes_equal_brute_force(spark, width):
     assert got == brute(rows, width)
 
 
+def test_large_family_of_edited_copies_equals_brute_force(spark):
+    rng = np.random.default_rng(0)
+    n, m = 2000, 300
+    kept = np.ones((n, m), dtype=np.float32)
+    for row in kept:
+        row[rng.choice(m, rng.integers(10, 31), replace=False)] = 0
+    rows = [(i, " ".join(f"b{k}" if on else f"e{i}x{k}" for k, on in enumerate(row))) for i, row in enumerate(kept)]
+    both = kept @ kept.T
+    linked = 100 * both >= 80 * (2 * m - both)
+    want = np.arange(n)
+    while True:
+        low = np.min(np.where(linked, want[None, :], n), axis=1)
+        if (low == want).all():
+            break
+        want = low
+    got = {r.doc_id: r.component_id for r in near_duplicates(
+        spark, spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()}
+    assert 100 < len(set(want)) < n and got == dict(enumerate(want.tolist()))
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f")],
                                "doc_id long, text string")
