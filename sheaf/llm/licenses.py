@@ -1,10 +1,10 @@
 """License scans with a positional index of rare licence words, in built-in functions.
 
 A word is a run of ASCII letters and digits and of any characters beyond ASCII. One pass keeps, of every text, the places
-of words that occur in licence templates. Inverse document frequencies come from all texts. A text's ``TOP`` rarest
-licence words (of those in at most ``RARE_SHARE`` of the texts) are looked up in the templates' postings; places that agree
-on one shift between text and template vote, and a template with enough votes at one shift is a candidate. It is reported
-when the words of its mandatory key phrases stand at their places under that shift.
+of words that occur in licence templates. Inverse document frequencies come from all texts. Every template is looked up by
+its anchor: the rarest word of its mandatory key phrases, however often that word occurs. Each place of an anchor in a text
+gives one shift between text and template. The template is reported when the words of its mandatory key phrases stand at
+their places under that shift, and ``VOTES`` different words of the template in all.
 """
 
 from __future__ import annotations
@@ -42,8 +42,6 @@ TEMPLATES = [
 #: Phrases whose places are counted, and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-TOP = 8
-RARE_SHARE = 0.1
 VOTES = 3
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -83,7 +81,8 @@ def rarity(places: DataFrame, vocab: list[str]) -> list[tuple[int, int]]:
     return [(df.get(k, 0), total) for k in range(1, len(vocab) + 1)]
 
 
-def _postings(spark, templates, vocab, idf, rare):
+def _postings(spark, templates, vocab, idf):
+    """The places of all template words; and of each template the label, votes, mass, mandatory places and anchor."""
     rows, needs = [], []
     for t, (label, text, phrases) in enumerate(templates):
         ws = text.split()
@@ -92,39 +91,31 @@ def _postings(spark, templates, vocab, idf, rare):
             p = phrase.split()
             first = next(i for i in range(len(ws)) if ws[i:i + len(p)] == p)
             need |= set(range(first, first + len(p)))
-        votes = min(VOTES, len({w for w in ws if rare[vocab.index(w)]}))
+        anchor = max(sorted(need), key=lambda q: idf[vocab.index(ws[q])])
         mass = sum(idf[vocab.index(w)] for w in ws)
         rows += [(t, q, vocab.index(w) + 1, float(idf[vocab.index(w)])) for q, w in enumerate(ws)]
-        needs.append((t, label, votes, float(mass), sorted(need)))
-    return (spark.createDataFrame(rows, "template int, q int, k int, idf double"),
-            spark.createDataFrame(needs, "template int, label string, votes int, mass double, need array<int>"))
+        needs.append((t, label, min(VOTES, len(set(ws))), float(mass), sorted(need), anchor, vocab.index(ws[anchor]) + 1))
+    return (spark.createDataFrame(rows, "template int, q int, k int, idf double"), spark.createDataFrame(
+        needs, "template int, label string, votes int, mass double, need array<int>, anchor int, anchor_k int"))
 
 
 def license_matches(places: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Per reported template of a row: row, label, shift (word of the text under the template's first) and score."""
     spark, vocab = places.sparkSession, vocabulary(templates)
-    seen = rarity(places, vocab)
-    idf = [math.log((n + 1) / (df + 1)) + 1e-9 for df, n in seen]
-    rare = [df <= RARE_SHARE * n for df, n in seen]
-    postings, needs = _postings(spark, templates, vocab, idf, rare)
+    idf = [math.log((n + 1) / (df + 1)) + 1e-9 for df, n in rarity(places, vocab)]
+    postings, needs = _postings(spark, templates, vocab, idf)
+    anchors = sorted({r["anchor_k"] for r in needs.collect()})
     postings, needs = F.broadcast(postings), F.broadcast(needs)  # the templates' own size
-    weight = F.array(*[F.lit(float(x)) for x in idf])
-    rare_ids = [k + 1 for k, r in enumerate(rare) if r] or [-1]
-    kinds = F.array_distinct(F.transform(F.filter("places", lambda x: x["k"].isin(rare_ids)), lambda x: x["k"]))
-    best = F.transform(F.slice(F.sort_array(F.transform(kinds, lambda k: F.struct(
-        (-F.element_at(weight, k)).alias("o"), k.alias("k")))), 1, TOP), lambda s: s["k"])
-    chosen = places.withColumn("best", best).where(F.size("best") > 0)
-    looked_up = (chosen.select("row", F.explode_outer(F.filter("places", lambda x: F.array_contains("best", x["k"]))).alias("x"))
-                 .select("row", "x.p", "x.k").join(postings, "k"))
-    voted = (looked_up.groupBy("row", "template", (F.col("p") - F.col("q")).alias("shift"))
-             .agg(F.count_distinct("k").alias("n")).join(needs.select("template", "votes"), "template")
-             .where((F.col("votes") > 0) & (F.col("n") >= F.col("votes"))).select("row", "template", "shift"))
+    at = F.filter("places", lambda x: x["k"].isin(anchors))
+    voted = (places.select("row", F.explode_outer(at).alias("x")).select("row", "x.p", F.col("x.k").alias("anchor_k"))
+             .join(needs, "anchor_k").select("row", "template", (F.col("p") - F.col("anchor")).alias("shift")))
     voted = written(spark, voted, "license-candidates")
     near = places.join(voted.select("row").distinct(), "row", "left_semi")
     under = (near.select("row", F.explode("places").alias("x")).select("row", "x.p", "x.k").join(postings, "k")
              .withColumn("shift", F.col("p") - F.col("q")).join(voted, ["row", "template", "shift"])
-             .groupBy("row", "template", "shift").agg(F.collect_set("q").alias("qs"), F.sum("idf").alias("got")))
-    return (under.join(needs, "template").where(F.size(F.array_except("need", "qs")) == 0)
+             .groupBy("row", "template", "shift").agg(F.collect_set("q").alias("qs"), F.collect_set("k").alias("ks"),
+                                                      F.sum("idf").alias("got")))
+    return (under.join(needs, "template").where((F.size(F.array_except("need", "qs")) == 0) & (F.size("ks") >= F.col("votes")))
             .select("row", "label", "shift", F.least(F.col("got") / F.col("mass"), F.lit(1.0)).alias("score")))
 
 

@@ -96,6 +96,15 @@ def test_license_places_and_labels(spark):
         assert 0 <= r.score <= 1
 
 
+def test_license_notices_in_hot_sources_and_small_tables(spark):
+    notice = "Released under the MIT License."
+    rows = [(i, f"page {i} {notice}" if i % 3 == 0 else f"page {i} of other text") for i in range(60)]
+    for table in (rows, [(0, notice)]):
+        df = spark.createDataFrame(table, "doc_id long, text string")
+        got = {r.doc_id: r.labels for r in licenses.scan_licenses(df).collect()}
+        assert got == {i: "mit" if notice in t else "" for i, t in table}
+
+
 def test_reparameterised_questions_are_caught(spark):
     item = ("Tom has 12 apples and his friend Anna Lee gives 12 more apples, so how many kilos of fruit does he carry home "
             "after 3 days")
