@@ -105,6 +105,17 @@ def test_license_notices_in_hot_sources_and_small_tables(spark):
         assert got == {i: "mit" if notice in t else "" for i, t in table}
 
 
+def test_every_license_notice_of_a_file_is_found(spark):
+    whole = {label: text for label, text, _ in licenses.TEMPLATES}  # the longest notice of each label
+    rows = [(0, " ".join(whole.values()))] + [(1 + k, f"{a} and {b}") for k, (a, b) in enumerate(
+        (whole[x], whole[y]) for x, y in (("bsd", "mit"), ("apache-2.0", "mit"), ("gpl-notice", "mit")))]
+    rows += [(10 + i, "some text without any notice") for i in range(40)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan_licenses(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == {*whole, "gpl", "cc-by"}
+    assert [got[k] for k in (1, 2, 3)] == [{"bsd", "mit"}, {"apache-2.0", "mit"}, {"gpl", "gpl-notice", "mit"}]
+
+
 def test_reparameterised_questions_are_caught(spark):
     item = ("Tom has 12 apples and his friend Anna Lee gives 12 more apples, so how many kilos of fruit does he carry home "
             "after 3 days")
