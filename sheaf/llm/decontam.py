@@ -4,7 +4,9 @@ Numbers, the units behind them and names inside a sentence become typed placehol
 Windows of ``width`` template words of every benchmark item are hash-joined with the windows of every whole document.
 An item leaks into a document when at least ``coverage`` of its windows are found there and its slots are filled
 consistently: each value of a slot in the item stands for one value of the same type in the document. So a question
-with other numbers and names is still caught. Only built-in functions run.
+with other numbers and names is still caught. Both are judged for every occurrence by itself (windows at about one shift
+between document and item, in bands of half an item) and for the whole document; the best counts. Only built-in functions
+run.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ COVERAGE = 0.5
 CONSISTENT = 0.8
 #: A window joins only with this many words that are no placeholders.
 LITERALS = 3
+#: The band of all a document's windows together.
+WHOLE = -(1 << 62)
 
 #: Units that count as a slot behind a number.
 UNITS = ("kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|yards?|l|ml|liters?|litres?|gallons?|h|hrs?|hours?|"
@@ -76,7 +80,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, width:
     repeat a doc_id or an item_id count as one document or item (each window place once). Other columns are ignored.
     """
     items = written(spark, _item_windows(benchmark.where("item_id is not null"), width, literals), "decontam-items")
-    sizes = items.groupBy("item_id").agg(F.countDistinct("q").alias("windows"))
+    # two occurrences are an item's length apart: a band of two steps never holds both
+    sizes = items.groupBy("item_id").agg(F.countDistinct("q").alias("windows"), F.greatest(
+        F.floor((F.max("q") + 1) / 4), F.lit(1)).alias("step"))
     keys = written(spark, items.select("key").distinct(), "decontam-keys")
     words = docs.select("doc_id", F.col("text")).where("text is not null and doc_id is not null").select(
         "doc_id", template_words(F.col("text")).alias("words"))
@@ -89,22 +95,30 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, width:
     # slots of the surviving pairs, read from the documents' own words
     found = written(spark, pairs.select("doc_id").distinct(), "decontam-docs")
     near = words.join(bounded_broadcast(found), "doc_id", "left_semi")
-    own = _placed(_with_windows(near, width), width).select("doc_id", "key", F.col("own").alias("doc_words")).distinct()
-    slots = (pairs.join(items, "item_id").join(own, ["doc_id", "key"])
-             .select("doc_id", "item_id", F.explode(F.filter(F.arrays_zip("item_words", "doc_words"),
-                                                             lambda z: z["item_words"] < "\x04")).alias("z"))
-             .select("doc_id", "item_id", F.col("z.item_words").alias("iv"), F.col("z.doc_words").alias("dv")).distinct())
-    value = slots.groupBy("doc_id", "item_id", "iv").agg(F.count(F.lit(1)).alias("ways"),
+    own = _placed(_with_windows(near, width), width).select("doc_id", F.col("q").alias("p"), "key", F.col("own").alias("doc_words"))
+    half = F.floor((F.col("p") - F.col("q")) / F.col("step"))
+    bands = F.array(F.lit(WHOLE), half - 1, half)  # neighbouring bands overlap by half
+    aligned = pairs.join(items, "item_id").join(own, ["doc_id", "key"]).select(
+        "doc_id", "item_id", "q", "item_words", "doc_words", F.explode(bands).alias("band")).distinct()
+    aligned = written(spark, aligned, "decontam-aligned")
+    matched = aligned.groupBy("doc_id", "item_id", "band").agg(F.countDistinct("q").alias("matched"))
+    slots = (aligned.select("doc_id", "item_id", "band", F.explode(F.filter(
+        F.arrays_zip("item_words", "doc_words"), lambda z: z["item_words"] < "\x04")).alias("z"))
+        .select("doc_id", "item_id", "band", F.col("z.item_words").alias("iv"), F.col("z.doc_words").alias("dv")).distinct())
+    value = slots.groupBy("doc_id", "item_id", "band", "iv").agg(F.count(F.lit(1)).alias("ways"),
                                                          F.max((F.col("iv") == F.col("dv")).cast("int")).alias("same"))
-    judged = value.groupBy("doc_id", "item_id").agg(
+    judged = value.groupBy("doc_id", "item_id", "band").agg(
         F.count(F.lit(1)).alias("slots"),
         F.sum(((F.col("ways") == 1) | (F.col("same") == 1)).cast("long")).alias("consistent_slots"),
         F.min("same").alias("same"))
-    out = pairs.join(judged, ["doc_id", "item_id"], "left").select(
+    out = pairs.drop("matched").join(matched, ["doc_id", "item_id"]).where(F.col("matched") >= coverage * F.col("windows"))
+    out = out.join(judged, ["doc_id", "item_id", "band"], "left").select(
         "doc_id", "item_id", "windows", "matched", F.coalesce("slots", F.lit(0)).alias("slots"),
         F.coalesce("consistent_slots", F.lit(0)).alias("consistent_slots"),
         (F.coalesce("same", F.lit(1)) == 1).alias("verbatim"))
-    return out.where(F.col("consistent_slots") >= consistent * F.col("slots"))
+    best = F.max(F.struct("matched", "consistent_slots", "verbatim", "slots")).alias("best")
+    return out.where(F.col("consistent_slots") >= consistent * F.col("slots")).groupBy("doc_id", "item_id", "windows").agg(
+        best).select("doc_id", "item_id", "windows", "best.matched", "best.slots", "best.consistent_slots", "best.verbatim")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,16 @@ def test_every_license_notice_of_a_file_is_found(spark):
     assert [got[k] for k in (1, 2, 3)] == [{"bsd", "mit"}, {"apache-2.0", "mit"}, {"gpl", "gpl-notice", "mit"}]
 
 
+def test_variants_of_one_item_in_one_text(spark):
+    item = "the farmer sold 12 baskets of ripe apples to his neighbour and kept 5 baskets for the long winter at home"
+    variants = [item.replace("12", str(7 + k)).replace("5", str(20 + k)) for k in range(3)]
+    docs = [(1, " ".join(variants[:2])), (2, " some words between ".join(variants)), (3, variants[0]), (4, item + " " + variants[0])]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert [got[k].verbatim for k in (1, 2, 3, 4)] == [False, False, False, True]
+
+
 def test_reparameterised_questions_are_caught(spark):
     item = ("Tom has 12 apples and his friend Anna Lee gives 12 more apples, so how many kilos of fruit does he carry home "
             "after 3 days")
