@@ -67,6 +67,23 @@ def test_allow_list(spark, value):
     assert secrets.secret_spans(df).first().found == []
 
 
+def test_random_secrets_are_reported(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for alphabet, size in ((letters + "+/", 20), (letters + "+/", 32), (letters, 20)):
+        made = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(1500)]
+        made = [v for v in made if re.search("[0-9]", v) and re.search("[A-Za-z]", v)]
+        df = spark.createDataFrame([(i, f"see {v} here") for i, v in enumerate(made)], "doc_id long, text string")
+        missed = sum(not r.found for r in secrets.secret_spans(df).collect())
+        assert missed <= 0.03 * len(made)
+    inside = "aB3dE5gH7jK9-sample-mN1pQ3sT5vW7", "Zx9Kd83hQ112345678Lw0Rt5Yv2"
+    df = spark.createDataFrame([(i, f"see {v} here") for i, v in enumerate(inside)], "doc_id long, text string")
+    assert all(r.found for r in secrets.secret_spans(df).collect())
+    clean = "your_example_value_1234", "usr/local/share/Docs/page12", "/2024/01/15/some-long-title-42", "A-Sample-Value-For-2024-Use"
+    df = spark.createDataFrame([(i, f"see {v} here") for i, v in enumerate(clean)], "doc_id long, text string")
+    assert not any(r.found for r in secrets.secret_spans(df).collect())
+
+
 def test_license_places_and_labels(spark):
     notices = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "All rights reserved.",
                "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.",
