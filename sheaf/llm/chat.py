@@ -79,7 +79,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of what is read back; the loss mask covers assistant texts."""
+    """Counts and digests of what is read back; the loss mask covers assistant texts.
+
+    Fails on a conversation whose turns did not come back identical.
+    """
+    formatted = formatted.withColumn("turns", F.when(F.col("identical"), F.col("turns")).otherwise(
+        F.raise_error(F.lit("a conversation's turns did not come back identical"))))
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return formatted.select(

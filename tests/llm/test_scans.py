@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.llm import chat, decontam, licenses, secrets
 
@@ -183,3 +184,10 @@ def test_chat_round_trip(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_chat_turns_that_do_not_come_back_are_an_error(spark):
+    got = chat.format_conversations(spark.createDataFrame([(1, 1, "user", "a")], "conv_id long, turn long, role string, text string"))
+    broken = got.withColumn("identical", F.lit(False))
+    with pytest.raises(Exception, match="did not come back identical"):
+        chat.digest(broken).collect()
