@@ -27,8 +27,8 @@ from .store import arrow_batches, bounded_broadcast, table, written
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Points of a block: neighbours on the curve.
 BLOCK = 256
-#: Bits of a point's Hilbert place, spread over the part's components (at least one each).
-KEY_BITS = 64
+#: Bits of a point's Hilbert place, spread over the part's components: at least one each, and at most all of its bits.
+KEY_BITS, ALL_BITS = 64, 28
 #: Integer components are held inside this bound (components of about 65,000), so that all sums fit 64 bits.
 BOUND = 1 << 26
 
@@ -82,7 +82,7 @@ def _extremes(dim, scale):
 def _cutter(dim, parts, scale, lo, hi, kind):
     """A row for each part of each vector: part, Hilbert place, row, vec_id and label (with the first part only), point."""
     size = dim // parts
-    bits = max(1, KEY_BITS // max(size, 1))
+    bits = min(max(1, KEY_BITS // size), ALL_BITS)
     shift = np.maximum(np.ceil(np.log2(np.maximum(hi - lo, 1) + 1)).astype(np.int64) - bits, 0)
 
     def run(batches):

@@ -16,7 +16,12 @@ COLUMNS = {
     "op8_lm_scoring": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op9_chat_formatting": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
     "op10_minhash_neardup": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op11_spelling_variants": {"word", "form", "root", "n", "n_near", "form_n"},
+    "op12_embedding_neardup": {"vec_id", "n_links", "component_id", "kept"},
+    "op13_vector_codes": {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
 }
+SOURCES = {"op2_url_filters": "pages", "op9_chat_formatting": "conversations", "op12_embedding_neardup": "embeddings",
+           "op13_vector_codes": "embeddings"}
 
 
 @pytest.mark.parametrize("name", list(COLUMNS))
@@ -25,6 +30,5 @@ def test_query(spark, sf_small, name):
         assert compare(spark, sf_small, [name], verbose=False)[name].startswith("ok")
     df = entry.queries()[name](spark, sf_small)
     assert COLUMNS[name] <= set(df.columns)
-    source = {"op2_url_filters": "pages", "op9_chat_formatting": "conversations"}.get(name, "documents")
-    if name not in ("op4_decontamination", "op5_best_fit_packing", "op9_chat_formatting"):
-        assert df.count() == spark.read.parquet(f"{sf_small}/{source}.parquet").count()
+    if name not in ("op4_decontamination", "op5_best_fit_packing", "op9_chat_formatting", "op11_spelling_variants"):
+        assert df.count() == spark.read.parquet(f"{sf_small}/{SOURCES.get(name, 'documents')}.parquet").count()
