@@ -29,12 +29,13 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Parts of paths and slugs: lower-case words with at most one capital before them, or capitals, and few digits.
 PART = r"(?:(?:[A-Z]?[a-z]+|[A-Z]{2,})\d{0,4}|[a-z]?\d{1,4})"
 #: What high entropy does not make a secret, if it explains the whole value: UUIDs, integrity digests, alphabets and
-#: sequences, stand-ins among words, single words, slugs and file paths.
+#: sequences, stand-ins among words, single words, slugs and file paths. The group loops are possessive: the matcher then
+#: repeats them in a loop and does not call itself for each part, so a value of any length is safe.
 ALLOWED = (r"^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$|^(?i:sha(?:1|256|384|512))[-=]"
-           r"|^(?i:(?:abcdef(?:gh[i-z]*)?|0?1234567[089]*)[-_+/=]*)+$"
-           r"|^(?i:(?:[a-z]+\d{0,4}|\d{1,8})[-_/+=]+)*(?i:example|sample|placeholder|dummy|changeme|your|x{6,})\d{0,4}"
-           r"(?i:[-_/+=]+(?:[a-z]+\d{0,4}|\d{1,8}))*[-_/+=]*$"
-           rf"|^[A-Z]?[a-z]+\d{{0,4}}$|^/?(?:{PART}[-_/=])+(?:{PART})?$")
+           r"|^(?i:(?:abcdef(?:gh[i-z]*)?|0?1234567[089]*)[-_+/=]*)++$"
+           r"|^(?=(?i:(?:[a-z]+\d{0,4}|\d{1,8})[-_/+=]++)*+(?i:[a-z]+\d{0,4}|\d{1,8})?+$)"
+           r"(?:.*[-_/+=])?(?i:example|sample|placeholder|dummy|changeme|your|x{6,})\d{0,4}(?:[-_/+=].*)?$"
+           rf"|^[A-Z]?[a-z]+\d{{0,4}}$|^/?(?:{PART}[-_/=])++(?:{PART})?$")
 
 KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
 _NONE = "array<struct<start:bigint,ord:int,end:bigint>>"

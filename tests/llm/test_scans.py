@@ -68,6 +68,24 @@ def test_allow_list(spark, value):
     assert secrets.secret_spans(df).first().found == []
 
 
+@pytest.mark.parametrize("part", ["abc/", "ab1/", "abc-", "ab1_", "Ab=", "abcdef", "1234567-", "example-", "x1+", "abcdefgh-"])
+def test_values_of_100_000_parts(spark, part):
+    long = part * 100_000
+    texts = [long, "password=" + long, "A" + long + "Zz9Kd83hQ1pLx7Wm"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.ord, s.end) for s in r.found] for r in secrets.secret_spans(df).collect()}
+    assert [s for s in got[1] if s[1] < 3] == base_spans(texts[1])
+
+
+@pytest.mark.parametrize("value,allowed", [
+    ("my-example-key-1234-abcd", True), ("your_api_key_goes_here_1", True), ("xxxxxxxxxxxxxxxxxxxx1234", True),
+    ("abcdefghij0123456789--", True), ("src/main/java/App2/Util1", True), ("/usr/lib/x86/ab12/Tool3", True),
+    ("example-aB3dE5gH7jK9mN1p", False), ("aB3dE5gH7jK9mN1pQ3sT5vW7", False), ("src/aB3dE5gH7jK9mN1pQ3s", False)])
+def test_allow_list_explains_whole_values(spark, value, allowed):
+    df = spark.createDataFrame([(value,)], "v string")
+    assert df.select(df.v.rlike(secrets.ALLOWED)).first()[0] is allowed
+
+
 def test_random_secrets_are_reported(spark):
     rng = random.Random(6)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
