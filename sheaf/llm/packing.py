@@ -201,8 +201,10 @@ def _pack_shards(spark, pieces, shards, capacity, round_no, schema):
         guests = state.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int"))
         state = state.unionByName(guests).groupBy("shard", "island").applyInPandas(_migrate(capacity, epoch), _STATE)
     best = state.select("shard", "island", "genes", "bins")
-    return dealt.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(
-        _place(round_no), schema + ", shard long, sequence_id long, offset long, filled long")
+    # ids travel as text: pandas would make floats of long ids beside a null
+    placed = dealt.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(
+        _place(round_no), schema.replace("doc_id long", "doc_id string") + ", shard long, sequence_id long, offset long, filled long")
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -216,18 +218,22 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACI
     names = pieces.columns
     done = pieces.where(F.col("length") == capacity).withColumn(
         "sequence_id", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
-    rest, round_no = pieces.where(F.col("length") < capacity), 0
+    rest, round_no, before, fewest = pieces.where(F.col("length") < capacity), 0, None, None
     while True:
         n = rest.count()
         if not n:
             return done
         shards = -(-n // SHARD_PIECES)
         packed = written(spark, _pack_shards(spark, rest, shards, capacity, round_no, schema), "packing-round")
-        tight = packed if shards == 1 or round_no == 3 else packed.where(F.col("filled") >= LOOSE * capacity)
-        done = done.unionByName(tight.select(*names, "sequence_id", "offset"))
-        if shards == 1 or round_no == 3:
-            return done
-        rest, round_no = packed.where(F.col("filled") < LOOSE * capacity).select(*names), round_no + 1
+        if before is not None and packed.where("offset = 0").count() >= fewest:
+            return done.unionByName(before)  # packing them again saved no sequence
+        if shards == 1:
+            return done.unionByName(packed.select(*names, "sequence_id", "offset"))
+        tight = F.col("filled") >= LOOSE * capacity
+        done = done.unionByName(packed.where(tight).select(*names, "sequence_id", "offset"))
+        loose = packed.where(~tight)
+        before, fewest = loose.select(*names, "sequence_id", "offset"), loose.where("offset = 0").count()
+        rest, round_no = loose.select(*names), round_no + 1
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,29 @@ def test_pieces_and_sequences(spark, monkeypatch):
     assert packing.pack(spark, df.limit(0), PATH).count() == 0
 
 
+def test_large_ids_beside_a_null_id(spark):
+    texts = [(None, "one"), (2 ** 60 + 1, "two"), (-2 ** 62 - 1, "three"), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    check(packing.pack(spark, df, PATH, capacity=8).collect(), texts, 8)
+
+
+def test_loose_sequences_are_packed_again_until_nothing_is_saved(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [(k, " ".join(["tree"] * int(n))) for k, n in enumerate(rng.integers(20, 60, 600))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(packing, "SHARD_PIECES", 12)  # 50 shards: many rounds
+    monkeypatch.setattr(packing, "GENERATIONS", 2)
+    rounds, real = [], packing._pack_shards
+    monkeypatch.setattr(packing, "_pack_shards", lambda *a: rounds.append(a[2]) or real(*a))
+    used, bound = check(packing.pack(spark, df, PATH, capacity=100).collect(), texts, 100)
+    assert len(rounds) > 4 and used <= bound * 1.06
+    # pieces that never share a sequence: nothing is saved, so the second round is the last
+    rounds.clear()
+    texts = [(k, " ".join(["tree"] * 60)) for k in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert check(packing.pack(spark, df, PATH, capacity=100).collect(), texts, 100)[0] == 60 and len(rounds) == 2
+
+
 def test_children_keep_every_piece_once():
     rng = np.random.default_rng(2)
     lengths = sorted(rng.integers(1, 99, 200).tolist(), reverse=True)
