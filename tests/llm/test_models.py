@@ -142,6 +142,12 @@ def test_lm_base_scores_and_held_out_gain(spark, docs):
     assert len(nothing) == 5 and all(r.train_tokens == 0 and np.isfinite(r.score) for r in nothing)
 
 
+def test_lm_keeps_large_ids_beside_a_null_id(spark):
+    df = spark.createDataFrame([(2 ** 60 + 1, "a b a"), (None, "a b"), (-7, None)], "doc_id long, text string")
+    got = lm.score_texts(spark, df, F.lit(False)).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted([(2 ** 60 + 1, 4), (None, 3), (-7, 1)], key=str)
+
+
 def test_lm_scores_follow_every_word_ngram(spark):
     rng = np.random.default_rng(7)
     vocab = [f"w{k}" for k in range(3000)]
