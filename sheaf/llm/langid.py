@@ -29,7 +29,8 @@ LEXICON_SHARE = 1 / 5000
 BUCKETS = 1 << 16
 WINDOW = 32
 EPOCHS = 3
-BATCH_BYTES = 16_000_000
+#: Text bytes of one step of the recursion: a step's arrays take about 25 bytes a text byte.
+BATCH_BYTES = 2_000_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
