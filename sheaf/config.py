@@ -50,8 +50,8 @@ class Thresholds:
     advance_tax_pbt: int = 40_000
     advance_tax_min: int = 10_000
     # Engine choice, not a reference value: how per-group quantiles are found.
-    # 'radix' = exact selection with bounded memory; 'sketch' = approximate.
-    quantile_method: str = "radix"
+    # 'exact' = sketch brackets, verified; 'radix' = exact digit by digit; 'sketch' = approximate.
+    quantile_method: str = "exact"
     approx_accuracy: int = 100_000
 
 
