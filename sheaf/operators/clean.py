@@ -10,6 +10,7 @@ from ..functions.scalars import parse_date
 from ..schema import MONEY
 from ..session import written
 from .common import join_small, resolve_by
+from .dedupe import drop_duplicates
 from .quantiles import group_quantiles_paise
 
 
@@ -19,11 +20,6 @@ def group_median_amount(df: DataFrame, by: list[str], t: Thresholds = DEFAULT) -
     return g.select(*by, (F.col("_med_paise").cast("decimal(20,1)") / 100).cast(MONEY).alias("_median"))
 
 
-def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Exact full-row dedupe (null equals null), one shuffle on all columns."""
-    return df.dropDuplicates()
-
-
 def impute_amount_median(df: DataFrame, by: list[str] | None = None, t: Thresholds = DEFAULT) -> DataFrame:
     """Fill a null Amount with the median of its key (computed on the rows given)."""
     if "Amount" not in df.columns:
@@ -59,7 +55,7 @@ def parse_dates(df: DataFrame) -> DataFrame:
 def clean_ledger(df: DataFrame, by: list[str] | None = None, t: Thresholds = DEFAULT) -> DataFrame:
     """The cleaning chain in the reference order; the median sees negative amounts."""
     by = resolve_by(df, by)
-    # written once: the median and the rows both read it, the full-row shuffle is not repeated
+    # written once: the median and the rows both read it, the comparison is not repeated
     out = written(df.sparkSession, drop_duplicates(df), "deduplicated")
     out = impute_amount_median(out, by, t)
     out = drop_negative_amounts(out)

@@ -1,7 +1,7 @@
 """Data-quality profile: nulls, duplicates, negatives, zeros, unknown classes, outliers, score.
 
 Row-level checks share one aggregation per key; the full-row duplicate count
-is the only extra shuffle (on all columns, partial-aggregated map-side).
+adds one shuffle of row digests (see ``dedupe``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from ..config import DEFAULT, Thresholds
 from ..functions.scalars import valid_category
 from .anomaly import iqr_thresholds
 from .common import drop_null_keys, join_small, resolve_by
+from .dedupe import duplicate_counts
 
 
 def _q(c: str) -> str:
@@ -34,15 +35,6 @@ def null_profile(df: DataFrame, by: list[str] | None = None) -> DataFrame:
                            "AS completeness_pct")
 
 
-def duplicate_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rows beyond the first of each identical-row group, per key."""
-    by = resolve_by(df, by)
-    src = drop_null_keys(df, by)
-    groups = src.groupBy(*df.columns).count()
-    agg = F.expr("CAST(sum(count - 1) AS BIGINT) AS duplicates")
-    return groups.groupBy(*by).agg(agg) if by else groups.agg(agg)
-
-
 def _row_checks(df: DataFrame, by: list[str], cat_col: str = "Category") -> DataFrame:
     """One pass: rows, nulls (all cells), negatives, zeros, unknown classes, non-null amounts, dates."""
     cols = list(df.columns)
