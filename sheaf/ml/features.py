@@ -44,15 +44,15 @@ def description_terms(desc: Column) -> Column:
 def term_document_frequency(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Vocabulary table: term, corpus count, document frequency, smoothed idf, rank (top-N by count).
 
-    All terms explode as (term, 1, 0) and each document's distinct ones as
-    (term, 0, 1), linear in the text; one aggregate per term (map-side
-    combined) sums both. The top N is a distributed limit.
+    One scan: a document's terms are sorted, and each explodes once with a flag on the first of equal neighbours, which
+    stands for the document. One aggregate per term (map-side combined) sums both. The top N is a distributed limit.
     """
     from pyspark.sql import Window
-    docs = df.select(description_terms(F.col("Description")).alias("terms"))
-    each = docs.select(F.explode("terms").alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")).unionByName(
-        docs.select(F.explode(F.array_distinct("terms")).alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-    counts = each.groupBy("term").agg(F.sum("tf").cast("long").alias("tf"), F.sum("df").cast("long").alias("df"))
+    docs = df.select(F.array_sort(description_terms(F.col("Description"))).alias("term"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("term", 1, F.greatest(F.size("term") - 1, F.lit(0))))
+    each = docs.filter(F.size("term") > 0).select("term", before.alias("before")).select(F.inline(F.arrays_zip("term", "before")))
+    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("tf"),
+                                      F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("df"))
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
     j = attach_row(counts.filter(F.col("df") >= t.tfidf_min_df), n)  # n: one global count
     order = [F.col("tf").desc(), F.col("term").asc()]
@@ -110,15 +110,19 @@ def fit_feature_spec(df: DataFrame, t: Thresholds = DEFAULT) -> FeatureSpec:
                        float(std))
 
 
+def text_pipeline(spec: FeatureSpec) -> PipelineModel:
+    """``_terms`` to the sparse, L2-normalised vector ``tfidf``."""
+    cv = CountVectorizerModel.from_vocabulary(spec.vocabulary or ["__none__"], inputCol="_terms", outputCol="_tf")
+    idf = ElementwiseProduct(scalingVec=Vectors.dense(spec.idf or [1.0]), inputCol="_tf", outputCol="_tfidf_raw")
+    return PipelineModel(stages=[cv, idf, Normalizer(p=2.0, inputCol="_tfidf_raw", outputCol="tfidf")])
+
+
 def feature_pipeline(spec: FeatureSpec) -> PipelineModel:
     """A fitted PipelineModel producing ``features`` (tfidf || amount_scaled || mode || month || weekend)."""
     prep = SQLTransformer(statement=(
         "SELECT *, coalesce(Payment_Mode, '" + PAYMENT_MODE_DEFAULT + "') AS _mode, "
         f"(log1p(greatest(CAST(coalesce(Amount, 0) AS DOUBLE), 0D)) - {spec.mean!r}D) / {spec.std!r}D AS amount_scaled "
         "FROM __THIS__"))
-    cv = CountVectorizerModel.from_vocabulary(spec.vocabulary or ["__none__"], inputCol="_terms", outputCol="_tf")
-    idf = ElementwiseProduct(scalingVec=Vectors.dense(spec.idf or [1.0]), inputCol="_tf", outputCol="_tfidf_raw")
-    norm = Normalizer(p=2.0, inputCol="_tfidf_raw", outputCol="tfidf")
     pm = StringIndexerModel.from_labels(spec.modes or [PAYMENT_MODE_DEFAULT], inputCol="_mode",
                                         outputCol="_mode_idx", handleInvalid="keep")
     n_modes = len(spec.modes or [PAYMENT_MODE_DEFAULT])
@@ -126,7 +130,7 @@ def feature_pipeline(spec: FeatureSpec) -> PipelineModel:
         f"SELECT *, CASE WHEN _mode_idx >= {n_modes} THEN 0D ELSE _mode_idx END AS mode_index FROM __THIS__"))
     asm = VectorAssembler(inputCols=["tfidf", "amount_scaled", "mode_index", "month", "is_weekend"],
                           outputCol="features")
-    return PipelineModel(stages=[prep, cv, idf, norm, pm, clamp, asm])
+    return PipelineModel(stages=[prep, *text_pipeline(spec).stages, pm, clamp, asm])
 
 
 def with_inputs(df: DataFrame) -> DataFrame:
@@ -136,6 +140,33 @@ def with_inputs(df: DataFrame) -> DataFrame:
                            "month": month_or_one(d).cast("double"), "is_weekend": is_weekend(d).cast("double")})
 
 
+def term_weights(df: DataFrame, vector: str = "tfidf") -> DataFrame:
+    """``df`` with ``term_weights`` in place of a TF-IDF vector: its entries (rank, weight), rank 1 being the most frequent term.
+
+    The entries are read off the sparse vector as it is (no dense array, no Python).
+    """
+    v = F.unwrap_udt(vector)
+    rank = F.when(v["indices"].isNotNull(), v["indices"]).otherwise(F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    entries = F.zip_with(rank, v["values"], lambda i, w: F.struct((i + 1).alias("rank"), w.alias("weight")))
+    rest = [c for c in df.columns if c != vector]
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.filter(entries, lambda e: e["weight"] != 0).alias("term_weights"))
+
+
+def tfidf_weights(df: DataFrame, keys: list[str], corpus: DataFrame | None = None, t: Thresholds = DEFAULT) -> DataFrame:
+    """Per row of ``df`` and term of the vocabulary in its description: the keys, term and L2-normalised TF-IDF weight.
+
+    The vocabulary is fitted on ``corpus`` (``df`` itself without one). A row without any such term has no row here.
+    """
+    vocabulary = term_document_frequency(df if corpus is None else corpus, t).orderBy("rank").select("rank", "term", "idf").collect()  # <= max_features rows
+    spec = FeatureSpec([r["term"] for r in vocabulary], [float(r["idf"]) for r in vocabulary], [], 0.0, 1.0)
+    rows = text_pipeline(spec).transform(df.select(*keys, description_terms(F.col("Description")).alias("_terms")))
+    each = term_weights(rows.select(*keys, "tfidf")).select(*keys, F.inline("term_weights"))
+    if not vocabulary:
+        return each.select(*keys, F.lit("").alias("term"), "weight").limit(0)
+    names = df.sparkSession.createDataFrame([(r["rank"], r["term"]) for r in vocabulary], "rank int, term string")
+    return each.join(F.broadcast(names), "rank").select(*keys, "term", "weight")
+
+
 def transform(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
     out = pipeline.transform(with_inputs(df))
     return out.drop("_terms", "_tf", "_tfidf_raw", "_mode", "_mode_idx")

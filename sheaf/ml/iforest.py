@@ -1,30 +1,34 @@
 """Isolation forest (Liu, Ting & Zhou 2008) on the feature matrix, distributed.
 
-Fit: a bounded pool of rows is chosen by content hash; each pool row joins
-tree ``t`` when a second hash falls under a rate, and every tree keeps its
-``psi`` (256) lowest-hash rows - so a tree never sees more than psi rows and
-the pool size does not grow with the data. Trees are grown per group with
-``applyInPandas`` (numpy), and only the node arrays (<= trees x (2 psi - 1)
-rows) come to the driver. Scoring broadcasts those arrays and runs a
-vectorised traversal per Arrow batch with ``mapInArrow`` (the fixed-length
-feature arrays are read as one flat buffer per batch). The cut-off is the
+Fit: rows are counted by a digest of their content. How many copies of a row enter the pool is one draw from the binomial
+distribution of its count, by a hash of the digest: a row repeated a billion times weighs what it should, yet only drawn
+copies ever exist as rows. Each pool row joins tree ``t`` when a second hash falls under a rate, and every tree keeps its
+``psi`` (256) lowest-hash rows - so a tree never sees more than psi rows and the pool size does not grow with the data.
+Trees are grown per group with ``applyInPandas`` (numpy), and only the nodes (<= trees x (2 psi - 1) rows) come to the
+driver. A forest is a table of nodes (``node_table``) that can be saved, loaded and walked by SQL.
+
+Scoring broadcasts the nodes and runs a vectorised traversal per Arrow batch with ``mapInArrow``. A row travels as the
+indexes and values of its sparse vector, and only the features that some tree splits on are laid out. The cut-off is the
 ``contamination`` quantile of the training scores (``percentile_approx``).
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..operators.common import attach_row
 
+#: A forest as a table: split nodes have a feature, leaves have -1 and their path length (depth + c(size)).
+TABLE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size int, depth int")
 EULER = 0.5772156649015329
 
@@ -78,36 +82,132 @@ class IsolationForestModel:
     offset: float = 0.0
 
 
+def binomial_draw(n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
+    """Smallest k with P(X <= k) >= u for X binomial of n and p: the inverse distribution function.
+
+    Means up to 50 are summed up term by term; beyond, the normal law with its skewness correction is used.
+    """
+    n, u = np.asarray(n, dtype=np.int64), np.asarray(u, dtype=float)
+    if p >= 1:
+        return n.copy()
+    k = np.zeros(len(n), dtype=np.int64)
+    if p <= 0:
+        return k
+    mean = n * p
+    for i in np.flatnonzero(mean > 50):
+        z, sd = NormalDist().inv_cdf(min(max(u[i], 1e-15), 1 - 1e-15)), math.sqrt(mean[i] * (1 - p))
+        k[i] = min(max(math.ceil(mean[i] + z * sd + (1 - 2 * p) * (z * z - 1) / 6 - 0.5), 0), n[i])
+    on = np.flatnonzero(mean <= 50)
+    term = np.exp(n[on] * np.log1p(-p))
+    upto = term.copy()
+    while True:
+        more = (upto < u[on]) & (k[on] < n[on])
+        on, term, upto = on[more], term[more], upto[more]
+        if not len(on):
+            return k
+        term = term * (n[on] - k[on]) / (k[on] + 1) * (p / (1 - p))
+        k[on] += 1
+        upto = upto + term
+
+
+def _draw(p: float):
+    def draw(n: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series(binomial_draw(n.to_numpy(), p, u.to_numpy()))
+    return draw
+
+
+def draw_pool(df: DataFrame, key_cols: list[str], rate: float, seed: int, features_col: str = "features",
+              weight_col: str | None = None) -> DataFrame:
+    """Rows drawn at ``rate``, a row each drawn copy: _d1, _d2 (digest of the keys), _copy (from 1) and the features.
+
+    A row stands for ``weight_col`` copies (one without it). The result is a written table.
+    """
+    from ..session import written
+    keys = [F.col(f"`{c}`") for c in key_cols]
+    known = [k.isNull() for k in keys]  # a null leaves a hash unchanged
+    digest = [F.xxhash64(F.lit(1), *keys, *known).alias("_d1"), F.xxhash64(F.lit(2), *known, *reversed(keys)).alias("_d2")]
+    weight = F.col(f"`{weight_col}`").cast("long") if weight_col else F.lit(1).cast("long")
+    counted = df.select(*digest, weight.alias("_w")).groupBy("_d1", "_d2").agg(F.sum("_w").alias("_n"))
+    u = (F.pmod(F.xxhash64("_d1", "_d2", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    counted = counted.filter(F.col("_n") > 0).withColumn("_u", u)
+    if rate < 1:  # no copy is drawn when u is within the chance of none: most rows end here, in generated code
+        counted = counted.filter(F.col("_u") > F.exp(F.col("_n") * math.log1p(-rate)))
+    k = F.pandas_udf(_draw(rate), "long")("_n", "_u")
+    drawn = counted.select("_d1", "_d2", k.alias("_k")).filter("_k > 0")
+    drawn = written(df.sparkSession, drawn, "iforest-drawn")  # about rate x rows: the pool's size, whatever the data's
+    rows = df.select(*digest, F.col(features_col)).join(F.broadcast(drawn), ["_d1", "_d2"])
+    rows = rows.groupBy("_d1", "_d2").agg(F.first("_k").alias("_k"), F.first(features_col).alias(features_col))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))).alias("_copy")
+    return written(df.sparkSession, rows.select("_d1", "_d2", copies, features_col), "iforest-pool")
+
+
 def fit(df: DataFrame, key_cols: list[str], features_col: str = "features", t: Thresholds = DEFAULT,
-        n_trees: int = 100, psi: int = 256, oversample: float = 3.0) -> IsolationForestModel:
-    from ..session import ship_package, written
+        n_trees: int = 100, psi: int = 256, oversample: float = 3.0, weight_col: str | None = None) -> IsolationForestModel:
+    """A forest on the rows of ``df``; rows with equal ``key_cols`` are copies of one row.
+
+    ``weight_col``, if given, says how many copies a row stands for. Draws hash row content and copy number only: a fixed
+    seed gives the same forest for any partition count.
+    """
+    from ..session import ship_package
     ship_package(df.sparkSession)
-    n = df.count()
-    keys = [F.col(f"`{c}`") for c in key_cols]
-    # psi rows per tree, the method's own subsample, in two Bernoulli steps over every row: into the pool, then into
-    # trees. Equal rows are counted first and drawn copy by copy, so a row repeated a billion times weighs what it
-    # should and the pool keeps its expected size. Both draws hash row content and copy number only: a fixed seed
-    # gives the same forest for any partition count.
+    n = df.count() if weight_col is None else int(df.agg(F.sum(f"`{weight_col}`")).first()[0] or 0)
+    # psi rows per tree, the method's own subsample, in two Bernoulli steps over every copy: into the pool, then into trees
     pool_rate = min(1.0, oversample * n_trees * psi / max(n, 1))
     tree_rate = min(1.0, oversample * psi / max(1.0, n * pool_rate))
     scale = 2 ** 31
-    content = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(features_col).alias(features_col))
-    pool = content.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    pool = pool.filter(F.pmod(F.xxhash64(*keys, "_copy", F.lit(t.seed)), F.lit(scale)) < int(pool_rate * scale))
-    pool = written(df.sparkSession, pool.select(*keys, "_copy", features_col)
-                   .withColumn("_rid", F.xxhash64(*keys, "_copy")), "iforest-pool")
+    pool = draw_pool(df, key_cols, pool_rate, t.seed, features_col, weight_col)
+    pool = pool.withColumn("_rid", F.xxhash64("_d1", "_d2", "_copy"))
     # tree membership is decided on ids only; vectors join back after the cut to psi rows
-    member = pool.select("_rid", *keys, "_copy").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    member = member.withColumn("_h", F.xxhash64(*keys, "_copy", F.col("tree"), F.lit(t.seed + 1)))
+    member = pool.select("_rid", "_d1", "_d2", "_copy").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    member = member.withColumn("_h", F.xxhash64("_d1", "_d2", "_copy", F.col("tree"), F.lit(t.seed + 1)))
     member = member.filter(F.pmod(F.col("_h"), F.lit(scale)) < int(tree_rate * scale))
     member = member.withColumn("_rn", F.row_number().over(Window.partitionBy("tree").orderBy("_h", "_rid")))
     member = member.filter(F.col("_rn") <= psi).select("tree", "_rid")
     sample = member.join(pool.select("_rid", features_col), "_rid").select(
         "tree", vector_to_array(features_col, "float32").alias("x"))  # float32 like the usual forest
     nodes = sample.groupBy("tree").applyInPandas(_grow(t.seed, psi), NODE_SCHEMA).toPandas()
+    nodes["path"] = nodes["depth"] + average_path_length(nodes["size"].to_numpy())
     return _pack(nodes, min(psi, max(n, 1)))
 
 
+def node_table(spark: SparkSession, model: IsolationForestModel) -> DataFrame:
+    """The forest's nodes (``TABLE_SCHEMA``); a node that no split leads to has no row."""
+    rows = []
+    for tree in range(model.feature.shape[0]):
+        todo = [0]
+        while todo:
+            k = todo.pop()
+            split = int(model.feature[tree, k]) >= 0
+            left, right = (int(model.left[tree, k]), int(model.right[tree, k])) if split else (-1, -1)
+            rows.append((tree, k, int(model.feature[tree, k]), float(model.threshold[tree, k]), left, right,
+                         0.0 if split else float(model.leaf_path[tree, k])))
+            todo += [left, right] if split else []
+    return spark.createDataFrame(rows, TABLE_SCHEMA)
+
+
+def from_node_table(nodes: DataFrame, psi: int, offset: float = 0.0) -> IsolationForestModel:
+    """A forest from its node table (bounded: trees x (2 psi - 1) rows reach the driver)."""
+    model = _pack(nodes.select("tree", "node", "feature", "threshold", "left", "right", "path").toPandas(), psi)
+    model.offset = float(offset)
+    return model
+
+
+def save_forest(spark: SparkSession, model: IsolationForestModel, path: str) -> None:
+    """Write the node table and one row of psi and cut-off below ``path``, replacing a forest saved there."""
+    node_table(spark, model).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/nodes")
+    meta = spark.createDataFrame([(int(model.psi), float(model.offset))], "psi int, offset double")
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/meta")
+
+
+def load_forest(spark: SparkSession, path: str) -> IsolationForestModel | None:
+    """The forest saved at ``path``; None when there is none. A damaged one raises."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/meta/_SUCCESS")
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        return None
+    meta = spark.read.parquet(f"{path.rstrip('/')}/meta").first()
+    return from_node_table(spark.read.parquet(f"{path.rstrip('/')}/nodes"), meta["psi"], meta["offset"])
+
+
 def _pack(nodes: pd.DataFrame, psi: int) -> IsolationForestModel:
     trees = sorted(nodes["tree"].unique())
     width = int(nodes["node"].max()) + 1 if len(nodes) else 1
@@ -124,7 +224,7 @@ def _pack(nodes: pd.DataFrame, psi: int) -> IsolationForestModel:
     thr[ti, ni] = nodes["threshold"].to_numpy()
     left[ti, ni] = np.maximum(nodes["left"].to_numpy(), 0)
     right[ti, ni] = np.maximum(nodes["right"].to_numpy(), 0)
-    leaf[ti, ni] = nodes["depth"].to_numpy() + average_path_length(nodes["size"].to_numpy())
+    leaf[ti, ni] = nodes["path"].to_numpy()
     return IsolationForestModel(feat, thr, left, right, leaf, psi)
 
 
@@ -146,6 +246,24 @@ def _path_lengths(m: IsolationForestModel, x: np.ndarray) -> np.ndarray:
     return total / max(m.feature.shape[0], 1)
 
 
+def _used_values(used: np.ndarray, indices, values) -> np.ndarray:
+    """Rows x used features, from Arrow lists of a vector column's indexes (null for a dense vector) and values."""
+    n = len(values)
+    x = np.zeros((n, len(used)))
+    place = np.full(int(used[-1]) + 1 if len(used) else 0, -1)
+    place[used] = np.arange(len(used))
+    sparse = indices.is_valid().to_numpy(zero_copy_only=False)
+    size = values.value_lengths().to_numpy(zero_copy_only=False)
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float32).astype(np.float64)  # as the trees were grown
+    row = np.repeat(np.arange(n), size)
+    at = np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    at[sparse[row]] = indices.flatten().to_numpy(zero_copy_only=False)
+    known = at < len(place)
+    row, at, flat = row[known], place[at[known]], flat[known]
+    x[row[at >= 0], at[at >= 0]] = flat[at >= 0]
+    return x
+
+
 def score(model: IsolationForestModel, df: DataFrame, keep: list[str], features_col: str = "features",
           t: Thresholds = DEFAULT) -> DataFrame:
     """Adds ``score_samples`` = -2^(-E[h(x)]/c(psi)) (higher is more normal); ``with_decision``
@@ -154,27 +272,28 @@ def score(model: IsolationForestModel, df: DataFrame, keep: list[str], features_
     spark = df.sparkSession
     ship_package(spark)
     cpsi = float(average_path_length([model.psi])[0]) or 1.0
-    # the dense float32 array travels once per row; numpy indexes the split dimensions
+    used = np.unique(model.feature[model.feature >= 0])
+    place = np.zeros(int(used[-1]) + 1 if len(used) else 1, dtype=model.feature.dtype)
+    place[used] = np.arange(len(used))
+    small = replace(model, feature=np.where(model.feature >= 0, place[np.maximum(model.feature, 0)], -1))
     try:
-        bc = spark.sparkContext.broadcast(model)  # node arrays: bounded by trees x (2 psi - 1)
+        bc = spark.sparkContext.broadcast((small, used))  # node arrays: bounded by trees x (2 psi - 1)
         get_model = lambda: bc.value
     except Exception:  # noqa: BLE001 - remote session: the small arrays travel inside the function
-        get_model = lambda: model
-    base = df.select(*[F.col(f"`{c}`") for c in keep], vector_to_array(features_col, "float32").alias("_x"))
-    out_schema = base.drop("_x").schema.add("score_samples", "double")
+        get_model = lambda: (small, used)
+    vector = F.unwrap_udt(features_col)
+    base = df.select(*[F.col(f"`{c}`") for c in keep], vector["indices"].alias("_i"), vector["values"].alias("_x"))
+    out_schema = base.drop("_i", "_x").schema.add("score_samples", "double")
     names = [f.name for f in out_schema.fields]
 
     def run(batches):
         import pyarrow as pa
-        m = get_model()
+        m, features = get_model()
         for rb in batches:
             n = rb.num_rows
-            xs = rb.column(rb.schema.get_field_index("_x"))
-            flat = xs.flatten().to_numpy(zero_copy_only=False)  # fixed-length rows: one flat buffer
-            x = flat.reshape(n, -1).astype(np.float64) if n else np.zeros((0, 1))
-            s = -np.power(2.0, -_path_lengths(m, x) / cpsi) if n else np.zeros(0)
-            cols = [rb.column(rb.schema.get_field_index(c)) for c in names[:-1]] + [pa.array(s, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            x = _used_values(features, rb.column(len(names) - 1), rb.column(len(names))) if n else np.zeros((0, len(features)))
+            s = -np.power(2.0, -_path_lengths(m, x) / cpsi)
+            yield pa.RecordBatch.from_arrays([*rb.columns[:len(names) - 1], pa.array(s, pa.float64())], names=names)
 
     return base.mapInArrow(run, out_schema)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import LABELS
 from ..functions.scalars import category_index
-from ..ml import classify
+from ..ml import anomalies, classify, iforest
 from ..operators import anomaly, insights, rollups
 from ..sources import io
 from ..sources.fixture import ledger, ledger_dirty
@@ -76,6 +76,51 @@ def insight_messages(spark, sf_dir):
     return found.select("Company_ID", "seq", "code", "level", "message")
 
 
+#: A small forest stated node by node: tree, node, feature (0 amount, 1 month, 2 GST %), threshold, left, right, size, depth.
+GIVEN_NODES = [(0, 0, 0, 50000.0, 1, 2, 16, 0), (0, 1, 1, 6.5, 3, 4, 11, 1), (0, 2, -1, 0.0, -1, -1, 5, 1),
+               (0, 3, -1, 0.0, -1, -1, 9, 2), (0, 4, -1, 0.0, -1, -1, 2, 2),
+               (1, 0, 2, 8.5, 1, 2, 16, 0), (1, 1, -1, 0.0, -1, -1, 7, 1), (1, 2, 0, 1250000.25, 3, 4, 9, 1),
+               (1, 3, 0, 999.5, 5, 6, 8, 2), (1, 4, -1, 0.0, -1, -1, 1, 2), (1, 5, -1, 0.0, -1, -1, 3, 3), (1, 6, -1, 0.0, -1, -1, 5, 3),
+               (2, 0, 1, 1.5, 1, 2, 16, 0), (2, 1, -1, 0.0, -1, -1, 1, 1), (2, 2, 1, 11.5, 3, 4, 15, 1),
+               (2, 3, -1, 0.0, -1, -1, 14, 2), (2, 4, -1, 0.0, -1, -1, 1, 2)]
+GIVEN_PSI = 16
+
+
+def given_forest(spark: SparkSession) -> iforest.IsolationForestModel:
+    """The forest of ``GIVEN_NODES``, through its node table."""
+    rows = [(*n[:6], 0.0 if n[2] >= 0 else float(n[7] + iforest.average_path_length([n[6]])[0])) for n in GIVEN_NODES]
+    return iforest.from_node_table(spark.createDataFrame(rows, iforest.TABLE_SCHEMA), GIVEN_PSI)
+
+
+def forest_score_of_given(spark, sf_dir):
+    """Scores of a stated forest over (amount, month, GST %) of every ledger row, after saving and loading it."""
+    from pyspark.ml.feature import VectorAssembler
+    from ..session import scratch_path
+    path = scratch_path(spark, "given_forest")
+    iforest.save_forest(spark, given_forest(spark), path)
+    rows = ledger(spark, sf_dir).select("Company_ID", "Date", "GST_Percentage", F.col("Amount").cast("double").alias("Amount"),
+                                        F.month("Date").cast("double").alias("m"), F.col("GST_Percentage").cast("double").alias("g"))
+    feats = VectorAssembler(inputCols=["Amount", "m", "g"], outputCol="features").transform(rows)
+    out = iforest.score(iforest.load_forest(spark, path), feats, ["Company_ID", "Date", "Amount", "GST_Percentage"])
+    return present(out.withColumn("score_samples", F.round("score_samples", 9)))
+
+
+def given_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows with a flag and a score that follow from the amount."""
+    k = (F.col("Amount") * 100).cast("bigint")
+    return ledger(spark, sf_dir).withColumns({"Is_Anomaly_Predicted": F.when(k % 11 != 0, k % 37 == 0),
+                                              "Anomaly_Score": ((k * 7919) % 1000).cast("double") / 1000.0 - 0.5})
+
+
+def anomaly_summary_of_given(spark, sf_dir):
+    return anomalies.anomaly_summary(given_anomalies(spark, sf_dir))
+
+
+def predicted_anomaly_rows_of_given(spark, sf_dir):
+    rows = anomalies.predicted_anomaly_rows(given_anomalies(spark, sf_dir))
+    return present(rows.select("Company_ID", "rank", "Date", "Description", "Amount", "Anomaly_Score"))
+
+
 def model_properties(spark, sf_dir):
     """What must hold of the trained models whatever their weights: one row a property."""
     from . import ml_queries as q
@@ -97,7 +142,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         evaluation_of_given, confusion_of_given, fallback_of_given, prediction_counts_of_given, low_confidence_of_given,
         clean_ledger_chunks, category_totals_single, statistical_anomalies_single, category_totals_predicted, insight_messages,
-        model_properties)}
+        forest_score_of_given, anomaly_summary_of_given, predicted_anomaly_rows_of_given, model_properties)}
 
 
 _GIVEN = """g0 AS (SELECT *, CASE Category WHEN 'Expense' THEN 0 WHEN 'Income' THEN 1 WHEN 'Asset' THEN 2 ELSE 3 END AS y,
@@ -190,6 +235,37 @@ SELECT n_nonnull >= 10 AS available, q1p / 100.0 AS q1, q3p / 100.0 AS q3, (q3p
  WHEN code = 's17_5_blocked_itc' THEN 'GST credit of ' || {amount} || ' on blocked items cannot be taken.'
  WHEN code = 'leverage' THEN 'Liabilities stand at ' || {one} || ' times the assets.' END AS message
 FROM ({insight_sql()["compliance_insights"]}) i"""
+    nodes = ", ".join(map(str, GIVEN_NODES))
+    q["forest_score_of_given"] = with_ledger(f"""
+SELECT * FROM (WITH RECURSIVE n AS (SELECT *, CASE WHEN size > 2 THEN 2 * (LN(size - 1.0) + 0.5772156649015329) - 2 * (size - 1.0) / size
+                                WHEN size = 2 THEN 1.0 ELSE 0.0 END AS c
+      FROM (VALUES {nodes}) t(tree, node, feature, threshold, "left", "right", size, depth)),
+r AS (SELECT ROW_NUMBER() OVER () AS id, Company_ID, Date, CAST(Amount AS DOUBLE) AS Amount, GST_Percentage,
+             [CAST(CAST(CAST(Amount AS DOUBLE) AS FLOAT) AS DOUBLE), CAST(month(Date) AS DOUBLE), CAST(GST_Percentage AS DOUBLE)] AS x
+      FROM ledger),
+w(id, x, tree, node) AS (SELECT id, x, tree, 0 FROM r CROSS JOIN (SELECT DISTINCT tree FROM n) UNION ALL
+      SELECT w.id, w.x, w.tree, CASE WHEN w.x[n.feature + 1] <= n.threshold THEN n."left" ELSE n."right" END
+      FROM w JOIN n ON w.tree = n.tree AND w.node = n.node WHERE n.feature >= 0),
+h AS (SELECT id, AVG(depth + c) AS h FROM w JOIN n ON w.tree = n.tree AND w.node = n.node WHERE n.feature < 0 GROUP BY id)
+SELECT Company_ID, strftime(Date, '%Y-%m-%d') AS Date, Amount, GST_Percentage,
+       ROUND(-POWER(2.0, -h / (2 * (LN({GIVEN_PSI} - 1.0) + 0.5772156649015329) - 2 * ({GIVEN_PSI} - 1.0) / {GIVEN_PSI})), 9) AS score_samples
+FROM r JOIN h ON r.id = h.id) s""")
+    flags = """g AS (SELECT *, CASE WHEN CAST(Amount * 100 AS BIGINT) % 11 <> 0 THEN CAST(Amount * 100 AS BIGINT) % 37 = 0 END AS flag,
+       CAST((CAST(Amount * 100 AS BIGINT) * 7919) % 1000 AS DOUBLE) / 1000.0 - 0.5 AS score FROM ledger)"""
+    q["anomaly_summary_of_given"] = with_ledger(f"""
+WITH {flags},
+t0 AS (SELECT Company_ID, quantile_cont(CAST(Amount * 100 AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(Amount * 100 AS DOUBLE), 0.75)
+       AS q3 FROM ledger GROUP BY Company_ID HAVING COUNT(Amount) >= 10),
+s AS (SELECT g.Company_ID, COALESCE(CAST(Amount * 100 AS DOUBLE) > q3 + 3.0 * (q3 - q1), FALSE) AS stat, COALESCE(flag, FALSE) AS ml
+      FROM g LEFT JOIN t0 ON g.Company_ID = t0.Company_ID)
+SELECT Company_ID, COUNT_IF(stat) AS statistical_count, COUNT_IF(ml) AS ml_count, COUNT_IF(stat OR ml) AS total_unique,
+       COUNT(*) AS rows FROM s GROUP BY Company_ID""")
+    q["predicted_anomaly_rows_of_given"] = with_ledger(f"""
+WITH {flags},
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY Company_ID ORDER BY score, Amount DESC, Date NULLS LAST, Description NULLS LAST)
+      AS rk FROM g WHERE flag)
+SELECT Company_ID, CAST(rk AS INTEGER) AS rank, strftime(Date, '%Y-%m-%d') AS Date, Description, CAST(Amount AS DOUBLE) AS Amount,
+       score AS Anomaly_Score FROM r WHERE rk <= 100""")
     names = ["accuracy over 0.9", "confidence between 25 and 100", "fallback below 70 % confidence", "every row predicted",
              "forest flags between 4 and 6 %", "scores within one"]
     q["model_properties"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', TRUE)" for n in names) + ") t(property, holds)"

@@ -76,8 +76,16 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nonzero_terms(col: str):
-    from pyspark.ml.functions import vector_to_array
-    return F.size(F.array_remove(vector_to_array(col), 0.0)).alias("nonzero")
+    """Number of non-zero entries, counted in the sparse vector itself."""
+    return F.size(F.array_remove(F.unwrap_udt(col)["values"], 0.0)).alias("nonzero")
+
+
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per company, distinct description and term: the number of ledger rows, and the term's weight to 9 digits."""
+    led = ledger(spark, sf_dir)
+    rows = led.groupBy("Company_ID", "Description").agg(F.count(F.lit(1)).alias("n"))
+    w = fx.tfidf_weights(rows, ["Company_ID", "Description", "n"], corpus=led)
+    return w.withColumn("weight", F.round("weight", 9))
 
 
 def classifier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +222,7 @@ def queries() -> dict:
         "payment_mode_index": payment_mode_index,
         "amount_scaling": amount_scaling,
         "feature_matrix": feature_matrix,
+        "tfidf_weights": tfidf_weights,
         "classifier_evaluation": classifier_evaluation,
         "confusion_matrix": confusion_matrix,
         "predict_categories": predict_categories,

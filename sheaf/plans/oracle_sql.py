@@ -621,6 +621,20 @@ j AS (SELECT tf.term, tf, df, n_docs FROM tf JOIN dq ON tf.term = dq.term CROSS
 r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY tf DESC, term ASC) AS rk FROM j)
 SELECT term, tf, df, n_docs, ROUND(LN(CAST(n_docs + 1 AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + 1.0, 9) AS idf,
        CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 500""")
+    q["tfidf_weights"] = with_ledger("""
+WITH d AS (SELECT Company_ID, Description, COALESCE(TRIM(regexp_replace(lower(COALESCE(Description, 'unknown transaction')),
+             '[^a-z0-9]+', ' ', 'g')), 'unknown') AS c, COUNT(*) AS n FROM ledger GROUP BY ALL),
+t AS (SELECT *, list_filter(string_split(c, ' '), lambda w: length(w) >= 2) AS toks FROM d),
+tm AS (SELECT *, list_concat(toks, CASE WHEN len(toks) >= 2 THEN
+         list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]) ELSE [] END) AS terms FROM t),
+u AS (SELECT Company_ID, Description, n, unnest(terms) AS term FROM tm),
+k AS (SELECT Company_ID, Description, n, term, COUNT(*) AS tf FROM u GROUP BY ALL),
+v AS (SELECT term, SUM(tf * n) AS tf, SUM(n) AS df FROM k GROUP BY term),
+r AS (SELECT term, ROUND(LN(CAST((SELECT SUM(n) FROM d) + 1 AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + 1.0, 9) AS idf,
+             ROW_NUMBER() OVER (ORDER BY tf DESC, term ASC) AS rk FROM v WHERE df >= 2),
+w AS (SELECT Company_ID, Description, n, k.term, tf * idf AS w FROM k JOIN r ON k.term = r.term WHERE rk <= 500)
+SELECT Company_ID, Description, n, term,
+       ROUND(w / SQRT(SUM(w * w) OVER (PARTITION BY Company_ID, Description)), 9) AS weight FROM w""")
     q["feature_matrix"] = with_ledger(f"""
 WITH d AS (SELECT COALESCE(TRIM(regexp_replace(lower(COALESCE(Description, 'unknown transaction')), '[^a-z0-9]+', ' ',
              'g')), 'unknown') AS c FROM ledger),
