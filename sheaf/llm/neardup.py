@@ -4,9 +4,10 @@ A document's set is its distinct word shingles (``width`` words; with fewer word
 embedded as ``SKETCH`` minwise tokens. Each of ``trees`` independent trees puts a set into the node of one minwise
 token; a node of more than ``small`` sets from more than one component branches on two further tokens chosen by the
 node's own hash, again and again. Small nodes are compared exhaustively; larger nodes link every member to the
-node's smallest member before they branch. Large mixed nodes that hardly shrink by branching, or are left after
-``depth`` levels, hold families of texts that are all alike: every pair of such a family that is not linked yet is
-compared exactly, in blocks of its members. Every candidate is confirmed on the full sets.
+node's smallest member before they branch. A large mixed node is a family of texts that are all alike when most of its
+members are linked to the smallest one, when it hardly shrinks by branching, or when it is left after ``depth`` levels.
+A family does not branch: its members outside its largest component are compared exactly with all others, in blocks.
+Every candidate is confirmed on the full sets.
 
 Recall for a pair at similarity s: it meets in a tree's first node with probability s, so eight trees find a pair at
 0.8 in small nodes with probability 1 - 0.2^8 = 0.999997. In branching nodes the pair survives a level with mean
@@ -38,10 +39,12 @@ SMALL = 16
 DEPTH = 6
 #: A large mixed node that keeps more than this share of its parent is compared exactly and not branched again.
 STUCK = 0.75
+#: A large mixed node with at least this share of its members linked to its smallest one is a family.
+FAMILY = 0.5
 #: Members and shingles of a family's chunk: two chunks are compared by one task.
 CHUNK, CHUNK_ITEMS = 500, 500_000
 #: A pair goes to the exact check when at least this share of its minwise tokens agree: 4 standard deviations
-#: (sqrt(0.8 x 0.2 / 64) = 0.05) under 0.8, so a true pair is missed there with probability 3e-5 at exactly 0.8.
+#: (sqrt(0.8 x 0.2 / 64) = 0.05) under 0.8, so a true pair is missed there with probability 1.3e-4 at exactly 0.8.
 SIEVE = 0.6
 
 
@@ -129,17 +132,16 @@ def _confirmed(spark, docs, reps, pairs, width, percent):
 
 
 def _compare(percent: int):
-    """Links between the members of two chunks (or of one): one for each pair of components that an exact link joins."""
+    """Links between a chunk of members outside the main component and a chunk of all: one for each pair of components."""
     def run(key, group):
-        chunk, ids, component = (group.column(c).to_numpy() for c in ("chunk", "rep", "component"))
+        outside, ids, component = (group.column(c).to_numpy() for c in ("outside", "rep", "component"))
         lists = group.column("items").combine_chunks()
         items, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         kinds, code = np.unique(items, return_inverse=True)
         size, component, links = np.diff(at), component.copy(), []
         mark = np.zeros(len(kinds), dtype=bool)
-        lo, hi = key[1].as_py(), key[2].as_py()
-        for a in np.flatnonzero(chunk == lo):
-            other = np.flatnonzero((chunk == hi) & (component != component[a])
+        for a in np.flatnonzero(outside):
+            other = np.flatnonzero(~outside & (component != component[a])
                                    & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])))
             if not len(other):
                 continue
@@ -160,8 +162,9 @@ def _family_links(spark, docs, stuck, labels, width, percent):
     """Exact links between the components of every family: nodes of ``stuck`` (key, rep, leader) that share members."""
     families = components(spark, stuck.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
     members = _labelled(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), labels)
-    stats = members.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    mixed = written(spark, stats.select("family"), "neardup-families")
+    parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    stats = parts.groupBy("family").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("most"))
+    mixed = written(spark, stats.where("parts > 1").select("family", F.col("most.component").alias("main")), "neardup-families")
     members = written(spark, members.join(bounded_broadcast(mixed), "family"), "neardup-family")
     if members.isEmpty():
         return None
@@ -170,17 +173,20 @@ def _family_links(spark, docs, stuck, labels, width, percent):
     full = arrow_batches(texts).mapInArrow(_lister(width), "id long, items array<bigint>").where(F.size("items") > 0)
     # rows that repeat a doc_id: every set of it, once
     full = written(spark, full.dropDuplicates(["id", "items"]).join(members, F.col("id") == F.col("rep")).select(
-        "family", "rep", "component", "items"), "neardup-family-sets")
-    chunks = full.groupBy("family").agg(F.ceil(F.greatest(
-        F.count(F.lit(1)) / CHUNK, F.sum(F.size("items")) / CHUNK_ITEMS)).cast("int").alias("chunks"))
-    chunks = written(spark, chunks, "neardup-chunks")
-    dealt = full.join(bounded_broadcast(chunks), "family").withColumn("chunk", F.pmod(F.xxhash64("items"), F.col("chunks")).cast("int"))
-    dealt = dealt.select("family", "chunk", "rep", "component", "items", F.explode(
-        F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
-    dealt = dealt.select("family", F.least("chunk", "with").alias("x"), F.greatest("chunk", "with").alias("y"),
-                         "chunk", "rep", "component", "items")
+        "family", "rep", "component", (F.col("component") != F.col("main")).alias("outside"), "items"), "neardup-family-sets")
+    chunks = lambda which: F.ceil(F.greatest(
+        F.count(F.when(which, 1)) / CHUNK, F.sum(F.when(which, F.size("items"))) / CHUNK_ITEMS)).cast("int")
+    chunks = full.groupBy("family").agg(chunks(F.col("outside")).alias("some"), chunks(F.lit(True)).alias("all"))
+    dealt = full.join(bounded_broadcast(written(spark, chunks, "neardup-chunks")), "family")
+    spot = lambda n: F.pmod(F.xxhash64("items"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("outside").select("family", spot("some").alias("x"), every("all").alias("y"), F.lit(True).alias("outside"),
+                                         "rep", "component", "items")
+    right = dealt.where("some > 0").select("family", every("some").alias("x"), spot("all").alias("y"), F.lit(False).alias("outside"),
+                                           "rep", "component", "items")
     # dealt out by the pair of chunks: a family's tasks must not stay together
-    links = dealt.repartition("family", "x", "y").groupBy("family", "x", "y").applyInArrow(_compare(percent), "a long, b long")
+    links = left.unionByName(right).repartition("family", "x", "y").groupBy("family", "x", "y").applyInArrow(
+        _compare(percent), "a long, b long")
     return written(spark, links.distinct(), "neardup-links")
 
 
@@ -245,7 +251,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, per
     stuck = mixed.limit(0).select("key", "rep", "leader")
     for level in range(depth + 1):
         large = mixed.where(F.col("n") > small)
-        still = F.lit(True) if level == depth else F.coalesce(F.col("n") > STUCK * F.col("parent"), F.lit(False))
+        linked = large.groupBy("key").agg(F.avg((F.col("component") == F.col("leader_component")).cast("double")).alias("linked"))
+        large = large.join(linked.where(F.col("linked") >= FAMILY), "key", "left")
+        still = F.lit(True) if level == depth else F.col("linked").isNotNull() | F.coalesce(
+            F.col("n") > STUCK * F.col("parent"), F.lit(False))
         stuck = stuck.unionByName(large.where(still).select("key", "rep", "leader"))
         large = large.where(~still).select("key", "rep", "component", F.col("n").alias("parent"))
         if large.isEmpty():
