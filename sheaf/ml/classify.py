@@ -1,5 +1,5 @@
 """Category classifier: Spark ML multinomial model on the feature matrix, with the confidence-gated
-keyword fallback, a hash-keyed stratified split and the evaluation tables.
+keyword fallback, an exact stratified split and the evaluation tables.
 
 Re-aimed: the reference trains a dense neural network; here the same task
 (4 classes from description, amount, mode, month, weekend) uses
@@ -14,12 +14,13 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, LABELS, Thresholds
 from ..functions.scalars import category_index
 from ..functions.text import keyword_category
+from ..session import written
 from . import features as fx
 
 
@@ -29,13 +30,38 @@ class CategoryModel:
     classifier: object  # fitted Spark ML classification model
 
 
-def split_train_test(df: DataFrame, t: Thresholds = DEFAULT, key_cols: list[str] | None = None):
-    """Deterministic ~80/20 split inside every class: a row goes to test when its content hash
-    falls in the first ``test_fraction`` of the hash range (no window over a whole class)."""
+def content_hash(cols: list[str]):
+    """60 bits of the MD5 of the columns as text, a null being ``~`` (any SQL engine can compute it)."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def split_train_test(df: DataFrame, t: Thresholds = DEFAULT, key_cols: list[str] | None = None, class_col: str = "Category"):
+    """(train, test): of every class exactly round(``test_fraction`` x rows) rows are test rows, those of the lowest content hash.
+
+    One scan counts rows by class and hash bucket (65,536 buckets, combined map-side). A running count over the buckets finds
+    each class's cut bucket; lower buckets are test, higher ones train, and only the rows of the cut bucket are ranked, by
+    hash, content and copy. Equal rows are interchangeable, so a seedless split is the same for any partition count.
+    """
     cols = key_cols or [c for c in df.columns if not c.startswith("_")]
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(t.seed)), F.lit(1_000_000))
-    flagged = df.withColumn("_is_test", bucket < int(t.test_fraction * 1_000_000))
-    return flagged.filter(~F.col("_is_test")).drop("_is_test"), flagged.filter(F.col("_is_test")).drop("_is_test")
+    group = F.coalesce(F.col(f"`{class_col}`").cast("string"), F.lit("\u0000")).alias("_class")
+    rows = df.select("*", content_hash(cols).alias("_hash"), group).withColumn("_bucket", F.shiftright("_hash", 44))
+    counts = rows.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(df.sparkSession, counts, "split-counts")
+    totals = counts.groupBy("_class").agg(F.round(F.sum("_n") * t.test_fraction).cast("long").alias("_want"))
+    run = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_upto", F.sum("_n").over(run)).join(totals, "_class")
+    cuts = counts.filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
+    cuts = written(df.sparkSession, cuts.select("_class", F.col("_bucket").alias("_cut"),
+                                                (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_need")), "split-cuts")
+    rows = rows.join(cuts, "_class", "left")  # a class of no test rows has no cut
+    low = F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False))
+    at = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
+    order = Window.partitionBy("_class").orderBy("_hash", *[F.col(f"`{c}`") for c in cols])
+    ranked = rows.filter(at).withColumn("_test", F.row_number().over(order) <= F.col("_need"))
+    train = rows.filter(~low & ~at).select(df.columns).unionByName(ranked.filter(~F.col("_test")).select(df.columns))
+    test = rows.filter(low).select(df.columns).unionByName(ranked.filter("_test").select(df.columns))
+    return train, test
 
 
 def fit(df: DataFrame, t: Thresholds = DEFAULT, kind: str = "logistic") -> CategoryModel:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.rules import Rule, load_rules
 from .common import drop_null_keys, resolve_by, sql_str
+from .predicates import refusal
 
 
 def rule_fields(df: DataFrame, cat_col: str = "Category") -> dict[str, str]:
@@ -31,14 +32,14 @@ def rule_match(rule: Rule, df: DataFrame, cat_col: str = "Category") -> Column:
 def check_rules(df: DataFrame, rules: list[Rule], cat_col: str = "Category") -> tuple[list[Rule], list[tuple[Rule, str]]]:
     """Rules whose predicate this ledger can evaluate, and the others with their error: one bad rule never stops a scan.
 
-    Only the plan is analysed; no row is read.
+    Only the plan is analysed; no row is read. A condition outside the predicate language (see ``predicates``) is an error.
     """
     good, bad = [], []
     for r in rules:
         try:
-            kind = df.select(rule_match(r, df, cat_col).alias("m")).schema["m"].dataType.simpleString()
-            if kind != "boolean":
-                raise ValueError(f"the condition is {kind}, not boolean")
+            condition = _bind(r.condition, rule_fields(df, cat_col))
+            if why := refusal(df, F.expr(condition), condition):
+                raise ValueError(why)
             good.append(r)
         except Exception as error:  # noqa: BLE001 - whatever the analyser says about this rule is reported
             bad.append((r, str(error).split("\n")[0]))

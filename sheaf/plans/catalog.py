@@ -129,5 +129,5 @@ def queries() -> dict[str, Query]:
     from . import ml_queries
     for k, fn in ml_queries.queries().items():
         q[k] = (lambda f: lambda spark, sf_dir: present(f(spark, sf_dir)))(fn)
-    from . import checked
-    return q | checked.queries()
+    from . import checked, source_queries
+    return q | checked.queries() | source_queries.queries()

@@ -701,5 +701,6 @@ def all_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     for part in (statement_sql, quality_sql, text_sql, rules_sql, rollup_sql, trend_sql, insight_sql, ml_io_sql, extra_sql):
         q.update(part())
-    from . import checked
-    return q | checked.oracle_sql()
+    from . import checked, source_queries
+    q |= checked.oracle_sql()
+    return q | source_queries.oracle_sql(q)
