@@ -242,7 +242,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, per
 
     lead = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1")
     stars = nodes.join(lead, "key").where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    links = _confirmed(spark, docs, reps, stars.distinct(), width, percent)
+    stars = written(spark, stars.distinct(), "neardup-stars")
+    links = _confirmed(spark, docs, reps, stars, width, percent)
     labels = written(spark, components(spark, links), "neardup-labels")
 
     # every level's members and pairs are written: no plan spans the levels
@@ -251,9 +252,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, per
     stuck = mixed.limit(0).select("key", "rep", "leader")
     for level in range(depth + 1):
         large = mixed.where(F.col("n") > small)
+        if large.isEmpty():
+            break
         linked = large.groupBy("key").agg(F.avg((F.col("component") == F.col("leader_component")).cast("double")).alias("linked"))
-        large = large.join(linked.where(F.col("linked") >= FAMILY), "key", "left")
-        still = F.lit(True) if level == depth else F.col("linked").isNotNull() | F.coalesce(
+        large = written(spark, large.join(linked, "key"), "neardup-large")  # read three times
+        still = F.lit(True) if level == depth else (F.col("linked") >= FAMILY) | F.coalesce(
             F.col("n") > STUCK * F.col("parent"), F.lit(False))
         stuck = stuck.unionByName(large.where(still).select("key", "rep", "leader"))
         large = large.where(~still).select("key", "rep", "component", F.col("n").alias("parent"))
@@ -266,7 +269,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, per
             F.explode(child).alias("key"), "rep", "component", "parent")
         mixed = written(spark, _mixed(deeper), "neardup-mixed")
         pairs = pairs.unionByName(written(spark, _cross_pairs(mixed, small), "neardup-level"))
-    more = _confirmed(spark, docs, reps, pairs.distinct().join(stars.distinct(), ["a", "b"], "left_anti"), width, percent)
+    more = _confirmed(spark, docs, reps, pairs.distinct().join(stars, ["a", "b"], "left_anti"), width, percent)
     if not more.isEmpty():
         labels = _merged(spark, labels, more)
     if not stuck.isEmpty():
