@@ -3,7 +3,9 @@
 Lines with a word are described by binned shares (symbols, bars, digits, capitals, short words), sizes, ends, repetition
 and place. Viterbi decoding marks each as content or boilerplate; a text stays when enough of its words are in content
 lines and the fixed counts (too few words, too many repeated word windows) do not fail it. Weights are fitted on a
-bounded sample of ``SAMPLE_ROWS`` labelled documents (chosen by hash), whose lines take their document's label.
+bounded sample of ``SAMPLE_ROWS`` labelled documents (chosen by hash), whose lines take their document's label. So that the
+transitions learn changes too, the sample is doubled by spliced texts: lines of one document, then lines of one of the
+other label.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .words import IS_SPACE, mix64, runs, sequence_hash, slices, span_hashes, te
 SAMPLE_ROWS = 2000
 CONTENT_SHARE = 0.5
 STEPS = 150
+#: Lines that a spliced text takes from each of its two documents, at most.
+SPLICE = 12
 
 _U = np.uint64
 CASED = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F))
@@ -123,15 +127,42 @@ def _emissions(weights, feats):
     return weights[feats].sum(axis=1) if len(feats) else np.zeros((0, 2))
 
 
+def spliced(texts: list[str], good: list[int], lines: int = SPLICE, seed: int = 11) -> tuple[list[str], list[list[int]]]:
+    """For each text one that starts with its lines and goes on with those of a text of the other label; labels by line.
+
+    Only lines with a word count. Either part is a run of up to ``lines`` lines from anywhere in its document.
+    """
+    rng = np.random.default_rng(seed)
+    solid = [[x for x in t.split("\n") if x.strip("\t\n\x0b\x0c\r ")] for t in texts]
+    of = {k: [i for i, g in enumerate(good) if g == k and solid[i]] for k in (0, 1)}
+    out, labels = [], []
+    for i, own in enumerate(solid):
+        others = of[1 - good[i]]
+        if not own or not others:
+            continue
+        j = others[int(rng.integers(len(others)))]
+        part = []
+        for x in (own, solid[j]):
+            n = int(rng.integers(1, min(lines, len(x)) + 1))
+            at = int(rng.integers(0, len(x) - n + 1))
+            part.append(x[at:at + n])
+        out.append("\n".join(part[0] + part[1]))
+        labels.append([good[i]] * len(part[0]) + [good[j]] * len(part[1]))
+    return out, labels
+
+
 def fit_lines(texts: list[str], good: list[int]) -> dict:
     """Weights and transitions from texts and their labels (1: content). Without both labels every line is content."""
     model = {"weights": np.zeros((FEATURES * BINS, 2)), "step": np.zeros((2, 2)), "start": np.zeros(2)}
     if len(set(good)) < 2:
         model["start"][1] = model["weights"][:, 1] = 1.0
         return model
-    buf, offs = text_bytes(pa.array(texts, pa.large_string()))
+    mixed, by_line = spliced(texts, good)
+    buf, offs = text_bytes(pa.array([*texts, *mixed], pa.large_string()))
     _, feats, _, at = text_counts(buf[offs[0]:offs[-1]], offs - offs[0])
-    label = np.repeat(np.array(good, dtype=np.int64), np.diff(at))
+    whole = len(texts)
+    label = np.concatenate([np.repeat(np.array(good, dtype=np.int64), np.diff(at[:whole + 1])),
+                            np.array([k for x in by_line for k in x], dtype=np.int64)])
     gold = np.eye(2)[label]
     inner = np.setdiff1d(np.arange(len(label) - 1), at[1:] - 1)
     hard = np.zeros((2, 2))

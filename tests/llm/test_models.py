@@ -112,14 +112,41 @@ def test_quality_counts_and_verdicts(spark, docs):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeat)
         assert r.base_failed == (n < 10 or 100 * repeat > 20 * n)
         assert not (r.kept and r.base_failed)
-    judged = [(r.quality, got[r.doc_id]) for r in labels.collect()]
-    clean = [g.kept for q, g in judged if q == 1 and not g.base_failed]
-    junk = [g.kept for q, g in judged if q == 0]
-    assert np.mean(clean) > 0.97 and np.mean(junk) < 0.1
     assert quality.quality_rules(docs.limit(0), model).count() == 0
     assert quality.quality_rules(docs, quality.fit_lines([], [])).where("not base_failed and not kept").count() == 0
 
 
+def test_quality_of_held_out_and_spliced_texts(spark):
+    """Fitted without every third labelled document; judged on those, and on texts spliced from two of them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    rows = quality.labelled_sample(docs, labels.where(~out))
+    model = quality.fit_lines([r["text"] for r in rows], [int(r["quality"]) for r in rows])
+    held = docs.join(labels.where(out), "doc_id").where("text is not null").select("doc_id", "text", "quality").orderBy("doc_id").collect()
+    text = {r.doc_id: r.text for r in held}
+    judged = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame([(r.doc_id, r.text) for r in held],
+                                                                             "doc_id long, text string"), model).collect()}
+    clean = [judged[r.doc_id].kept for r in held if r.quality == 1 and not judged[r.doc_id].base_failed]
+    junk = [judged[r.doc_id].kept for r in held if r.quality == 0]
+    assert len(clean) > 30 and len(junk) > 10 and np.mean(clean) > 0.97 and np.mean(junk) < 0.1
+    good, bad = ([r.doc_id for r in held if r.quality == q] for q in (1, 0))
+    rng, both, want = np.random.default_rng(3), [], {}
+    for k in range(60):  # content then boilerplate, or the other way round
+        a, b = text[good[int(rng.integers(len(good)))]], text[bad[int(rng.integers(len(bad)))]]
+        both.append((k, a + "\n" + b if k % 2 else b + "\n" + a))
+        want[k] = len(a.split()) / len(both[-1][1].split())
+    got = {r.doc_id: r.content_share for r in quality.quality_rules(spark.createDataFrame(both, "doc_id long, text string"), model).collect()}
+    wrong = [abs(got[k] - want[k]) for k in want]
+    assert np.mean(wrong) < 0.03, np.mean(wrong)
+
+
+def test_spliced_texts_have_a_label_for_every_line():
+    texts, good = ["a b\n\nc d\ne", " \n", "x\n\x0b\ny z", "only"], [1, 1, 0, 0]
+    mixed, labels = quality.spliced(texts, good, lines=2)
+    assert len(mixed) == 3 and all(len(t.split("\n")) == len(x) and set(x) == {0, 1} for t, x in zip(mixed, labels))
+    assert quality.spliced(["a"], [1]) == ([], [])
+
+
 def test_lm_base_scores_and_held_out_gain(spark, docs):
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n"), (-3, " \n"), (-4, "The THE the")], "doc_id long, text string")
     every = docs.select("doc_id", "text").unionByName(odd)
