@@ -6,7 +6,9 @@ count is spread over the languages). Transitions between the languages of neighb
 sequences spliced from texts of two languages, so a text that switches languages is labelled word by word. Posterior
 label shares come from forward-backward; a text's language is the one with the largest share of its words.
 
-The lexicon counts every word of every labelled text. Weights are fitted on a bounded sample: about ``SAMPLE_ROWS``
+The lexicon counts every word of every labelled text, in ``2^LEXICON_BITS`` hash buckets: words may share a bucket, but none
+is left out, and the table has one size for every corpus. A bucket of few words says little, so its spread is drawn towards
+none by ``LEXICON_PRIOR`` words. Weights are fitted on a bounded sample: about ``SAMPLE_ROWS``
 labelled rows of each language, chosen by a hash of the row.
 """
 
@@ -19,13 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .crf import posteriors
-from .store import arrow_batches, table, written
+from .store import arrow_batches, table
 from .words import mix64, runs, slices, span_hashes, text_bytes
 
 #: Bound of the fitting sample, in labelled rows for each language.
 SAMPLE_ROWS = 200
-#: A lexicon word has at least this share of its language's words: at most 1 / LEXICON_SHARE words a language.
-LEXICON_SHARE = 1 / 5000
+LEXICON_BITS, LEXICON_PRIOR = 18, 20
 BUCKETS = 1 << 16
 WINDOW = 32
 EPOCHS = 3
@@ -83,12 +84,12 @@ def _range_sums(values, first, end):
     return out
 
 
+def _buckets(hashes):
+    return (hashes >> np.uint64(64 - LEXICON_BITS)).astype(np.int64)
+
+
 def _lexicon_rows(model, hashes):
-    keys, shares = model["lexicon"], model["shares"]
-    if not len(keys):
-        return np.zeros((len(hashes), len(model["labels"])), np.float32)
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return np.where((keys[at] == hashes)[:, None], shares[at], np.float32(0))
+    return model["shares"][_buckets(hashes)]
 
 
 def _emissions(model, buf, starts, ends):
@@ -187,32 +188,23 @@ def _counter(labels):
                 hashes = np.concatenate([np.zeros(0, np.uint64)] + [
                     span_hashes(buf[lo:hi], starts[a:b] - lo, ends[a:b] - lo) for a, b, lo, hi in _word_slices(starts, ends)])
                 of = np.repeat(lang[i:j], np.diff(np.searchsorted(starts, at)))
-                for k in np.unique(of):
-                    h, n = np.unique(hashes[of == k], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k), pa.int32()),
-                                                      pa.array(h.view(np.int64)), pa.array(n, pa.int64())],
-                                                     names=["label", "word", "n"])
+                size = 1 << LEXICON_BITS
+                at, n = np.unique(of * size + _buckets(hashes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)),
+                                                  pa.array(n, pa.int64())], names=["label", "bucket", "n"])
     return run
 
 
 def _lexicon(train: DataFrame, labels: list[str]):
-    """Words of at least LEXICON_SHARE of a language's words, with their spread over the languages (corpus counts)."""
-    counts = arrow_batches(train).select("lang", "text").mapInArrow(_counter(labels), "label int, word long, n long")
-    by = counts.groupBy("word").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"c{k}")
-                                      for k in range(len(labels))])
-    cols = [f"c{k}" for k in range(len(labels))]
-    by = written(train.sparkSession, by, "langid-words")
-    total = by.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cols]).first()
-    often = [F.col(c) >= F.lit(max(total[c], 1) * LEXICON_SHARE) for c in cols]
-    keep = often[0]
-    for o in often[1:]:
-        keep = keep | o
-    rows = by.where(keep).collect()  # at most len(labels) / LEXICON_SHARE rows
-    keys = np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64)
-    rate = np.array([[r[c] / max(total[c], 1) for c in cols] for r in rows], dtype=np.float64).reshape(-1, len(cols))
-    share = rate / rate.sum(axis=1, keepdims=True) if len(rows) else rate
-    order = np.argsort(keys)
-    return keys[order], (share[order] - 1 / len(labels)).astype(np.float32)
+    """(buckets x labels): how the corpus counts of each bucket's words are spread over the languages, less the even spread."""
+    counts = arrow_batches(train).select("lang", "text").mapInArrow(_counter(labels), "label int, bucket int, n long")
+    rows = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most labels x 2^LEXICON_BITS rows
+    total = np.zeros((1 << LEXICON_BITS, len(labels)))
+    total[rows.column("bucket").to_numpy(), rows.column("label").to_numpy()] = rows.column("n").to_numpy()
+    rate = total / np.maximum(total.sum(axis=0), 1)
+    share = rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-300)
+    words = total.sum(axis=1, keepdims=True)
+    return ((share - 1 / len(labels)) * words / (words + LEXICON_PRIOR)).astype(np.float32)
 
 
 def _fit(model, texts: list[str], langs: list[int]):
@@ -292,10 +284,10 @@ def train_model(train: DataFrame) -> dict:
     k = len(labels)
     model = {"labels": labels, "weights": np.zeros((BUCKETS, k), np.float32), "mixing": np.eye(k, dtype=np.float32),
              "start": np.full(k, 1 / max(k, 1), np.float32), "step": np.eye(k, dtype=np.float32),
-             "lexicon": np.zeros(0, np.uint64), "shares": np.zeros((0, k), np.float32)}
+             "shares": np.zeros((1 << LEXICON_BITS, k), np.float32)}
     if not labels:
         return model
-    model["lexicon"], model["shares"] = _lexicon(train, labels)
+    model["shares"] = _lexicon(train, labels)
     every = F.lit(1)
     for x in labels:
         every = F.when(F.col("lang") == x, max(1, sizes[x] // SAMPLE_ROWS)).otherwise(every)
