@@ -25,6 +25,10 @@ from ..functions.text import clean_text
 from ..operators.common import attach_row
 
 
+#: Different payment modes that a feature pipeline may hold as labels.
+MAX_MODES = 100_000
+
+
 def description_terms(desc: Column) -> Column:
     """Unigrams (tokens of 2+ characters of the cleaned text) followed by the bigrams of those tokens.
 
@@ -63,10 +67,18 @@ def term_document_frequency(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame
 
 
 def payment_mode_index(df: DataFrame) -> DataFrame:
-    """Sorted distinct payment modes (null -> the default mode) with their index."""
-    from pyspark.sql import Window
+    """Sorted distinct payment modes (null -> the default mode) with their index: a written dimension table.
+
+    The modes are sorted by range and numbered in two phases (offsets of the ranges, places inside), so a dirty column with
+    any number of different values never meets in one task.
+    """
+    from ..session import written
+    from ..sources.lines import BLOCK, FILE, ID, numbered
     m = df.select(F.coalesce(F.col("Payment_Mode"), F.lit(PAYMENT_MODE_DEFAULT)).alias("payment_mode")).distinct()
-    return m.withColumn("mode_index", (F.row_number().over(Window.orderBy("payment_mode")) - 1).cast("int"))
+    m = m.repartitionByRange("payment_mode").sortWithinPartitions("payment_mode")
+    m = m.select("payment_mode", F.lit("").alias(FILE), F.spark_partition_id().alias(BLOCK), F.monotonically_increasing_id().alias(ID))
+    m = numbered(written(df.sparkSession, m, "payment-modes"), "_n")
+    return m.select("payment_mode", (F.col("_n") - 1).cast("int").alias("mode_index"))
 
 
 def log_amount(amount: Column) -> Column:
@@ -103,7 +115,9 @@ class FeatureSpec:
 def fit_feature_spec(df: DataFrame, t: Thresholds = DEFAULT) -> FeatureSpec:
     """Fit vocabulary/idf, payment-mode labels and amount scaling (small results only reach the driver)."""
     voc = term_document_frequency(df, t).orderBy("rank").select("term", "idf").collect()  # <= max_features rows
-    modes = [r[0] for r in payment_mode_index(df).orderBy("mode_index").select("payment_mode").collect()]
+    modes = [r[0] for r in payment_mode_index(df).orderBy("mode_index").select("payment_mode").limit(MAX_MODES + 1).collect()]
+    if len(modes) > MAX_MODES:  # the fitted pipeline holds the labels
+        raise ValueError(f"Payment_Mode holds more than {MAX_MODES} different values: it is no category")
     s = amount_scaling(df).first()
     std = s["std"] if s["std"] and s["std"] > 0 else 1.0
     return FeatureSpec([r["term"] for r in voc], [float(r["idf"]) for r in voc], modes, float(s["mean"] or 0.0),

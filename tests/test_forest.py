@@ -78,3 +78,14 @@ def test_term_weights_without_terms(spark):
     got = {(r.k, r.term): r.weight for r in fx.tfidf_weights(df, ["k"]).collect()}
     assert set(got) == {(k, w) for k in (1, 2) for w in ("rent", "paid", "rent paid")}
     assert got[(1, "rent")] == pytest.approx(3 ** -0.5)
+
+
+def test_payment_modes_are_numbered_over_many_ranges(spark, monkeypatch):
+    names = [f"mode {k:04d}" for k in range(2_000)]
+    df = spark.createDataFrame([(n,) for n in reversed(names)] + [(None,)] + [("hot",)] * 3_000, "Payment_Mode string").repartition(5)
+    got = {r.payment_mode: r.mode_index for r in fx.payment_mode_index(df).collect()}
+    assert got == {n: i for i, n in enumerate(sorted([*names, "hot", "Bank Transfer"]))}
+    assert fx.payment_mode_index(df.limit(0)).collect() == []
+    monkeypatch.setattr(fx, "MAX_MODES", 10)
+    with pytest.raises(ValueError, match="Payment_Mode"):
+        fx.fit_feature_spec(df.selectExpr("Payment_Mode", "'x y' AS Description", "1 AS Amount"))
