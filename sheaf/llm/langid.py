@@ -32,6 +32,8 @@ WINDOW = 32
 EPOCHS = 3
 #: Text bytes of one step of the recursion: a step's arrays take about 25 bytes a text byte.
 BATCH_BYTES = 2_000_000
+#: Text bytes of the fitting sample whose features are built at a time, on the driver.
+FIT_BYTES = 250_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -210,21 +212,32 @@ def _lexicon(train: DataFrame, labels: list[str]):
 def _fit(model, texts: list[str], langs: list[int]):
     """Adagrad on the conditional log-likelihood of pure and spliced word windows."""
     k = len(model["labels"])
-    buf, at = _spaced(pa.array(texts, pa.large_string()))
-    starts, ends = runs(_LETTER[buf], np.zeros(1, np.int64))
-    bounds = np.searchsorted(starts, at)
-    label = np.repeat(np.array(langs, dtype=np.int64), np.diff(bounds))
-    kinds = _features(buf, starts, ends) if len(starts) else []
-    word_at = np.concatenate([[0], np.cumsum(sum((np.maximum(end - first, 0) for _, first, end in kinds), np.zeros(len(starts), np.int64)))])
-    flat, filled = np.empty(word_at[-1], dtype=np.uint16), word_at[:-1].copy()
-    while kinds:  # each kind's features go to their words' places; no list of (feature, word) pairs is held
-        b, first, end = kinds.pop()
-        n = np.maximum(end - first, 0)
-        before, step_in = np.concatenate([[0], np.cumsum(n)[:-1]]), np.arange(n.sum())
-        flat[np.repeat(filled - before, n) + step_in] = b[np.repeat(first - before, n) + step_in]
-        filled += n
+    if not texts:
+        return
+    flat, per_word, lexicon, words = [], [], [], []
+    column = pa.array(texts, pa.large_string())
+    for i, j in slices(_text_sizes(column), FIT_BYTES):  # the sample's features, a few texts at a time
+        buf, at = _spaced(column.slice(i, j - i))
+        starts, ends = runs(_LETTER[buf], np.zeros(1, np.int64))
+        words.append(np.diff(np.searchsorted(starts, at)))
+        lexicon.append(_lexicon_rows(model, span_hashes(buf, starts, ends)))
+        kinds = _features(buf, starts, ends) if len(starts) else []
+        per_word.append(sum((np.maximum(end - first, 0) for _, first, end in kinds), np.zeros(len(starts), np.int64)))
+        filled = np.concatenate([[0], np.cumsum(per_word[-1])])
+        part, filled = np.empty(filled[-1], dtype=np.uint16), filled[:-1]
+        while kinds:  # each kind's features go to their words' places; no list of (feature, word) pairs is held
+            b, first, end = kinds.pop()
+            n = np.maximum(end - first, 0)
+            before, step_in = np.concatenate([[0], np.cumsum(n)[:-1]]), np.arange(n.sum())
+            part[np.repeat(filled - before, n) + step_in] = b[np.repeat(first - before, n) + step_in]
+            filled = filled + n
+        flat.append(part)
+    flat, lexicon = np.concatenate(flat), np.concatenate(lexicon)
+    words = np.concatenate(words)
+    bounds = np.concatenate([[0], np.cumsum(words)])
+    label = np.repeat(np.array(langs, dtype=np.int64), words)
+    word_at = np.concatenate([[0], np.cumsum(np.concatenate(per_word))])
     scale = 1 / np.sqrt(np.maximum(np.diff(word_at), 1))
-    lexicon = _lexicon_rows(model, span_hashes(buf, starts, ends))
     rng = np.random.default_rng(7)
     windows = [np.arange(a, min(a + WINDOW, hi)) for lo, hi in zip(bounds[:-1], bounds[1:]) for a in range(lo, hi, WINDOW)]
     g_w, g_m, g_t = np.full_like(model["weights"], 1e-6), np.full((k, k), 1e-6), np.full((k, k), 1e-6)
