@@ -29,6 +29,18 @@ from ..operators.common import attach_row
 MAX_MODES = 100_000
 
 
+def _tokens(desc: Column) -> Column:
+    return F.regexp_extract_all(clean_text(F.coalesce(desc, F.lit(DESCRIPTION_DEFAULT))), F.lit(r"[a-z0-9]{2,}"), 0)
+
+
+def _pairs(toks: Column) -> Column:
+    return F.split(F.regexp_replace(F.array_join(toks, " "), r"([a-z0-9]+) (?=([a-z0-9]+))", "$1 $2,"), ",")
+
+
+def _with_bigrams(toks: Column, pairs: Column) -> Column:
+    return F.concat(toks, F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(0))))
+
+
 def description_terms(desc: Column) -> Column:
     """Unigrams (tokens of 2+ characters of the cleaned text) followed by the bigrams of those tokens.
 
@@ -37,12 +49,18 @@ def description_terms(desc: Column) -> Column:
     ``regexp_replace`` that rewrites "a b c" as "a b,b c,c" (look-ahead keeps
     the next token), split on ',' and the trailing single token sliced off.
     """
-    clean = clean_text(F.coalesce(desc, F.lit(DESCRIPTION_DEFAULT)))
-    toks = F.regexp_extract_all(clean, F.lit(r"[a-z0-9]{2,}"), 0)
-    joined = F.array_join(toks, " ")
-    pairs = F.split(F.regexp_replace(joined, r"([a-z0-9]+) (?=([a-z0-9]+))", "$1 $2,"), ",")
-    bigrams = F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0)))
-    return F.concat(toks, bigrams)
+    return _with_bigrams(_tokens(desc), _pairs(_tokens(desc)))
+
+
+def with_terms(df: DataFrame, keep: list[str] | None = None, name: str = "_terms") -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``description_terms`` of Description as ``name``.
+
+    Each step is a column of its own: one that the next step reads twice is computed once a row.
+    """
+    cols = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
+    out = df.select(*cols, _tokens(F.col("Description")).alias("_tokens"))
+    out = out.select(*cols, "_tokens", _pairs(F.col("_tokens")).alias("_pairs"))
+    return out.select(*cols, _with_bigrams(F.col("_tokens"), F.col("_pairs")).alias(name))
 
 
 def term_document_frequency(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
@@ -52,9 +70,10 @@ def term_document_frequency(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame
     stands for the document. One aggregate per term (map-side combined) sums both. The top N is a distributed limit.
     """
     from pyspark.sql import Window
-    docs = df.select(F.array_sort(description_terms(F.col("Description"))).alias("term"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("term", 1, F.greatest(F.size("term") - 1, F.lit(0))))
-    each = docs.filter(F.size("term") > 0).select("term", before.alias("before")).select(F.inline(F.arrays_zip("term", "before")))
+    docs = with_terms(df, keep=[]).select(F.sort_array("_terms").alias("term"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("term", F.lit(1), F.greatest(F.size("term") - 1, F.lit(0))))
+    each = docs.select("term", before.alias("before")).select(F.inline(F.arrays_zip("term", "before")))
+    each = each.filter(F.col("term").isNotNull())  # a document without terms leaves one empty pair
     counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("tf"),
                                       F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("df"))
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
@@ -150,8 +169,7 @@ def feature_pipeline(spec: FeatureSpec) -> PipelineModel:
 def with_inputs(df: DataFrame) -> DataFrame:
     """Columns the pipeline reads: terms, month, weekend flag."""
     d = F.col("Date")
-    return df.withColumns({"_terms": description_terms(F.col("Description")),
-                           "month": month_or_one(d).cast("double"), "is_weekend": is_weekend(d).cast("double")})
+    return with_terms(df).withColumns({"month": month_or_one(d).cast("double"), "is_weekend": is_weekend(d).cast("double")})
 
 
 def term_weights(df: DataFrame, vector: str = "tfidf") -> DataFrame:
@@ -173,8 +191,9 @@ def tfidf_weights(df: DataFrame, keys: list[str], corpus: DataFrame | None = Non
     """
     vocabulary = term_document_frequency(df if corpus is None else corpus, t).orderBy("rank").select("rank", "term", "idf").collect()  # <= max_features rows
     spec = FeatureSpec([r["term"] for r in vocabulary], [float(r["idf"]) for r in vocabulary], [], 0.0, 1.0)
-    rows = text_pipeline(spec).transform(df.select(*keys, description_terms(F.col("Description")).alias("_terms")))
-    each = term_weights(rows.select(*keys, "tfidf")).select(*keys, F.inline("term_weights"))
+    rows = text_pipeline(spec).transform(with_terms(df, keys))
+    # outer: no filter on the vector is inferred and pushed below a grouping of ``df``, where it would be computed for every row
+    each = term_weights(rows.select(*keys, "tfidf")).select(*keys, F.inline_outer("term_weights")).filter(F.col("rank").isNotNull())
     if not vocabulary:
         return each.select(*keys, F.lit("").alias("term"), "weight").limit(0)
     names = df.sparkSession.createDataFrame([(r["rank"], r["term"]) for r in vocabulary], "rank int, term string")
