@@ -228,22 +228,36 @@ def _pack(nodes: pd.DataFrame, psi: int) -> IsolationForestModel:
     return IsolationForestModel(feat, thr, left, right, leaf, psi)
 
 
+#: Rows walked through all trees together: their features stay in the processor's cache.
+WALK_ROWS = 2_000
+
+
 def _path_lengths(m: IsolationForestModel, x: np.ndarray) -> np.ndarray:
-    n = len(x)
+    """Mean path length of each row over the trees; every row takes as many steps as the deepest, a leaf leading to itself."""
+    n, trees, width = len(x), m.feature.shape[0], m.feature.shape[1]
+    here = np.arange(width)
+    walks = []
+    for tr in range(trees):
+        leaf = m.feature[tr] < 0
+        child = np.empty(2 * width, dtype=np.int64)  # of node k: 2k left, 2k + 1 right
+        child[0::2], child[1::2] = np.where(leaf, here, m.left[tr]), np.where(leaf, here, m.right[tr])
+        reached, depth = np.zeros(1, dtype=np.int64), 0
+        while len(reached := reached[~leaf[reached]]):
+            reached, depth = np.unique(np.concatenate([child[2 * reached], child[2 * reached + 1]])), depth + 1
+        walks.append((np.maximum(m.feature[tr], 0).astype(np.int64), m.threshold[tr], child, m.leaf_path[tr], depth))
     total = np.zeros(n)
-    rows = np.arange(n)
-    for tr in range(m.feature.shape[0]):
-        node = np.zeros(n, dtype=np.int64)
-        f, th, lf, rt = m.feature[tr], m.threshold[tr], m.left[tr], m.right[tr]
-        while True:
-            fi = f[node]
-            internal = fi >= 0
-            if not internal.any():
-                break
-            go_left = x[rows, np.maximum(fi, 0)] <= th[node]
-            node = np.where(internal, np.where(go_left, lf[node], rt[node]), node)
-        total += m.leaf_path[tr][node]
-    return total / max(m.feature.shape[0], 1)
+    for start in range(0, n, WALK_ROWS):
+        part = np.ascontiguousarray(x[start:start + WALK_ROWS])
+        flat, row = part.ravel(), np.arange(len(part)) * part.shape[1]
+        some = np.zeros(len(part))
+        for feature, threshold, child, path, depth in walks:
+            node = np.zeros(len(part), dtype=np.int64)
+            for _ in range(depth):
+                left = flat.take(row + feature.take(node)) <= threshold.take(node)
+                node = child.take(2 * node + ~left)
+            some += path.take(node)
+        total[start:start + WALK_ROWS] = some
+    return total / max(trees, 1)
 
 
 def _used_values(used: np.ndarray, indices, values) -> np.ndarray:
