@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions.scalars import valid_category
+from ..session import written
 from .anomaly import iqr_thresholds
 from .common import drop_null_keys, join_small, resolve_by
 from .dedupe import duplicate_counts
@@ -173,11 +174,29 @@ def preview(df: DataFrame, by: list[str] | None = None, n: int = 500,
             drop: tuple[str, ...] = ("Description_clean", "Month", "Is_Weekend", "Payment_Mode_enc",
                                      "Category_enc", "Log_Amount", "Amount_scaled", "features")) -> DataFrame:
     """First n rows per key in (date, then all columns) order, feature columns removed.
-    The row cap is the operator itself (a preview); Spark plans it as a per-partition top-k."""
+
+    The row cap is the operator itself (a preview). Rows are first counted by key and value of the first order column: where
+    the running count reaches n, later values cannot be among the first n rows, so only rows up to there are sorted in full.
+    """
     from pyspark.sql import Window
 
     by = resolve_by(df, by)
     keep = [c for c in df.columns if c not in drop]
-    order = [F.col(c).asc_nulls_last() for c in keep if c not in by]
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.select(*keep).withColumn("row_no", F.row_number().over(w)).filter(F.col("row_no") <= n)
+    rest = [c for c in keep if c not in by]
+    order = [F.col(c).asc_nulls_last() for c in rest]
+    w = Window.partitionBy(*by) if by else Window.partitionBy()
+    rows = df.select(*keep)
+    if by and rest:
+        keys = [f"__by{i}" for i in range(len(by))]
+        counts = rows.groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(rest[0]).alias("__value")).agg(
+            F.count(F.lit(1)).alias("__n"))
+        values = Window.partitionBy(*keys).orderBy(F.col("__value").asc_nulls_last())
+        counts = counts.withColumn("__no", F.row_number().over(values)).filter(F.col("__no") <= n)  # n values hold n rows
+        before = F.coalesce(F.sum("__n").over(values.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        needed = counts.withColumn("__before", before).filter(F.col("__before") < n).select(*keys, "__value")
+        needed = written(df.sparkSession, needed, "preview-values")
+        same = F.col(rest[0]).eqNullSafe(F.col("__value"))
+        for b, k in zip(by, keys):
+            same = same & F.col(b).eqNullSafe(F.col(k))
+        rows = rows.join(needed, same, "left_semi")
+    return rows.withColumn("row_no", F.row_number().over(w.orderBy(*order))).filter(F.col("row_no") <= n)
