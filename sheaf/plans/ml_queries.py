@@ -47,10 +47,18 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_MODELS[k])
 
 
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of the feature table: the split's counts and cuts are found once and serve training and evaluation."""
+    k = _key(spark, sf_dir, "split")
+    if k not in _MODELS:
+        _MODELS[k] = classify.split_train_test(feature_table(spark, sf_dir), key_cols=KEYS)
+    return _MODELS[k]
+
+
 def category_model(spark: SparkSession, sf_dir: str) -> classify.CategoryModel:
     k = _key(spark, sf_dir, "category_model")
     if k not in _MODELS:
-        train, _ = classify.split_train_test(feature_table(spark, sf_dir), key_cols=KEYS)
+        train, _ = _split(spark, sf_dir)
         _MODELS[k] = classify.fit_on_features(feature_model(spark, sf_dir), train)
     return _MODELS[k]
 
@@ -90,13 +98,13 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classifier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = category_model(spark, sf_dir)
-    _, test = classify.split_train_test(feature_table(spark, sf_dir), key_cols=KEYS)
+    _, test = _split(spark, sf_dir)
     return classify.evaluate(model, test, features_ready=True)
 
 
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = category_model(spark, sf_dir)
-    _, test = classify.split_train_test(feature_table(spark, sf_dir), key_cols=KEYS)
+    _, test = _split(spark, sf_dir)
     pred = model.classifier.transform(test.filter(F.col("Category").isin("Expense", "Income", "Asset",
                                                                          "Liability")))
     from ..functions.scalars import category_index
