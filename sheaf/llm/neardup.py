@@ -267,7 +267,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, per
         child = F.array(*[F.xxhash64(F.lit(k), F.col("key"), s, F.col("sketch")[s]) for k, s in enumerate(spot)])
         deeper = large.join(reps.select("rep", "sketch"), "rep").select(
             F.explode(child).alias("key"), "rep", "component", "parent")
-        mixed = written(spark, _mixed(deeper), "neardup-mixed")
+        # read twice: rows branch once a level
+        mixed = written(spark, _mixed(written(spark, deeper, "neardup-branches")), "neardup-mixed")
         pairs = pairs.unionByName(written(spark, _cross_pairs(mixed, small), "neardup-level"))
     more = _confirmed(spark, docs, reps, pairs.distinct().join(stars, ["a", "b"], "left_anti"), width, percent)
     if not more.isEmpty():

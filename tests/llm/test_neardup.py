@@ -88,3 +88,21 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r.node: r.component for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{100 + k: 100 for k in range(40)}, 300: 300, 301: 300, 302: 300}
     assert components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_branch_once_a_level(spark, monkeypatch):
+    from sheaf.llm import neardup
+
+    seen, plain = {}, neardup.written
+
+    def written(s, df, name):
+        seen.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(s, df, name)
+
+    monkeypatch.setattr(neardup, "written", written)
+    shared = [" ".join(f"p{k}" for k in range(30))] * 60  # texts alike in half of their words: no family
+    rows = [(i, f"{t} " + " ".join(f"x{i}y{k}" for k in range(25))) for i, t in enumerate(shared)]
+    out = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), small=4)
+    assert out.where("kept").count() == len(rows)
+    assert len(seen["neardup-mixed"]) > 1 and not any("Generate" in plan for plan in seen["neardup-mixed"][1:])
+    assert len(seen["neardup-branches"]) == len(seen["neardup-mixed"]) - 1
