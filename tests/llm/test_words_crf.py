@@ -68,3 +68,33 @@ def test_token_ids_are_the_tokenizers_own():
         "".join(rng.choice(bits) for _ in range(rng.randrange(50))) for _ in range(800)]
     for text, ids in zip(texts, counter.encode(texts)):
         assert ids.tolist() == counter.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_affixes_are_added_without_a_sum_and_emissions_stay(monkeypatch):
+    from sheaf.llm import langid
+
+    rng = np.random.default_rng(4)
+    model = {"labels": ["a", "b", "c"], "weights": rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32),
+             "mixing": np.eye(3, dtype=np.float32), "shares": rng.normal(size=(1 << langid.LEXICON_BITS, 3)).astype(np.float32)}
+    buf, _ = langid._spaced(pa.array(["a Grande of the casas e x", None, "niñas abcde Z"]))
+    starts, ends = langid.runs(langid._LETTER[buf], np.zeros(1, np.int64))
+    kinds = langid._features(buf, starts, ends)
+    sums = sum(langid._range_sums(model["weights"][b], first, end) for b, first, end in kinds)
+    count = sum(end - first for _, first, end in kinds)
+    want = sums / np.sqrt(np.maximum(count, 1))[:, None] + langid._lexicon_rows(model, langid.span_hashes(buf, starts, ends))
+    calls, plain = [], langid._range_sums
+    monkeypatch.setattr(langid, "_range_sums", lambda *a: calls.append(1) or plain(*a))
+    assert np.allclose(langid._emissions(model, buf, starts, ends), want, atol=1e-5)
+    assert len(calls) == 3  # the byte n-grams of two to four
+
+
+@pytest.mark.parametrize("labels", [1, 4, 9])
+def test_posteriors_of_many_lengths_equal_one_sequence_at_a_time(labels):
+    rng = np.random.default_rng(labels)
+    at = np.concatenate([[0], np.cumsum([3, 0, 40, 1, 7, 0])])
+    e, start = rng.normal(size=(at[-1], labels)), rng.random(labels) + 0.1
+    step = rng.random((labels, labels)) + 0.1
+    got = crf.posteriors(e, at, start, step)
+    for a, b in zip(at[:-1], at[1:]):
+        assert np.allclose(got[a:b], crf.posteriors(e[a:b], np.array([0, b - a]), start, step))
+    assert np.allclose(got.sum(axis=1), 1)
