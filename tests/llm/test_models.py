@@ -208,6 +208,23 @@ def test_lm_scores_follow_every_word_ngram(spark):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen) / 2  # lines of rare words are learned
 
 
+def test_lm_stores_words_only_and_pieces_do_not_change_scores(spark, monkeypatch):
+    """Only word counts are stored, no n-grams or blocks; pieces of a frequent word and words without a number score alike."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join("the" if k % 3 == 0 else f"w{int(k ** 1.5)}" for k in rng.integers(0, 60, rng.integers(0, 40))) for _ in range(150)]
+    texts += ["the the the the", "the", "", None, "only here the only here"]
+    df = spark.createDataFrame([(k, t, k % 6 == 0) for k, t in enumerate(texts)], "doc_id long, text string, h boolean")
+    stored = []
+    monkeypatch.setattr(lm, "written", lambda *a, _write=lm.written: stored.append(_write(*a)) or stored[-1])
+    want = {r.doc_id: tuple(r)[1:] for r in lm.score_texts(spark, df, F.col("h")).collect()}
+    kinds = len({w for k, t in enumerate(texts) if k % 6 for w in (t or "").split()})
+    assert sum(x.count() for x in stored) == kinds + 3  # the end, the numbers of texts and of tokens
+    for bounds in ((2000, 400, 20), (500, 40, 3), (300, 30, 0)):
+        got = {r.doc_id: tuple(r)[1:] for r in lm.score_texts(spark, df, F.col("h"), *bounds).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def automaton(seed=0, size=5, length=400):
     """An automaton over symbols 0..size-1 (the last one RARE) from one random sequence, and its kept n-grams."""
     rng = np.random.default_rng(seed)
