@@ -36,16 +36,20 @@ def content_hash(cols: list[str]):
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def split_train_test(df: DataFrame, t: Thresholds = DEFAULT, key_cols: list[str] | None = None, class_col: str = "Category"):
+def split_train_test(df: DataFrame, t: Thresholds = DEFAULT, key_cols: list[str] | None = None, class_col: str = "Category",
+                     hash_col: str | None = None):
     """(train, test): of every class exactly round(``test_fraction`` x rows) rows are test rows, those of the lowest content hash.
 
     One scan counts rows by class and hash bucket (65,536 buckets, combined map-side). A running count over the buckets finds
     each class's cut bucket; lower buckets are test, higher ones train, and only the rows of the cut bucket are ranked, by
-    hash, content and copy. Equal rows are interchangeable, so a seedless split is the same for any partition count.
+    hash, content and copy, and written. Equal rows are interchangeable, so a seedless split is the same for any partition count.
+    ``hash_col`` names a column that already holds ``content_hash`` of the key columns; it is left out of the result.
     """
     cols = key_cols or [c for c in df.columns if not c.startswith("_")]
     group = F.coalesce(F.col(f"`{class_col}`").cast("string"), F.lit("\u0000")).alias("_class")
-    rows = df.select("*", content_hash(cols).alias("_hash"), group).withColumn("_bucket", F.shiftright("_hash", 44))
+    kept = [c for c in df.columns if c != hash_col]
+    known = content_hash(cols) if hash_col is None else F.col(f"`{hash_col}`")
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], known.alias("_hash"), group).withColumn("_bucket", F.shiftright("_hash", 44))
     counts = rows.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     counts = written(df.sparkSession, counts, "split-counts")
     totals = counts.groupBy("_class").agg(F.round(F.sum("_n") * t.test_fraction).cast("long").alias("_want"))
@@ -58,9 +62,10 @@ def split_train_test(df: DataFrame, t: Thresholds = DEFAULT, key_cols: list[str]
     low = F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False))
     at = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
     order = Window.partitionBy("_class").orderBy("_hash", *[F.col(f"`{c}`") for c in cols])
-    ranked = rows.filter(at).withColumn("_test", F.row_number().over(order) <= F.col("_need"))
-    train = rows.filter(~low & ~at).select(df.columns).unionByName(ranked.filter(~F.col("_test")).select(df.columns))
-    test = rows.filter(low).select(df.columns).unionByName(ranked.filter("_test").select(df.columns))
+    ranked = rows.filter(at).withColumn("_test", F.row_number().over(order) <= F.col("_need")).select(*kept, "_test")
+    ranked = written(df.sparkSession, ranked, "split-ranked")  # each use of a part would scan all rows for these few
+    train = rows.filter(~low & ~at).select(kept).unionByName(ranked.filter(~F.col("_test")).select(kept))
+    test = rows.filter(low).select(kept).unionByName(ranked.filter("_test").select(kept))
     return train, test
 
 

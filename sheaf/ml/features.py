@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, DESCRIPTION_DEFAULT, PAYMENT_MODE_DEFAULT, Thresholds
 from ..functions.scalars import is_weekend, month_or_one
-from ..functions.text import clean_text
 from ..operators.common import attach_row
 
 
@@ -30,7 +29,8 @@ MAX_MODES = 100_000
 
 
 def _tokens(desc: Column) -> Column:
-    return F.regexp_extract_all(clean_text(F.coalesce(desc, F.lit(DESCRIPTION_DEFAULT))), F.lit(r"[a-z0-9]{2,}"), 0)
+    # clean_text changes only what is between tokens, so they are the same runs of the text in lower case
+    return F.regexp_extract_all(F.lower(F.coalesce(desc, F.lit(DESCRIPTION_DEFAULT))), F.lit(r"[a-z0-9]{2,}"), 0)
 
 
 def _pairs(toks: Column) -> Column:

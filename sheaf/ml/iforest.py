@@ -7,9 +7,9 @@ copies ever exist as rows. Each pool row joins tree ``t`` when a second hash fal
 Trees are grown per group with ``applyInPandas`` (numpy), and only the nodes (<= trees x (2 psi - 1) rows) come to the
 driver. A forest is a table of nodes (``node_table``) that can be saved, loaded and walked by SQL.
 
-Scoring broadcasts the nodes and runs a vectorised traversal per Arrow batch with ``mapInArrow``. A row travels as the
-indexes and values of its sparse vector, and only the features that some tree splits on are laid out. The cut-off is the
-``contamination`` quantile of the training scores (``percentile_approx``).
+Scoring broadcasts the nodes and runs per Arrow batch with ``mapInArrow``. A row travels as the indexes and values of its
+sparse vector; each split rules out leaves of the rows that it sends right, so its cost follows the entries, and only trees of
+many leaves are walked. The cut-off is the ``contamination`` quantile of the training scores (``percentile_approx``).
 """
 
 from __future__ import annotations
@@ -230,40 +230,110 @@ def _pack(nodes: pd.DataFrame, psi: int) -> IsolationForestModel:
 
 #: Rows walked through all trees together: their features stay in the processor's cache.
 WALK_ROWS = 2_000
+#: Leaves of a tree that the bits of one word stand for; larger trees are walked.
+WORD_LEAVES = 64
+
+
+def _walk(m: IsolationForestModel, tr: int) -> tuple:
+    """Features, thresholds, children and path lengths of a tree's nodes, and the steps to its deepest leaf."""
+    here = np.arange(m.feature.shape[1])
+    leaf = m.feature[tr] < 0
+    child = np.empty(2 * len(here), dtype=np.int64)  # of node k: 2k left, 2k + 1 right
+    child[0::2], child[1::2] = np.where(leaf, here, m.left[tr]), np.where(leaf, here, m.right[tr])
+    reached, depth = np.zeros(1, dtype=np.int64), 0
+    while len(reached := reached[~leaf[reached]]):
+        reached, depth = np.unique(np.concatenate([child[2 * reached], child[2 * reached + 1]])), depth + 1
+    return np.maximum(m.feature[tr], 0).astype(np.int64), m.threshold[tr], child, m.leaf_path[tr], depth
+
+
+def _walked(walk: tuple, part: np.ndarray) -> np.ndarray:
+    """Path length of each row in one tree; every row takes as many steps as the deepest, a leaf leading to itself."""
+    feature, threshold, child, path, depth = walk
+    flat, row = part.ravel(), np.arange(len(part)) * part.shape[1]
+    node = np.zeros(len(part), dtype=np.int64)
+    for _ in range(depth):
+        left = flat.take(row + feature.take(node)) <= threshold.take(node)
+        node = child.take(2 * node + ~left)
+    return path.take(node)
 
 
 def _path_lengths(m: IsolationForestModel, x: np.ndarray) -> np.ndarray:
-    """Mean path length of each row over the trees; every row takes as many steps as the deepest, a leaf leading to itself."""
-    n, trees, width = len(x), m.feature.shape[0], m.feature.shape[1]
-    here = np.arange(width)
-    walks = []
-    for tr in range(trees):
-        leaf = m.feature[tr] < 0
-        child = np.empty(2 * width, dtype=np.int64)  # of node k: 2k left, 2k + 1 right
-        child[0::2], child[1::2] = np.where(leaf, here, m.left[tr]), np.where(leaf, here, m.right[tr])
-        reached, depth = np.zeros(1, dtype=np.int64), 0
-        while len(reached := reached[~leaf[reached]]):
-            reached, depth = np.unique(np.concatenate([child[2 * reached], child[2 * reached + 1]])), depth + 1
-        walks.append((np.maximum(m.feature[tr], 0).astype(np.int64), m.threshold[tr], child, m.leaf_path[tr], depth))
+    """Mean path length of each row over the trees, walked node by node."""
+    n, trees = len(x), m.feature.shape[0]
+    walks = [_walk(m, tr) for tr in range(trees)]
     total = np.zeros(n)
     for start in range(0, n, WALK_ROWS):
         part = np.ascontiguousarray(x[start:start + WALK_ROWS])
-        flat, row = part.ravel(), np.arange(len(part)) * part.shape[1]
         some = np.zeros(len(part))
-        for feature, threshold, child, path, depth in walks:
-            node = np.zeros(len(part), dtype=np.int64)
-            for _ in range(depth):
-                left = flat.take(row + feature.take(node)) <= threshold.take(node)
-                node = child.take(2 * node + ~left)
-            some += path.take(node)
+        for walk in walks:
+            some += _walked(walk, part)
         total[start:start + WALK_ROWS] = some
     return total / max(trees, 1)
 
 
-def _used_values(used: np.ndarray, indices, values) -> np.ndarray:
-    """Rows x used features, from Arrow lists of a vector column's indexes (null for a dense vector) and values."""
+def _leaf_words(m: IsolationForestModel) -> tuple[list, dict]:
+    """The forest as words of leaves: each tree's leaf paths from left to right (None for more than ``WORD_LEAVES``), and by
+    feature its split nodes as (tree, threshold, leaves that stay possible when a row goes right)."""
+    paths, splits = [], {}
+    for tr in range(m.feature.shape[0]):
+        leaves, nodes, todo = [], [], [(0, None)]
+        while todo:
+            k, parent = todo.pop()
+            if parent is not None:  # a right child: the leaves since its parent are left of it
+                parent.append(len(leaves))
+            if m.feature[tr, k] < 0:
+                leaves.append(m.leaf_path[tr, k])
+                continue
+            nodes.append([int(m.feature[tr, k]), float(m.threshold[tr, k]), len(leaves)])
+            todo += [(int(m.right[tr, k]), nodes[-1]), (int(m.left[tr, k]), None)]
+        paths.append(np.array(leaves) if len(leaves) <= WORD_LEAVES else None)
+        if paths[-1] is not None:
+            for feature, threshold, first, end in nodes:
+                word = ((1 << len(leaves)) - 1) & ~((1 << end) - (1 << first))
+                splits.setdefault(feature, []).append((tr, threshold, np.uint64(word)))
+    return paths, splits
+
+
+def _entry_path_lengths(m: IsolationForestModel, words: tuple[list, dict], width: int, n: int, row, at, flat) -> np.ndarray:
+    """``_path_lengths`` of ``n`` rows given by their entries (row, feature, value); an absent one is 0.
+
+    A row's leaf is the leftmost one that no split to the right rules out. So a split costs only the rows it sends right, and
+    with sparse rows these are few; the order of its tests does not matter.
+    """
+    paths, splits = words
+    order = np.argsort(at.astype(np.uint16) if width < 1 << 16 else at, kind="stable")
+    row, at, flat = row[order], at[order], flat[order]
+    ends = np.searchsorted(at, np.arange(width + 1))
+    possible = [None if p is None else np.full(n, (1 << len(p)) - 1, dtype=np.uint64) for p in paths]
+    for feature, nodes in splits.items():
+        rows, values = row[ends[feature]:ends[feature + 1]], flat[ends[feature]:ends[feature + 1]]
+        for tr, threshold, word in nodes:
+            left = values <= threshold
+            if 0.0 <= threshold:
+                right = rows[~left]
+            else:  # a row without an entry goes right, too
+                right = np.ones(n, dtype=bool)
+                right[rows[left]] = False
+            possible[tr][right] &= word
+    if any(p is None for p in paths):
+        x = np.zeros((n, width))
+        x[row, at] = flat
+    total = np.zeros(n)
+    for tr, path in enumerate(paths):
+        if path is None:
+            walk = _walk(m, tr)
+            for start in range(0, n, WALK_ROWS):
+                total[start:start + WALK_ROWS] += _walked(walk, x[start:start + WALK_ROWS])
+        else:
+            p = possible[tr]
+            total += path.take(np.bitwise_count((p & (~p + np.uint64(1))) - np.uint64(1)))
+    return total / max(len(paths), 1)
+
+
+def _used_entries(used: np.ndarray, indices, values) -> tuple:
+    """(row, place of the feature in ``used``, value) of the entries of used features, from Arrow lists of a vector column's
+    indexes (null for a dense vector) and values."""
     n = len(values)
-    x = np.zeros((n, len(used)))
     place = np.full(int(used[-1]) + 1 if len(used) else 0, -1)
     place[used] = np.arange(len(used))
     sparse = indices.is_valid().to_numpy(zero_copy_only=False)
@@ -274,8 +344,7 @@ def _used_values(used: np.ndarray, indices, values) -> np.ndarray:
     at[sparse[row]] = indices.flatten().to_numpy(zero_copy_only=False)
     known = at < len(place)
     row, at, flat = row[known], place[at[known]], flat[known]
-    x[row[at >= 0], at[at >= 0]] = flat[at >= 0]
-    return x
+    return row[at >= 0], at[at >= 0], flat[at >= 0]
 
 
 def score(model: IsolationForestModel, df: DataFrame, keep: list[str], features_col: str = "features",
@@ -303,10 +372,12 @@ def score(model: IsolationForestModel, df: DataFrame, keep: list[str], features_
     def run(batches):
         import pyarrow as pa
         m, features = get_model()
+        words = _leaf_words(m)
         for rb in batches:
-            n = rb.num_rows
-            x = _used_values(features, rb.column(len(names) - 1), rb.column(len(names))) if n else np.zeros((0, len(features)))
-            s = -np.power(2.0, -_path_lengths(m, x) / cpsi)
+            if not rb.num_rows:
+                continue
+            entries = _used_entries(features, rb.column(len(names) - 1), rb.column(len(names)))
+            s = -np.power(2.0, -_entry_path_lengths(m, words, len(features), rb.num_rows, *entries) / cpsi)
             yield pa.RecordBatch.from_arrays([*rb.columns[:len(names) - 1], pa.array(s, pa.float64())], names=names)
 
     return base.mapInArrow(run, out_schema)

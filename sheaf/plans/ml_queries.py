@@ -38,9 +38,9 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if k not in _MODELS:
         out = fx.transform(feature_model(spark, sf_dir), ledger(spark, sf_dir))
         # keep what training, prediction, the forest and the feature report read; the text vector is
-        # kept only as its non-zero count (the full vector is inside ``features``)
+        # kept only as its non-zero count (the full vector is inside ``features``), the split's hash as it is read often
         out = out.select(*KEYS, "features", nonzero_terms("tfidf"), "amount_scaled", "mode_index", "month",
-                         "is_weekend")
+                         "is_weekend", classify.content_hash(KEYS).alias("_split_hash"))
         path = scratch_path(spark, "features")
         out.write.mode("overwrite").parquet(path)
         _MODELS[k] = path
@@ -51,7 +51,7 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(train, test) of the feature table: the split's counts and cuts are found once and serve training and evaluation."""
     k = _key(spark, sf_dir, "split")
     if k not in _MODELS:
-        _MODELS[k] = classify.split_train_test(feature_table(spark, sf_dir), key_cols=KEYS)
+        _MODELS[k] = classify.split_train_test(feature_table(spark, sf_dir), key_cols=KEYS, hash_col="_split_hash")
     return _MODELS[k]
 
 
@@ -134,6 +134,8 @@ def fallback_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEYS = ["Company_ID", "Date", "Description", "Amount", "Category", "Sub_Category", "Payment_Mode",
         "Vendor_Client_Name", "GST_Amount"]
+#: Columns that the reports on forest scores read.
+SCORED = ["Company_ID", "Date", "Description", "Amount", "Category"]
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +145,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         feats = feature_table(spark, sf_dir)
         model = iforest.fit(feats, KEYS)
         raw = scratch_path(spark, "iforest_raw")
-        iforest.score(model, feats, KEYS).write.mode("overwrite").parquet(raw)  # score once
+        iforest.score(model, feats, SCORED).write.mode("overwrite").parquet(raw)  # score once
         _MODELS[k] = (raw, iforest.offset(spark.read.parquet(raw)))
     raw, off = _MODELS[k]
     return iforest.apply_offset(spark.read.parquet(raw), off)
@@ -154,7 +156,7 @@ def isolation_forest_amount_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = iforest.amount_only_features(ledger(spark, sf_dir).select(*KEYS))
     model = iforest.fit(feats, KEYS)
     raw = scratch_path(spark, "iforest_amount_raw")
-    iforest.score(model, feats, KEYS).write.mode("overwrite").parquet(raw)
+    iforest.score(model, feats, ["Company_ID", "Date", "Amount", "Category"]).write.mode("overwrite").parquet(raw)
     scored = spark.read.parquet(raw)
     s = iforest.apply_offset(scored, iforest.offset(scored))
     return s.select("Company_ID", F.date_format("Date", "yyyy-MM-dd").alias("Date"),

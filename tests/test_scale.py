@@ -6,8 +6,8 @@ from decimal import Decimal
 import numpy as np
 from pyspark.sql import functions as F
 
+from sheaf.ml import classify, iforest
 from sheaf.ml import features as fx
-from sheaf.ml import iforest
 from sheaf.operators import quality
 from sheaf.sources import fixture
 
@@ -95,3 +95,43 @@ def test_forest_walk_equals_a_walk_by_hand(monkeypatch):
     assert iforest._path_lengths(m, np.zeros((0, 2))).tolist() == []
     leaves = iforest.IsolationForestModel(*[np.array([[v]]) for v in (-1, 0.0, 0, 0, 1.0)], 1)
     assert iforest._path_lengths(leaves, np.zeros((2, 0))).tolist() == [1.0, 1.0]
+
+
+def _random_forest(rng, trees, features, splits):
+    """Trees grown by splitting a random leaf ``splits`` times; thresholds on both sides of 0."""
+    shape = (trees, 2 * splits + 1)
+    feature, threshold = np.full(shape, -1), rng.normal(size=shape).round(1)
+    left, right, path = np.zeros(shape, dtype=int), np.zeros(shape, dtype=int), rng.uniform(1, 9, size=shape)
+    for tr in range(trees):
+        for k in range(splits):
+            leaf = rng.choice(np.flatnonzero(feature[tr, :2 * k + 1] < 0))
+            feature[tr, leaf], left[tr, leaf], right[tr, leaf] = rng.integers(features), 2 * k + 1, 2 * k + 2
+    return iforest.IsolationForestModel(feature, threshold, left, right, path, 256)
+
+
+def test_forest_by_entries_equals_the_walk(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 9)).round(1) * (rng.random((700, 9)) < 0.3)
+    x[3, 1], x[4, 2], x[5, 0] = np.nan, np.inf, -np.inf
+    row, at = np.nonzero(x)
+    for splits in (0, 1, 40, 63, 90):  # 91 leaves do not fit one word: these trees are walked
+        m = _random_forest(rng, 6, 9, splits)
+        for leaves in (64, 2):
+            monkeypatch.setattr(iforest, "WORD_LEAVES", leaves)
+            got = iforest._entry_path_lengths(m, iforest._leaf_words(m), 9, len(x), row, at, x[row, at])
+            assert got.tolist() == iforest._path_lengths(m, x).tolist()
+    monkeypatch.setattr(iforest, "WORD_LEAVES", 64)
+    m = _random_forest(rng, 50, 500, 30)  # a split costs only the rows that it sends right: none is walked
+    monkeypatch.setattr(iforest, "_walked", None)
+    none = np.zeros(0, dtype=int)
+    assert len(iforest._entry_path_lengths(m, iforest._leaf_words(m), 500, 4, none, none, np.zeros(0))) == 4
+
+
+def test_split_reads_a_known_hash_and_ranks_once(spark):
+    rows = [(c, i, f"t{i % 7}") for c in ("a", "b", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "Category string, k int, t string")
+    plain = classify.split_train_test(df)
+    known = classify.split_train_test(df.withColumn("_h", classify.content_hash(df.columns)), key_cols=df.columns, hash_col="_h")
+    for a, b in zip(plain, known):
+        assert b.columns == df.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert "Window" not in _plan(a) and "Window" not in _plan(b)  # no use of a part ranks rows again
