@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..config import DESCRIPTION_DEFAULT, PAYMENT_MODE_DEFAULT, VENDOR_DEFAULT, DEFAULT, Thresholds
 from ..functions.scalars import parse_date
 from ..schema import MONEY
-from ..session import written
 from .common import join_small, resolve_by
 from .dedupe import drop_duplicates
 from .quantiles import group_quantiles_paise
@@ -56,7 +55,7 @@ def clean_ledger(df: DataFrame, by: list[str] | None = None, t: Thresholds = DEF
     """The cleaning chain in the reference order; the median sees negative amounts."""
     by = resolve_by(df, by)
     # written once: the median and the rows both read it, the comparison is not repeated
-    out = written(df.sparkSession, drop_duplicates(df), "deduplicated")
+    out = drop_duplicates(df, name="deduplicated")
     out = impute_amount_median(out, by, t)
     out = drop_negative_amounts(out)
     out = fill_text_defaults(out)

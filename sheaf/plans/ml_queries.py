@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..ml import anomalies, classify, iforest
 from ..ml import features as fx
-from ..session import app_id, scratch_path
+from ..session import app_id, delete_scratch, scratch_path
 from ..sources import io
 from ..sources.fixture import _MATERIALIZED, _source_stamp, ledger, ledger_dirty
 from ..streaming import stream
@@ -201,9 +201,10 @@ def read_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_clean_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty ledger files by company -> file stream -> per-batch cleaning (one batch: all files)."""
     src = scratch_path(spark, "dirty_csv")
-    io.write_by_company(ledger_dirty(spark, sf_dir), src)
+    io.write_by_company(ledger_dirty(spark, sf_dir), src, compression="gzip")
     out, ckpt = scratch_path(spark, "stream_clean_out"), scratch_path(spark, "stream_clean_ckpt")
-    stream.stream_clean_ledger(spark, src, out, ckpt)
+    stream.stream_clean_ledger(spark, src, out, ckpt, files="*.csv.gz")
+    delete_scratch(spark, src)
     return spark.read.parquet(out).drop("batch_id")
 
 

@@ -179,14 +179,15 @@ def ledger_table(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataF
     executor re-reads files instead of re-running the joins - and every
     query then scans the table like a user's ledger.
     """
-    from ..session import app_id, scratch_path
+    from ..session import app_id, scratch_path, shuffles_freed
 
     key = (app_id(spark), sf_dir.rstrip("/"), dirty, _source_stamp(spark, sf_dir))
     path = _MATERIALIZED.get(key)
     if path is None:
         view = ledger_dirty_view(spark, sf_dir) if dirty else ledger_view(spark, sf_dir)
         path = scratch_path(spark, "ledger_dirty" if dirty else "ledger")
-        view.sortWithinPartitions("Company_ID", "Date").write.mode("overwrite").parquet(path)
+        with shuffles_freed(spark):
+            view.sortWithinPartitions("Company_ID", "Date").write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 

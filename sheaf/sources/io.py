@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_date
 from ..schema import LEDGER_COLUMNS, LEDGER_CSV_SCHEMA, LEDGER_SCHEMA, MONEY
-from ..session import written
+from ..session import shuffles_freed, written
 
 CHUNK_ROWS = 10_000  # fixed value: the application's chunk of a large file
 FILE_ROWS = 5_000_000
@@ -101,18 +101,21 @@ def write_clean_ledger(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_by_company(df: DataFrame, path: str, fmt: str = "csv", partitions: int | None = None, replace: bool = True,
-                     rows_per_file: int = FILE_ROWS) -> None:
+                     rows_per_file: int = FILE_ROWS, compression: str | None = None) -> None:
     """One folder per company (``Company_ID=...``), in files of at most ``rows_per_file`` rows.
 
     Range partitioning on (company, date) samples the keys, so a company that holds a third of all rows is spread over
     several tasks (several files in its folder) instead of landing in one task. With ``replace=False`` only the folders of
     the companies in ``df`` are replaced, each when its new files are complete; all other folders stay untouched.
+    ``compression`` is a codec of the format (``gzip`` writes ``.csv.gz`` files, which one task reads each).
     """
     n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     out = df.repartitionByRange(int(n), "Company_ID", "Date").sortWithinPartitions("Company_ID", "Date")
     w = out.write.mode("overwrite").partitionBy("Company_ID").option("maxRecordsPerFile", rows_per_file)
     w = w.option("partitionOverwriteMode", "static" if replace else "dynamic")
-    (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
+    w = w.option("compression", compression) if compression else w
+    with shuffles_freed(df.sparkSession):
+        (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
 
 
 def company_files(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
