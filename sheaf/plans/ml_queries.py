@@ -201,9 +201,9 @@ def read_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_clean_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty ledger files by company -> file stream -> per-batch cleaning (one batch: all files)."""
     src = scratch_path(spark, "dirty_csv")
-    io.write_by_company(ledger_dirty(spark, sf_dir), src, compression="gzip")
+    io.write_by_company(ledger_dirty(spark, sf_dir), src, compression="gzip", slice_rows=io.SLICE_ROWS)
     out, ckpt = scratch_path(spark, "stream_clean_out"), scratch_path(spark, "stream_clean_ckpt")
-    stream.stream_clean_ledger(spark, src, out, ckpt, files="*.csv.gz")
+    stream.stream_clean_ledger(spark, src, out, ckpt, files="*.csv.gz", task_bytes=stream.COMPRESSED_TASK_BYTES)
     delete_scratch(spark, src)
     return spark.read.parquet(out).drop("batch_id")
 

@@ -42,6 +42,8 @@ def _utc_date(dtype, c):
 
 #: Stored bytes of ``lineitem`` that one task joins and sorts (about half a million rows of the test tables).
 TASK_BYTES = 8 << 20
+#: Stored bytes of ``lineitem`` whose joins are on disk at a time while a ledger table is written.
+SLICE_BYTES = 1 << 30
 
 
 def _stored_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
@@ -53,19 +55,19 @@ def _stored_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
         return 0
 
 
-def _spread(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str) -> DataFrame:
+def _spread(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str, slices: int = 1) -> DataFrame:
     """``rows`` dealt on ``key`` over a number of tasks that grows with ``lineitem``, so a task's sorts do not.
 
     Small inputs are left to the planner; a larger number than the session's is what makes it keep this dealing in a join.
     """
-    tasks = _stored_bytes(spark, sf_dir, "lineitem") // TASK_BYTES
+    tasks = _stored_bytes(spark, sf_dir, "lineitem") // TASK_BYTES // slices
     if tasks <= 8:
         return rows
     return rows.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
-def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``ledger`` view (FIXTURES.md section 3) as DataFrame operations.
+def ledger_view(spark: SparkSession, sf_dir: str, part: int = 0, slices: int = 1) -> DataFrame:
+    """The ``ledger`` view (FIXTURES.md section 3) as DataFrame operations, or its slice ``part`` of ``slices`` by order.
 
     Join order is chosen by hand: orders is joined to customer first (only the
     nation key is kept), so the large lineitem side is shuffled once for the
@@ -75,8 +77,11 @@ def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_tax", "l_extendedprice")
-    li = _spread(spark, sf_dir, li, "l_orderkey")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    if slices > 1:
+        li, orders = [t.filter(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(slices)) == part)
+                      for t, key in ((li, "l_orderkey"), (orders, "o_orderkey"))]
+    li = _spread(spark, sf_dir, li, "l_orderkey", slices)
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -150,8 +155,8 @@ def dirty(ledger: DataFrame) -> DataFrame:
     return d.select(*[c for c in d.columns if c != "k"], F.explode(copies).alias("_copy")).drop("_copy")
 
 
-def ledger_dirty_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dirty(ledger_view(spark, sf_dir))
+def ledger_dirty_view(spark: SparkSession, sf_dir: str, part: int = 0, slices: int = 1) -> DataFrame:
+    return dirty(ledger_view(spark, sf_dir, part, slices))
 
 
 _MATERIALIZED: dict[tuple, str] = {}
@@ -177,17 +182,22 @@ def ledger_table(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataF
     joins over ``lineitem``. Writing it once (sorted by company and date, so
     row-group statistics prune on ``Company_ID``) cuts the lineage - a lost
     executor re-reads files instead of re-running the joins - and every
-    query then scans the table like a user's ledger.
+    query then scans the table like a user's ledger. A large ``lineitem`` is
+    joined in slices of its orders, one after the other, so the disks hold
+    the shuffles of one slice.
     """
     from ..session import app_id, scratch_path, shuffles_freed
 
     key = (app_id(spark), sf_dir.rstrip("/"), dirty, _source_stamp(spark, sf_dir))
     path = _MATERIALIZED.get(key)
     if path is None:
-        view = ledger_dirty_view(spark, sf_dir) if dirty else ledger_view(spark, sf_dir)
+        view = ledger_dirty_view if dirty else ledger_view
+        slices = -(-_stored_bytes(spark, sf_dir, "lineitem") // SLICE_BYTES) or 1
         path = scratch_path(spark, "ledger_dirty" if dirty else "ledger")
         with shuffles_freed(spark):
-            view.sortWithinPartitions("Company_ID", "Date").write.mode("overwrite").parquet(path)
+            for part in range(slices):
+                rows = view(spark, sf_dir, part, slices)
+                rows.sortWithinPartitions("Company_ID", "Date").write.mode("append").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 

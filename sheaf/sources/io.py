@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_date
@@ -11,6 +11,8 @@ from ..session import shuffles_freed, written
 
 CHUNK_ROWS = 10_000  # fixed value: the application's chunk of a large file
 FILE_ROWS = 5_000_000
+#: Rows that a writer in slices shuffles at a time.
+SLICE_ROWS = 50_000_000
 
 
 def _normalise(df: DataFrame) -> DataFrame:
@@ -100,22 +102,47 @@ def write_clean_ledger(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
 
 
+def _company_slices(df: DataFrame, slice_rows: int) -> list[tuple[Column, float]]:
+    """Runs of whole companies, in order, of about ``slice_rows`` rows (a larger company is one run): condition, share of rows."""
+    company, runs = F.col("Company_ID"), []
+    counts = [(r[0], r[1]) for r in df.groupBy("Company_ID").count().orderBy("Company_ID").collect()]  # a folder each
+    for c, n in counts:
+        if runs and runs[-1][2] + n <= slice_rows:
+            runs[-1] = (runs[-1][0], c, runs[-1][2] + n)
+        else:
+            runs.append((c, c, n))
+    total = sum(n for _, n in counts)
+    out = []
+    for first, last, n in runs:
+        # the null company is first in order
+        some = company.isNull() if last is None else company.between(first, last) if first is not None else (
+            company.isNull() | (company <= last))
+        out.append((some, n / total))
+    return out
+
+
 def write_by_company(df: DataFrame, path: str, fmt: str = "csv", partitions: int | None = None, replace: bool = True,
-                     rows_per_file: int = FILE_ROWS, compression: str | None = None) -> None:
+                     rows_per_file: int = FILE_ROWS, compression: str | None = None, slice_rows: int | None = None) -> None:
     """One folder per company (``Company_ID=...``), in files of at most ``rows_per_file`` rows.
 
     Range partitioning on (company, date) samples the keys, so a company that holds a third of all rows is spread over
     several tasks (several files in its folder) instead of landing in one task. With ``replace=False`` only the folders of
     the companies in ``df`` are replaced, each when its new files are complete; all other folders stay untouched.
-    ``compression`` is a codec of the format (``gzip`` writes ``.csv.gz`` files, which one task reads each).
+    ``compression`` is a codec of the format (``gzip`` writes ``.csv.gz`` files, which one task reads each). ``slice_rows``
+    is for stored tables of many rows: companies are written one slice of about so many rows after the other, each read
+    from ``df`` again, so the disks hold the shuffle of one slice.
     """
-    n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    out = df.repartitionByRange(int(n), "Company_ID", "Date").sortWithinPartitions("Company_ID", "Date")
-    w = out.write.mode("overwrite").partitionBy("Company_ID").option("maxRecordsPerFile", rows_per_file)
-    w = w.option("partitionOverwriteMode", "static" if replace else "dynamic")
-    w = w.option("compression", compression) if compression else w
+    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = _company_slices(df, slice_rows) if slice_rows else []
     with shuffles_freed(df.sparkSession):
-        (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
+        for i, (some, share) in enumerate(slices if len(slices) > 1 else [(None, 1.0)]):
+            rows = df if some is None else df.filter(some)
+            out = rows.repartitionByRange(max(1, round(n * share)), "Company_ID", "Date")
+            out = out.sortWithinPartitions("Company_ID", "Date")
+            w = out.write.mode("append" if i and replace else "overwrite").partitionBy("Company_ID")
+            w = w.option("partitionOverwriteMode", "static" if replace else "dynamic").option("maxRecordsPerFile", rows_per_file)
+            w = w.option("compression", compression) if compression else w
+            (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
 
 
 def company_files(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

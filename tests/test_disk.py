@@ -5,10 +5,11 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.operators import clean, dedupe
 from sheaf.session import delete_scratch, ensure_checkpoint_dir, scratch_path, scratch_scope, shuffles_freed, written
-from sheaf.sources import io
+from sheaf.sources import fixture, io
 from sheaf.sources.fixture import ledger_dirty
 from sheaf.streaming import stream
 from tests.helpers import ledger as mk, row
@@ -69,8 +70,9 @@ def test_company_folders_free_their_shuffle_and_compress(spark, sf_small):
 def test_stream_query_leaves_its_result_alone(spark, sf_small):
     import __spark_entry__ as e
     exp = rows_of(e.queries()["clean_ledger"](spark, sf_small))
-    before = _folders(spark)
+    before, split = _folders(spark), spark.conf.get("spark.sql.files.maxPartitionBytes")
     got = e.queries()["stream_clean_ledger"](spark, sf_small)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == split
     left = {x.rsplit("-", 1)[0] for x in _folders(spark) - before}
     assert left <= {"stream_clean_out", "stream_clean_ckpt"} and rows_of(got) == exp
 
@@ -117,3 +119,38 @@ def test_cleaning_in_slices_equals_cleaning_at_once(spark, some_repeated, monkey
     exp = rows_of(clean.clean_ledger(some_repeated))
     monkeypatch.setattr(dedupe.drop_duplicates, "__defaults__", (50, None, 40))
     assert rows_of(clean.clean_ledger(some_repeated)) == exp
+
+
+def _by_company(spark):
+    rows = [row(company=c, desc=f"{c} {i}", date=f"2023-05-{1 + i % 28:02d}")
+            for c, n in (("A", 30), ("B", 5), ("C", 200), ("D", 40), ("E", 1)) for i in range(n)]
+    return mk(spark, rows + [row(company=None, desc="none")] * 2)
+
+
+def test_companies_are_written_in_slices_of_whole_companies(spark, tmp_path):
+    df = _by_company(spark)
+    runs = io._company_slices(df, 50)
+    assert [round(share * 278) for _, share in runs] == [37, 200, 41]  # null, A and B; C alone; D and E
+    assert [df.filter(some).count() for some, _ in runs] == [37, 200, 41]
+    assert io._company_slices(df.limit(0), 50) == [] and len(io._company_slices(df, 10 ** 6)) == 1
+    path = str(tmp_path / "all")
+    io.write_by_company(df.withColumn("Description", F.lit("old")), path, partitions=4)
+    back = lambda: rows_of(io._normalise(spark.read.option("header", True).csv(path)).select(*df.columns))
+    io.write_by_company(df, path, partitions=4, compression="gzip", slice_rows=50)
+    assert back() == rows_of(df)  # nothing old is left, no slice replaced another
+    again = df.filter("Company_ID IN ('B', 'D', 'E')").withColumn("Description", F.lit("new"))
+    io.write_by_company(again, path, partitions=4, replace=False, slice_rows=3)
+    assert back() == rows_of(df.filter("Company_ID IS NULL OR Company_ID IN ('A', 'C')").unionByName(again))
+
+
+@pytest.mark.parametrize("dirty", [False, True])
+def test_a_ledger_table_in_slices_has_the_rows_of_the_view(spark, sf_small, monkeypatch, dirty):
+    monkeypatch.setattr(fixture, "SLICE_BYTES", 30_000)
+    jobs = []
+    view = fixture.ledger_view
+    monkeypatch.setattr(fixture, "ledger_view", lambda *a: jobs.append(a[2:]) or view(*a))
+    got = fixture.ledger_table(spark, f"{os.path.dirname(sf_small)}/./{os.path.basename(sf_small)}", dirty)
+    assert [k for k, _ in jobs] == [*range(len(jobs))] and len(jobs) > 1
+    monkeypatch.undo()
+    whole = fixture.ledger_dirty_view(spark, sf_small) if dirty else fixture.ledger_view(spark, sf_small)
+    assert rows_of(got) == rows_of(whole)
